@@ -173,13 +173,9 @@ def stats_summary(audit: DataFrame, window: str, as_of: datetime) -> DataFrame:
     totals = rows.agg(
         F.count(F.lit(1)).alias("total"), *decision_counts(effective_decision())
     )
-    ranks = latency_percentiles(rows)
-    one = F.lit(0).alias("_one")  # both sides are a single row
-    return (
-        totals.select(one, "*")
-        .join(ranks.select(one, "*"), "_one")
-        .drop("_one")
-        .withColumn("window", F.lit(window))
+    both = totals.unionByName(latency_percentiles(rows), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns]).withColumn(
+        "window", F.lit(window)
     )
 
 
