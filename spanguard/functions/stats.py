@@ -22,6 +22,11 @@ def parse_duration(value: str) -> timedelta:
     return timedelta(**{_UNITS[match[2]]: int(match[1])})
 
 
+def ts_lit(value) -> Column:
+    """A timestamp literal; a naive value is read in the session time zone."""
+    return F.lit(str(value)).cast("timestamp")
+
+
 def nearest_rank(
     df: DataFrame, value: str, ps: dict[str, float], keys: Sequence[str] = ()
 ) -> DataFrame:

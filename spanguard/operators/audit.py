@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanguard.functions.policy import effective_decision
-from spanguard.functions.stats import nearest_rank, parse_duration
+from spanguard.functions.stats import nearest_rank, parse_duration, ts_lit
 from spanguard.schema import SEVERITY
 
 PERCENTILES = {"p50_ms": 0.50, "p95_ms": 0.95, "p99_ms": 0.99}
@@ -24,7 +24,7 @@ def filter_time(audit: DataFrame, start=None, end=None) -> DataFrame:
     """
     for bound, op in ((start, "__ge__"), (end, "__le__")):
         if bound is not None:
-            ts = F.lit(bound).cast("timestamp")
+            ts = ts_lit(bound)
             audit = audit.filter(getattr(F.col("created_at"), op)(ts))
             if "dt" in audit.columns:
                 audit = audit.filter(getattr(F.col("dt"), op)(F.to_date(ts)))
@@ -223,9 +223,7 @@ def timeseries(audit: DataFrame, window: str, bucket: str, as_of: datetime) -> D
     if step <= timedelta(0) or step > span:
         raise ValueError("bucket must be > 0 and <= window")
     since, n = as_of - span, max(1, int(span / step) + 1)
-    micros = F.unix_micros(F.col("created_at")) - F.unix_micros(
-        F.lit(since).cast("timestamp")
-    )
+    micros = F.unix_micros(F.col("created_at")) - F.unix_micros(ts_lit(since))
     step_us = step // timedelta(microseconds=1)
     index = F.least(F.lit(n - 1), F.floor(micros / F.lit(step_us)).cast("int"))
     rows = _since(audit, span, as_of).select(
@@ -235,9 +233,7 @@ def timeseries(audit: DataFrame, window: str, bucket: str, as_of: datetime) -> D
     p95 = nearest_rank(rows, "total_latency_ms", {"p95_ms": 0.95}, ["i"])
     spine = audit.sparkSession.range(n).select(F.col("id").cast("int").alias("i"))
     zero = lambda c, t: F.coalesce(F.col(c).cast(t), F.lit(0).cast(t)).alias(c)
-    start = F.timestamp_micros(
-        F.unix_micros(F.lit(since).cast("timestamp")) + F.col("i") * F.lit(step_us)
-    )
+    start = F.timestamp_micros(F.unix_micros(ts_lit(since)) + F.col("i") * F.lit(step_us))
     return (
         spine.join(counts, "i", "left")
         .join(p95, "i", "left")

@@ -13,6 +13,7 @@ from spanguard.functions.stats import (
     histogram_quantile,
     nearest_rank,
     parse_duration,
+    ts_lit,
 )
 from spanguard.schema import CONFIDENCE_BOUNDS, LATENCY_BOUNDS
 
@@ -77,9 +78,7 @@ def topk_increase(
     findings: DataFrame, start: datetime, end: datetime, k: int = 10, ts: str = "created_at"
 ) -> DataFrame:
     """Entity types with most findings in [start, end)."""
-    inside = (F.col(ts) >= F.lit(start).cast("timestamp")) & (
-        F.col(ts) < F.lit(end).cast("timestamp")
-    )
+    inside = (F.col(ts) >= ts_lit(start)) & (F.col(ts) < ts_lit(end))
     totals = findings.filter(inside).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
     return totals.orderBy(F.desc("n"), "entity_type").limit(k)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanguard.functions.stats import ts_lit
+
 MAX_PAGE = 200
 
 
@@ -15,7 +17,7 @@ def keyset_page(df: DataFrame, limit: int = 50, cursor=None) -> DataFrame:
     if not 1 <= limit <= MAX_PAGE:
         raise ValueError(f"limit must be within 1..{MAX_PAGE}")
     if cursor is not None:
-        ts, row_id = F.lit(cursor[0]).cast("timestamp"), F.lit(cursor[1])
+        ts, row_id = ts_lit(cursor[0]), F.lit(cursor[1])
         df = df.filter(
             (F.col("created_at") < ts)
             | ((F.col("created_at") == ts) & (F.col("id") < row_id))
