@@ -23,14 +23,21 @@ from spanguard.schema import COUNTS, FINDING, FINDINGS
 TEXT = "_text"  # the scanned column under a name no lambda variable shadows
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds `value` as the one element of a generator.
+
+    A filter on a plain computed column is pushed below it with the expression
+    inlined, so the scan would run again for every mention. It stays above a
+    generator, while filters on the other columns still reach the source.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode_outer(F.array(value)).alias(name))
+
+
 def find_pattern(df: DataFrame, entity_type: str, text_col: str = "text") -> DataFrame:
     """`findings` of one built-in pattern."""
-    found = regex_findings(TEXT, [entity_type])
-    return (
-        df.withColumn(TEXT, F.col(text_col))
-        .withColumn("findings", F.coalesce(found, empty(FINDINGS)))
-        .drop(TEXT)
-    )
+    found = F.coalesce(regex_findings(TEXT, [entity_type]), empty(FINDINGS))
+    return once(df.withColumn(TEXT, F.col(text_col)), "findings", found).drop(TEXT)
 
 
 def detect(
@@ -43,9 +50,7 @@ def detect(
     step runs for every row it is given, so the saving has to be in its input.
     """
     text = F.col(TEXT)
-    df = df.withColumn(TEXT, F.col(text_col)).withColumn(
-        "raw_findings", regex_findings(TEXT)
-    )
+    df = once(df.withColumn(TEXT, F.col(text_col)), "raw_findings", regex_findings(TEXT))
     errors = F.lit(0)
     for d in sorted(detectors, key=lambda d: d.slow):
         out, given = f"_{d.name}", TEXT
@@ -81,7 +86,7 @@ def scan(
     policy = policy or Policy()
     extra = {d.name: d.priority for d in detectors}
     df = detect(df, text_col, detectors)
-    df = df.withColumn("findings", merge_overlaps("raw_findings", extra))
+    df = once(df, "findings", merge_overlaps("raw_findings", extra))
     df = df.drop("raw_findings")
     return evaluate(df, policy, text_col, is_output)
 
@@ -100,9 +105,9 @@ def evaluate(
     hit, text = F.col("decision") != "ALLOW", F.col(TEXT)
     redacted, counts = redact(TEXT, "actionable"), redaction_counts("actionable")
     no_counts = F.create_map().cast(COUNTS)
+    df = df.withColumns({TEXT: F.col(text_col), "_rules": policy.rule_map()})
     return (
-        df.withColumns({TEXT: F.col(text_col), "_rules": policy.rule_map()})
-        .withColumn("actionable", acts)
+        once(df, "actionable", acts)
         .withColumns({"decision": P.decide("actionable"), "reasons": P.reasons("actionable")})
         .withColumns(
             {
@@ -145,9 +150,7 @@ def dry_run(
     live = resolve_rules(rules)
     base = Policy(rules=live, resolved=True)
     trial = Policy(rules=overlay_rule(live, candidate), resolved=True)
-    df = detect(df, text_col).withColumn(
-        "findings", merge_overlaps("raw_findings")
-    )
+    df = once(detect(df, text_col), "findings", merge_overlaps("raw_findings"))
     df = df.drop("raw_findings", "detector_errors")
     df = evaluate(df, base, text_col).withColumn("baseline", F.col("decision"))
     df = df.drop("actionable", "decision", "reasons", "redacted_text", "redaction_counts")

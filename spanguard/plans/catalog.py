@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from spanguard.plans import detection
+from spanguard.plans import audits, detection
 from spanguard.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "detection"]
+__all__ = ["QUERIES", "SQL", "audits", "detection"]

@@ -177,7 +177,7 @@ def stamp(ts: str) -> str:
     return f"strftime({ts}, {STAMP})"
 
 
-def nearest(src: str, value: str, p: float, keys: str = "") -> str:
+def nearest(value: str, p: float) -> str:
     """Nearest-rank percentile of `value` as an aggregate over a group."""
     ordered = f"list({value} order by {value})"
     return f"{ordered}[cast(round_even({p} * (count({value}) - 1), 0) as int) + 1]"
