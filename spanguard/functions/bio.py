@@ -19,6 +19,7 @@ from spanguard.schema import (
 
 # What Python's str.split() splits on.
 _SPACES = r"r'[\s\x1c-\x1f\x85\p{Z}]+'"
+_BLOCK = 128
 _LABELS = "array(" + ", ".join(f"'{b}'" for b in BIO_LABELS) + ")"
 
 
@@ -132,7 +133,7 @@ def text_to_bio(text: str, entities: str) -> Column:
     tag = sql_let(
         "hs",
         hits,
-        f"if(pos < length({text}) and size(hs) > 0, concat(if(pos = element_at(hs, -1).start,"
+        "if(pos < n and size(hs) > 0, concat(if(pos = element_at(hs, -1).start,"
         " 'B-', 'I-'), element_at(hs, -1).label), 'O')",
     )
     step = sql_let(
@@ -140,16 +141,22 @@ def text_to_bio(text: str, entities: str) -> Column:
         "coalesce(get(sk, acc.pos), acc.pos)",
         f"struct(pos + length(k) as pos, array_append(acc.tags, {tag}) as tags)",
     )
+    # Appending copies the array, so tags are collected per block of tokens.
+    tags = "cast(array() as array<string>)"
+    in_block = f"aggregate(slice(tk, c, {_BLOCK}), struct(all.pos as pos, {tags} as tags), (acc, k) -> {step})"
     walk = (
-        f"aggregate({bio_tokens_sql(text)}, struct(0 as pos, cast(array() as array<string>) as tags),"
-        f" (acc, k) -> {step}, acc -> acc.tags)"
+        f"aggregate(if(size(tk) > 0, sequence(1, size(tk), {_BLOCK}), cast(array() as array<int>)),"
+        " struct(0 as pos, cast(array() as array<array<string>>) as blocks),"
+        f" (all, c) -> {sql_let('b', in_block, 'struct(b.pos as pos, array_append(all.blocks, b.tags) as blocks)')},"
+        " all -> flatten(all.blocks))"
     )
     ends = running_sum_sql("transform(rs, r -> length(r))")
+    bound = sql_let("tk", bio_tokens_sql(text), sql_let("n", f"length({text})", walk))
     return F.expr(
         sql_let(
             "rs",
             f"regexp_extract_all({text}, '( +|[^ ]+)', 1)",
-            sql_let("es", ends, sql_let("sk", skips, sql_let("sp", ordered, walk))),
+            sql_let("es", ends, sql_let("sk", skips, sql_let("sp", ordered, bound))),
         )
     )
 
