@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from datetime import timedelta
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -28,39 +30,50 @@ def ts_lit(value) -> Column:
 
 
 def nearest_rank(
-    df: DataFrame, value: str, ps: dict[str, float], keys: Sequence[str] = ()
+    df: DataFrame,
+    value: str,
+    ps: dict[str, float],
+    keys: Sequence[str] = (),
+    parts: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Percentiles of an integer column per `keys`: the value at index
     round_half_even(p * (n - 1)) of the sorted column. `ps` maps names to p.
+    `parts` names conditions that split the rows; their counts come along.
 
     Rows are counted per distinct value before any shuffle. Ranks are found in
     two levels, so no window holds more than a 1024-value range or the list of
-    ranges of a key.
+    ranges of a key. Both levels need the same columns of the counted rows, so
+    that Spark computes them once and reuses the exchange.
     """
-    keys = list(keys)
-    hist = df.groupBy(
+    keys, count = list(keys), {"_n": F.lit(True)}
+    conditions = parts or count
+    hist = df.filter(F.col(value).isNotNull()).groupBy(
         *keys, F.floor(F.col(value) / _COARSE).alias("_range"), F.col(value).alias("_v")
-    ).agg(F.count(F.lit(1)).alias("_n"))
+    ).agg(*[F.count_if(c).alias(name) for name, c in conditions.items()])
+    n = sum((F.col(name) for name in conditions), F.lit(0))
     fine = hist.withColumn(
-        "_run", F.sum("_n").over(W.partitionBy(*keys, "_range").orderBy("_v"))
-    )
-    ranges = hist.groupBy(*keys, "_range").agg(F.sum("_n").alias("_size"))
+        "_run", F.sum(n).over(W.partitionBy(*keys, "_range").orderBy("_v"))
+    ).withColumn("_size", n)
+    ranges = hist.groupBy(*keys, "_range").agg(F.sum(n).alias("_in_range"))
     by_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    names = {c: f"_of_{c}" for c in [*keys, "_range"]}
     ranges = ranges.select(
-        *keys,
-        "_range",
-        (F.sum("_size").over(by_key.orderBy("_range")) - F.col("_size")).alias("_base"),
-        F.sum("_size").over(by_key).alias("_total"),
+        *[F.col(c).alias(n) for c, n in names.items()],
+        (F.sum("_in_range").over(by_key.orderBy("_range")) - F.col("_in_range")).alias("_base"),
+        F.sum("_in_range").over(by_key).alias("_total"),
     )
-    joined = fine.join(ranges, [*keys, "_range"])
+    # Null-safe: keeps null keys, and puts no filter on one side only.
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    joined = fine.join(ranges, reduce(and_, same))
     upper = F.col("_base") + F.col("_run")
-    lower = upper - F.col("_n")
+    lower = upper - F.col("_size")
 
     def at(p: float) -> Column:
         rank = F.bround(F.lit(p) * (F.col("_total") - 1), 0)
         return F.max(F.when((lower <= rank) & (rank < upper), F.col("_v")))
 
     aggs = [at(p).alias(name) for name, p in ps.items()]
+    aggs += [F.sum(name).alias(name) for name in parts or ()]
     return joined.groupBy(*keys).agg(*aggs) if keys else joined.agg(*aggs)
 
 

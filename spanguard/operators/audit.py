@@ -161,8 +161,15 @@ def _since(audit: DataFrame, window: timedelta, as_of: datetime) -> DataFrame:
     return filter_time(audit, start=as_of - window)
 
 
-def decision_counts(effective: Column) -> list[Column]:
-    return [F.count_if(effective == d).alias(d) for d in ("allow", "mask", "block")]
+_DECISIONS = ("allow", "mask", "block")
+
+
+def _decision_parts() -> dict[str, Column]:
+    return {d: effective_decision() == d for d in _DECISIONS}
+
+
+def _or_zero(name: str, kind: str) -> Column:
+    return F.coalesce(F.col(name).cast(kind), F.lit(0).cast(kind)).alias(name)
 
 
 def stats_summary(audit: DataFrame, window: str, as_of: datetime) -> DataFrame:
@@ -170,21 +177,17 @@ def stats_summary(audit: DataFrame, window: str, as_of: datetime) -> DataFrame:
     rows since `as_of` - `window` (there is no upper bound).
     """
     rows = _since(audit, parse_duration(window), as_of)
-    totals = rows.agg(
-        F.count(F.lit(1)).alias("total"), *decision_counts(effective_decision())
-    )
-    both = totals.unionByName(latency_percentiles(rows), allowMissingColumns=True)
-    return both.agg(*[F.max(c).alias(c) for c in both.columns]).withColumn(
-        "window", F.lit(window)
-    )
+    ranks = nearest_rank(rows, "total_latency_ms", PERCENTILES, parts=_decision_parts())
+    return ranks.select(
+        F.lit(window).alias("window"),
+        *[_or_zero(d, "long") for d in _DECISIONS],
+        *[_or_zero(p, "double") for p in PERCENTILES],
+    ).withColumn("total", F.col("allow") + F.col("mask") + F.col("block"))
 
 
 def latency_percentiles(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     ranks = nearest_rank(rows, "total_latency_ms", PERCENTILES, keys)
-    return ranks.select(
-        *keys,
-        *[F.coalesce(F.col(p).cast("double"), F.lit(0.0)).alias(p) for p in PERCENTILES],
-    )
+    return ranks.select(*keys, *[_or_zero(p, "double") for p in PERCENTILES])
 
 
 def _entity_totals(rows: DataFrame, *maps: str) -> DataFrame:
@@ -226,22 +229,16 @@ def timeseries(audit: DataFrame, window: str, bucket: str, as_of: datetime) -> D
     micros = F.unix_micros(F.col("created_at")) - F.unix_micros(ts_lit(since))
     step_us = step // timedelta(microseconds=1)
     index = F.least(F.lit(n - 1), F.floor(micros / F.lit(step_us)).cast("int"))
-    rows = _since(audit, span, as_of).select(
-        index.alias("i"), "total_latency_ms", effective_decision().alias("decision")
+    rows = _since(audit, span, as_of).withColumn("i", index)
+    points = nearest_rank(
+        rows, "total_latency_ms", {"p95_ms": 0.95}, ["i"], _decision_parts()
     )
-    counts = rows.groupBy("i").agg(*decision_counts(F.col("decision")))
-    p95 = nearest_rank(rows, "total_latency_ms", {"p95_ms": 0.95}, ["i"])
     spine = audit.sparkSession.range(n).select(F.col("id").cast("int").alias("i"))
-    zero = lambda c, t: F.coalesce(F.col(c).cast(t), F.lit(0).cast(t)).alias(c)
     start = F.timestamp_micros(F.unix_micros(ts_lit(since)) + F.col("i") * F.lit(step_us))
-    return (
-        spine.join(counts, "i", "left")
-        .join(p95, "i", "left")
-        .select(
-            start.alias("bucket"),
-            *[zero(d, "long") for d in ("allow", "mask", "block")],
-            zero("p95_ms", "double"),
-        )
+    return spine.join(points, "i", "left").select(
+        start.alias("bucket"),
+        *[_or_zero(d, "long") for d in _DECISIONS],
+        _or_zero("p95_ms", "double"),
     )
 
 

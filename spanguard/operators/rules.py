@@ -134,16 +134,11 @@ def rule_map(resolved: DataFrame) -> Column:
 
 
 def default_rule_map() -> Column:
-    cells = []
-    for entity_type, action, confidence in DEFAULT_RULES:
-        cells += [
-            F.lit(entity_type),
-            F.struct(
-                F.lit(action).alias("action"),
-                F.lit(float(confidence)).alias("min_confidence"),
-            ),
-        ]
-    return F.create_map(*cells).cast(RULE_MAP)
+    entries = ", ".join(
+        f"'{e}', struct('{a}' as action, {float(c)!r}D as min_confidence)"
+        for e, a, c in DEFAULT_RULES
+    )
+    return F.expr(f"map({entries})")
 
 
 @dataclass

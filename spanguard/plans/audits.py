@@ -582,8 +582,10 @@ def order_recent(spark, sf):
     " order by audit.created_at desc, id desc limit 51 offset 100",
 )
 def keyset(spark, sf):
-    """Third page of fifty, reached by two cursors."""
-    rows, cursor = D.audit(spark, sf), None
+    """Third page of fifty of a stored audit table, reached by two cursors."""
+    path, cursor = shared_dir(spark, "pages"), None
+    D.audit(spark, sf).select("id", "created_at", "input_decision").write.parquet(path)
+    rows = spark.read.schema("id string, created_at timestamp, input_decision string").parquet(path)
     for _ in range(2):
         cursor = page_cursor(keyset_page(rows, 50, cursor), 50)
     page = keyset_page(rows, 50, cursor)

@@ -35,8 +35,17 @@ def plant(key: str) -> str:
  else '' end"""
 
 
+_SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,"
+    " value double, props string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def planted(spark: SparkSession, sf: str) -> DataFrame:
