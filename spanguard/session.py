@@ -39,12 +39,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Rebalance a scan that has fewer partitions than the session has cores.
+    """Rebalance a scan that would leave at least half of the cores idle.
 
     A table of many files is left alone; one small file with a single row
     group would otherwise keep every regex in one task.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if 2 * df.rdd.getNumPartitions() > cores:
         return df
     return df.repartition(cores, *cols)

@@ -69,13 +69,16 @@ def read_audit(spark: SparkSession, path: str, *columns: str) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; maps, arrays and structs become JSON text."""
+    """CSV with a header and doubled quotes; maps, arrays and structs become
+    JSON text.
+    """
     nested = (T.MapType, T.ArrayType, T.StructType)
     cols = [
         F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name)
         for f in df.schema.fields
     ]
-    df.select(*cols).write.mode("overwrite").option("header", True).csv(path)
+    writer = df.select(*cols).write.mode("overwrite")
+    writer.option("header", True).option("escape", '"').csv(path)
 
 
 def write_splits(df: DataFrame, path: str) -> None:

@@ -1,0 +1,76 @@
+"""What the physical plans must and must not hold."""
+
+from spanguard.operators import models as M
+from spanguard.operators import requests as R
+from spanguard.operators import scan as S
+from spanguard.plans import derived as D
+from spanguard.plans.detection import stub_recognizer, stub_scorer
+from spanguard.operators.rules import Policy, default_rules
+from spanguard.schema import PATTERNS
+
+# Fast and exact form of every pattern, and the one inside the Luhn check.
+ONE_SCAN = 2 * len(PATTERNS) + 1
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def regex_calls(df):
+    return plan(df).count("regexp_replace(")
+
+
+def documents(spark, sf):
+    return D.table(spark, sf, "documents")
+
+
+def test_scan_has_no_shuffle_and_no_python(spark, sf):
+    text = plan(S.scan(documents(spark, sf)))
+    assert "Exchange" not in text
+    assert "Python" not in text and "ArrowEval" not in text
+    assert text.count("regexp_replace(") == ONE_SCAN
+
+
+def test_rule_table_is_read_without_a_join(spark, sf):
+    text = plan(S.scan(documents(spark, sf), Policy(rules=default_rules(spark))))
+    assert "Subquery" in text
+    assert not any(j in text for j in ("HashJoin", "SortMergeJoin", "NestedLoopJoin"))
+
+
+def test_filters_do_not_repeat_the_scan(spark, sf):
+    df = S.scan(documents(spark, sf)).filter("decision = 'BLOCK' and size(findings) > 1")
+    assert regex_calls(df) == ONE_SCAN
+    assert regex_calls(S.long_findings(df, "doc_id").filter("confidence > 0.9")) == ONE_SCAN
+
+
+def test_filters_on_other_columns_reach_the_source(spark, sf):
+    text = plan(S.scan(documents(spark, sf)).filter("lang = 'en' and decision = 'MASK'"))
+    assert "EqualTo(lang,en)" in text
+
+
+def test_unused_results_are_pruned(spark, sf):
+    text = plan(S.scan(documents(spark, sf)).groupBy("decision").count())
+    assert "ReadSchema: struct<text:string>" in text
+    assert "REDACTED" not in text
+
+
+def test_model_passes_run_once_each(spark, sf):
+    detectors = [M.contextual_detector(stub_recognizer), M.semantic_detector(stub_scorer)]
+    df = S.scan(documents(spark, sf), detectors=detectors).filter("decision = 'MASK'")
+    assert plan(df).count("MapInArrow") == 2
+    assert regex_calls(df) == ONE_SCAN
+
+
+def test_request_decisions_shuffle_no_text(spark, sf):
+    df = R.request_decisions(R.scan_messages(D.messages(spark, sf)), "request_id")
+    text = plan(df)
+    assert text.count("Exchange hashpartitioning") == 1
+    assert "partial_max(severity" in text
+
+
+def test_percentiles_read_their_rows_once(spark, sf):
+    from spanguard.functions.stats import nearest_rank
+
+    df = nearest_rank(D.table(spark, sf, "events").selectExpr("cast(value as int) v"), "v", {"p": 0.5})
+    df.collect()
+    assert "ReusedExchange" in plan(df)
