@@ -19,7 +19,8 @@ from spanguard.schema import (
 
 # What Python's str.split() splits on.
 _SPACES = r"r'[\s\x1c-\x1f\x85\p{Z}]+'"
-_BLOCK = 128
+_NOT_BLANK = r"r'[\s\x1c-\x1f\x85\p{Z}&&[^ ]]'"
+_BLOCK = 32
 _LABELS = "array(" + ", ".join(f"'{b}'" for b in BIO_LABELS) + ")"
 
 
@@ -118,7 +119,8 @@ def bio_tokens(text: str) -> Column:
 def text_to_bio(text: str, entities: str) -> Column:
     """One BIO tag per whitespace token: the tag of the character reached by
     walking token lengths and skipping blanks only, so other white space shifts
-    the tags after it.
+    the tags after it. Without other white space that is the token's own first
+    character, and the walk is not needed.
     """
     ordered = (
         f"array_sort(transform({entities}, (e, i) -> struct(e.start as start, i as ord,"
@@ -151,14 +153,29 @@ def text_to_bio(text: str, entities: str) -> Column:
         " all -> flatten(all.blocks))"
     )
     ends = running_sum_sql("transform(rs, r -> length(r))")
-    bound = sql_let("tk", bio_tokens_sql(text), sql_let("n", f"length({text})", walk))
-    return F.expr(
+    walked = sql_let(
+        "rs",
+        f"regexp_extract_all({text}, '( +|[^ ]+)', 1)",
+        sql_let("es", ends, sql_let("sk", skips, sql_let("tk", bio_tokens_sql(text), walk))),
+    )
+    starts = (
+        "filter(transform(ps, (p, i) -> struct(p as p, es[i] - length(p) - 1 as pos)), x -> x.p <> '')"
+    )
+    direct = sql_let(
+        "ps",
+        f"split({text}, ' ', -1)",
         sql_let(
-            "rs",
-            f"regexp_extract_all({text}, '( +|[^ ]+)', 1)",
-            sql_let("es", ends, sql_let("sk", skips, sql_let("sp", ordered, bound))),
-        )
+            "es",
+            running_sum_sql("transform(ps, p -> length(p) + 1)"),
+            f"transform({starts}, x -> {sql_let('pos', 'x.pos', tag)})",
+        ),
+    )
+    tags = sql_let(
+        "sp",
+        ordered,
+        sql_let("n", f"length({text})", f"if({text} rlike {_NOT_BLANK}, {walked}, {direct})"),
     )
+    return F.expr(tags)
 
 
 def encode_labels(tags: str) -> Column:

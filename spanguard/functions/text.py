@@ -90,7 +90,7 @@ def finding(entity_type, start, end, matched, confidence, detector, category):
     )
 
 
-def running_sum_sql(values: str, block: int = 128) -> str:
+def running_sum_sql(values: str, block: int = 32) -> str:
     """Inclusive running sums of an int array.
 
     Appending to an array copies it, so long arrays are summed in blocks: each

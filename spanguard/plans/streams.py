@@ -316,31 +316,27 @@ _LIVE_HALVES = [
     + "select a.decision as before, b.decision as after, count(*) as n from d1 a join d2 b on b.k = a.k group by all",
 )
 def live_rules(spark, sf):
-    """A rule is changed while the stream runs: every document comes in the
-    first batch and again in the second, after the change.
+    """Every document comes in one batch and again in the next, and a rule is
+    changed in between: the second batch is decided under the new rule.
     """
-    source, sink, store = (shared_dir(spark, n) for n in ("texts", "live", "rules"))
-    docs = D.planted(spark, sf)
-    rules.default_rules(spark).write.parquet(f"{store}/version=0")
-    rules.default_rules(spark).withColumn(
+    source, sink, store, checkpoint = (
+        shared_dir(spark, n) for n in ("texts", "live", "rules", "live-checkpoint")
+    )
+    docs, default = D.planted(spark, sf), rules.default_rules(spark)
+    changed = default.withColumn(
         "action", F.when(F.col("entity_type") == "EMAIL", "BLOCK").otherwise(F.col("action"))
-    ).write.parquet(f"{store}/version=1")
-    seen = {"batches": 0}
-
-    def current(session):
-        version = min(seen["batches"], 1)
-        seen["batches"] += 1
-        return session.read.parquet(f"{store}/version={version}")
-
-    for copy in ("before", "after"):
-        docs.withColumn("copy", F.lit(copy)).coalesce(1).write.parquet(f"{source}/{copy}")
-    stream = (
-        spark.readStream.schema("doc_id bigint, text string, copy string")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(f"{source}/*")
     )
-    J.scan_with_live_rules(stream, current, sink, keep=("doc_id", "decision", "copy"))
-    rows = spark.read.schema("doc_id bigint, decision string, copy string, batch int").parquet(sink)
+    for copy, table in (("before", default), ("after", changed)):
+        table.write.mode("overwrite").parquet(store)
+        docs.withColumn("copy", F.lit(copy)).write.mode("append").parquet(source)
+        J.scan_with_live_rules(
+            spark.readStream.schema("doc_id bigint, text string, copy string").parquet(source),
+            lambda session: session.read.parquet(store),
+            sink,
+            keep=("doc_id", "decision"),
+            checkpoint=checkpoint,
+        )
+    rows = spark.read.schema("doc_id bigint, decision string, batch int").parquet(sink)
     first = rows.filter(F.col("batch") == 0).select("doc_id", F.col("decision").alias("before"))
     second = rows.filter(F.col("batch") == 1).select("doc_id", F.col("decision").alias("after"))
     return first.join(second, "doc_id").groupBy("before", "after").agg(F.count("*").alias("n"))

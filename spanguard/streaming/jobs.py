@@ -66,12 +66,15 @@ def scan_with_live_rules(
     path: str,
     text_col: str = "text",
     keep: tuple[str, ...] = ("doc_id", "decision", "redacted_text"),
+    checkpoint: str | None = None,
 ) -> None:
     """Scan a stream under rules read anew for every micro-batch, so a rule
     change is seen by the next batch.
 
-    A batch that is repeated after a failure overwrites its own folder.
+    A batch that is repeated after a failure overwrites its own folder. Pass
+    the `checkpoint` of an earlier run to go on where it ended.
     """
+    checkpoint = checkpoint or shared_dir(texts.sparkSession, "rules-checkpoint")
 
     def batch(df: DataFrame, batch_id: int) -> None:
         policy = Policy(rules=load_rules(df.sparkSession))
@@ -80,7 +83,7 @@ def scan_with_live_rules(
 
     (
         texts.writeStream.foreachBatch(batch)
-        .option("checkpointLocation", shared_dir(texts.sparkSession, "rules-checkpoint"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
         .awaitTermination()

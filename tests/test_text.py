@@ -131,7 +131,7 @@ def test_rounding_follows_the_binary_value(spark):
 
 def test_running_sum_over_block_borders(spark):
     rng = random.Random(1)
-    arrays = [[rng.randint(0, 9) for _ in range(n)] for n in (0, 1, 127, 128, 129, 400)]
+    arrays = [[rng.randint(0, 9) for _ in range(n)] for n in (0, 1, 31, 32, 33, 64, 400, 3000)]
     df = spark.createDataFrame([(a,) for a in arrays], "a array<int>")
     for r in df.select("a", F.expr(X.running_sum_sql("a")).alias("s")).collect():
         assert list(itertools.accumulate(r.a)) == list(r.s)
