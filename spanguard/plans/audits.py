@@ -403,12 +403,34 @@ def read_audit(spark, sf):
     )
 
 
-@query("decision_metadata")
+_META_FIELDS = ("input_decision", "output_decision", "policy_id")
+
+
+@query(
+    "decision_metadata",
+    O.with_(*O.AUDIT)
+    + "select request_id, input_decision, output_decision, policy_id, 'regex' as detector,"
+    " cast(llm_latency_ms as varchar) as llm, cast(total_latency_ms as varchar) as total from audit",
+)
 def decision_metadata(spark, sf):
-    return R.decision_metadata(D.audit(spark, sf)).select("request_id", "ppg_json")
+    """Fields of the metadata block, read back from its JSON text."""
+    field = lambda path: F.get_json_object("ppg_json", f"$.{path}")
+    return R.decision_metadata(D.audit(spark, sf)).select(
+        "request_id",
+        *[field(f).alias(f) for f in _META_FIELDS],
+        field("detectors_used[0]").alias("detector"),
+        field("latency_ms.llm").alias("llm"),
+        field("latency_ms.total").alias("total"),
+    )
 
 
-@query("export_csv")
+@query(
+    "export_csv",
+    O.with_(*O.AUDIT)
+    + f"select request_id, {O.stamp('created_at')} as created_at, user_id, input_decision,"
+    " '{\"' || replace(replace(input_redactions, '=', '\":'), ',', ',\"') || '}' as input_redactions"
+    " from audit where input_decision = 'BLOCK'",
+)
 def export_csv(spark, sf):
     """The blocked part of the log as CSV, read back."""
     path = shared_dir(spark, "export")
@@ -420,7 +442,8 @@ def export_csv(spark, sf):
         "request_id string, created_at timestamp, user_id string, input_decision string,"
         " input_redactions string"
     )
-    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    rows = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    return rows.withColumn("created_at", stamp_col("created_at"))
 
 
 # --- audit filters and projections ---------------------------------------------

@@ -173,7 +173,29 @@ def stub_scorer():
     return score
 
 
-@query("semantic_findings")
+def semantic_raw(src: str, name: str = "sraw") -> str:
+    """Findings of the stand-in classifier over `src`(k, text) as SQL."""
+    kind = "case when regexp_matches(piece, '[0-9]') then 1 when length(piece) > 14 then 3 else 0 end"
+    x = "(2.0::double + least(length(piece), 40) / 16.0::double)"
+    return (
+        f"{name}_p as (select k, text, unnest(ps) as piece, generate_subscripts(ps, 1) as i from (select k, text,"
+        f" string_split(regexp_replace(text, '[^\\s\x1c-\x1f\x85\\p{{Z}}]+', chr(1) || '\\0' || chr(1), 'g'), chr(1)) as ps from {src})),"
+        f" {name}_w as (select k, text, piece, i, sum(length(piece)) over (partition by k order by i rows unbounded preceding) as e,"
+        f" {kind} as kind, 1 / (1 + 4 * exp(-{x})) as prob from {name}_p),"
+        f" {name}_b as (select *, case when kind is distinct from lag(kind) over (partition by k order by i) then 1 else 0 end as brk"
+        f" from {name}_w where i % 2 = 0),"
+        f" {name}_g as (select *, sum(brk) over (partition by k order by i rows unbounded preceding) as g from {name}_b),"
+        f" {name} as (select k, 20 as pno, case any_value(kind) when 1 then 'GENERIC_PII' else 'GENERIC_SECRET' end as entity_type,"
+        " round(avg(prob), 4) as confidence, cast(min(e - length(piece)) as bigint) as s, cast(max(e) as bigint) as e,"
+        " substr(any_value(text), cast(min(e - length(piece)) as bigint) + 1, cast(max(e) - min(e - length(piece)) as bigint)) as txt,"
+        f" 'semantic' as detector from {name}_g where kind > 0 group by k, g)"
+    )
+
+
+@query(
+    "semantic_findings",
+    O.with_(O.DOCS, semantic_raw("docs")) + f"select {FLAT} from sraw",
+)
 def semantic_findings(spark, sf):
     scored = models.score_tokens(D.planted(spark, sf), stub_scorer)
     found = scored.withColumn("findings", models.semantic_findings("text", "scored.scores"))
@@ -336,6 +358,21 @@ def isolate_failures(spark, sf):
 
 @query(
     "scan_all_passes",
+    O.with_(
+        *_ALL_RAW[:-1],
+        "unsure as (select k, text from docs where k not in (select k from raw where confidence >= 0.85))",
+        semantic_raw("unsure"),
+        "all_raw as (select * from raw union all select * from nraw union all select * from sraw)",
+        O.merged("all_raw"),
+        O.actionable("merged"),
+        O.decided("docs", "acts"),
+        O.redacted("docs", "acts"),
+    )
+    + "select cast(d.k as bigint) as doc_id, d.decision, 'regex,presidio,semantic' as detectors_used,"
+    " (select count(*) from merged m where m.k = d.k) as n_findings,"
+    " (select count(*) from merged m where m.k = d.k and m.detector = 'semantic') as n_semantic,"
+    " case when d.decision = 'ALLOW' then t.text else r.text end as redacted_text"
+    " from decided d join docs t on t.k = d.k join red r on r.k = d.k",
 )
 def scan_all_passes(spark, sf):
     """All three passes with the short-circuit in front of the slow one."""

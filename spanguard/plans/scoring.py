@@ -10,7 +10,7 @@ from spanguard.operators import evaluate as E
 from spanguard.operators import models
 from spanguard.plans import derived as D
 from spanguard.plans import oracle as O
-from spanguard.plans.detection import _TOKEN_SQL, embedding_scores, stub_scorer
+from spanguard.plans.detection import _TOKEN_SQL, embedding_scores, semantic_raw, stub_scorer
 from spanguard.plans.registry import big, query
 from spanguard.session import shared_dir
 from spanguard.sources import tables
@@ -468,31 +468,55 @@ def two_backends(spark, sf):
     return a.withColumn("findings", decode), b.withColumn("findings", decode)
 
 
+_PARITY = [
+    *_TOKEN_SQL,
+    "ab as (select vec_id, t, lg as a, case when vec_id % 50 = 7 and t = 3 then [lg[2], lg[1], lg[3], lg[4], lg[5]]"
+    " when vec_id % 10 = 3 then list_transform(lg, lambda x: x + 0.00005::double) else lg end as b from logit)",
+    "cmp as (select vec_id, max(list_max(list_transform(range(1, 6), lambda i: abs(a[i] - b[i])))) as max_diff,"
+    " bool_or(list_position(a, list_max(a)) <> list_position(b, list_max(b))) as argmax_differs from ab group by vec_id)",
+]
+
+
 @query(
     "parity",
-    O.with_(
-        *_TOKEN_SQL,
-        "ab as (select vec_id, t, lg as a, case when vec_id % 50 = 7 and t = 3 then [lg[2], lg[1], lg[3], lg[4], lg[5]]"
-        " when vec_id % 10 = 3 then list_transform(lg, lambda x: x + 0.00005::double) else lg end as b from logit)",
-    )
-    + "select vec_id, round(max(list_max(list_transform(range(1, 6), lambda i: abs(a[i] - b[i])))), 9) as max_diff,"
-    " bool_or(list_position(a, list_max(a)) <> list_position(b, list_max(b))) as argmax_differs from ab group by vec_id",
+    O.with_(*_PARITY) + "select vec_id, round(max_diff, 9) as max_diff, argmax_differs from cmp",
 )
 def parity(spark, sf):
     compared = E.parity(*two_backends(spark, sf), "vec_id")
     return compared.select("vec_id", F.round("max_diff", 9).alias("max_diff"), "argmax_differs")
 
 
-@query("parity_summary")
+@query(
+    "parity_summary",
+    O.with_(*_PARITY)
+    + "select count(*) as examples, round(max(max_diff), 9) as max_diff, count(*) filter (argmax_differs) as argmax_mismatches,"
+    " max(max_diff) < 0.0001 and count(*) filter (argmax_differs) = 0 as within_tolerance from cmp",
+)
 def parity_summary(spark, sf):
-    return E.parity_summary(E.parity(*two_backends(spark, sf), "vec_id"))
+    summary = E.parity_summary(E.parity(*two_backends(spark, sf), "vec_id"))
+    return summary.withColumn("max_diff", F.round("max_diff", 9)).drop("span_mismatches")
 
 
-@query("model_eval")
+_SYNTHETIC_MATCH = [
+    _synthetic(),
+    O.ENTITY_DIM,
+    "src as (select doc_id as k, text from syn)",
+    semantic_raw("src"),
+    "pred as (select k, s, e, case entity_type when 'GENERIC_PII' then 'PII' else 'SECRET' end as category,"
+    " entity_type from sraw)",
+    "gold as (select doc_id as k, s, e, label from syn)",
+    "docs as (select k from src)",
+    *_MATCH[-2:],
+]
+
+
+@query(
+    "model_eval",
+    O.with_(*_SYNTHETIC_MATCH, *_PRF[-2:]) + f"select category, tp, fp, fn, {_SCORE_SQL} from allc",
+)
 def model_eval(spark, sf):
     """Scores of the stand-in classifier on the synthetic examples."""
-    examples = synthetic(spark, sf)
-    scored = models.score_tokens(examples, stub_scorer)
+    scored = models.score_tokens(synthetic(spark, sf), stub_scorer)
     found = scored.withColumn("findings", models.semantic_findings("text", "scored.scores"))
     pred = F.transform(
         "findings",
@@ -500,6 +524,5 @@ def model_eval(spark, sf):
             *[f[n].alias(n) for n in ("start", "end", "category", "entity_type")]
         ),
     )
-    return E.prf(E.match_spans(found.select("doc_id", F.col("entities").alias("gold"), pred.alias("pred")), "doc_id"))
-
-
+    pairs = found.select("doc_id", F.col("entities").alias("gold"), pred.alias("pred"))
+    return E.prf(E.match_spans(pairs, "doc_id"))
