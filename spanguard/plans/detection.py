@@ -178,17 +178,18 @@ def semantic_raw(src: str, name: str = "sraw") -> str:
     kind = "case when regexp_matches(piece, '[0-9]') then 1 when length(piece) > 14 then 3 else 0 end"
     x = "(2.0::double + least(length(piece), 40) / 16.0::double)"
     return (
-        f"{name}_p as (select k, text, unnest(ps) as piece, generate_subscripts(ps, 1) as i from (select k, text,"
+        f"{name}_p as (select k, unnest(ps) as piece, generate_subscripts(ps, 1) as i from (select k,"
         f" string_split(regexp_replace(text, '[^\\s\x1c-\x1f\x85\\p{{Z}}]+', chr(1) || '\\0' || chr(1), 'g'), chr(1)) as ps from {src})),"
-        f" {name}_w as (select k, text, piece, i, sum(length(piece)) over (partition by k order by i rows unbounded preceding) as e,"
+        f" {name}_w as (select k, piece, i, sum(length(piece)) over (partition by k order by i rows unbounded preceding) as e,"
         f" {kind} as kind, 1 / (1 + 4 * exp(-{x})) as prob from {name}_p),"
         f" {name}_b as (select *, case when kind is distinct from lag(kind) over (partition by k order by i) then 1 else 0 end as brk"
         f" from {name}_w where i % 2 = 0),"
         f" {name}_g as (select *, sum(brk) over (partition by k order by i rows unbounded preceding) as g from {name}_b),"
-        f" {name} as (select k, 20 as pno, case any_value(kind) when 1 then 'GENERIC_PII' else 'GENERIC_SECRET' end as entity_type,"
-        " round(avg(prob), 4) as confidence, cast(min(e - length(piece)) as bigint) as s, cast(max(e) as bigint) as e,"
-        " substr(any_value(text), cast(min(e - length(piece)) as bigint) + 1, cast(max(e) - min(e - length(piece)) as bigint)) as txt,"
-        f" 'semantic' as detector from {name}_g where kind > 0 group by k, g)"
+        f" {name}_s as (select k, case any_value(kind) when 1 then 'GENERIC_PII' else 'GENERIC_SECRET' end as entity_type,"
+        " round(avg(prob), 4) as confidence, cast(min(e - length(piece)) as bigint) as s, cast(max(e) as bigint) as e"
+        f" from {name}_g where kind > 0 group by k, g),"
+        f" {name} as (select x.k, 20 as pno, entity_type, confidence, s, e, substr(t.text, s + 1, e - s) as txt,"
+        f" 'semantic' as detector from {name}_s x join {src} t on t.k = x.k)"
     )
 
 
