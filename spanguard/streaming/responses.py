@@ -81,9 +81,8 @@ def assemble_stream(
             return
         latest = state.getCurrentWatermarkMs()
         for pdf in batches:
-            clean = pdf.astype(object).where(pdf.notna(), None)
-            rows += list(zip(clean["seq"], *[clean[c] for c in columns]))
-            latest = max(latest, int(pd.to_datetime(pdf[ts]).max().timestamp() * 1000))
+            rows += zip(pdf["seq"].tolist(), *[pdf[c].tolist() for c in columns])
+            latest = max(latest, *pdf["_ms"].tolist())
         rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: r[0])
         done = next((r[0] for r in rows if r[1] == "done"), None)
         if done is not None and sum(r[0] < done for r in rows) == done:
@@ -106,7 +105,7 @@ def assemble_stream(
 
     return (
         parsed.withWatermark(ts, watermark)
-        .select("request_id", "seq", ts, *columns)
+        .select("request_id", "seq", ts, F.unix_millis(ts).alias("_ms"), *columns)
         .groupBy("request_id")
         .applyInPandasWithState(
             step, _ASSEMBLED, _STATE, "append", GroupStateTimeout.EventTimeTimeout
