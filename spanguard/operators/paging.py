@@ -12,12 +12,14 @@ MAX_PAGE = 200
 
 def keyset_page(df: DataFrame, limit: int = 50, cursor=None) -> DataFrame:
     """`limit` + 1 rows after `cursor` = (created_at, id): the extra row says
-    that a next page exists. `page_cursor` reads the cursor off a page.
+    that a next page exists. `page_cursor` reads the cursor off a page, with the
+    time in microseconds since the epoch; a timestamp or its text does as well.
     """
     if not 1 <= limit <= MAX_PAGE:
         raise ValueError(f"limit must be within 1..{MAX_PAGE}")
     if cursor is not None:
-        ts, row_id = ts_lit(cursor[0]), F.lit(cursor[1])
+        at, row_id = cursor[0], F.lit(cursor[1])
+        ts = F.timestamp_micros(F.lit(at)) if isinstance(at, int) else ts_lit(at)
         df = df.filter(
             (F.col("created_at") < ts)
             | ((F.col("created_at") == ts) & (F.col("id") < row_id))
@@ -27,5 +29,5 @@ def keyset_page(df: DataFrame, limit: int = 50, cursor=None) -> DataFrame:
 
 def page_cursor(page: DataFrame, limit: int = 50):
     """Cursor of the next page, or None on the last one (reads limit + 1 rows)."""
-    rows = page.select("created_at", "id").take(limit + 1)
+    rows = page.select(F.unix_micros(F.col("created_at")), "id").take(limit + 1)
     return (rows[limit - 1][0], rows[limit - 1][1]) if len(rows) > limit else None

@@ -116,9 +116,7 @@ def resolve_rules(rules: DataFrame) -> DataFrame:
 def overlay_rule(resolved: DataFrame, candidate: DataFrame) -> DataFrame:
     """Resolved rules with the candidate's types replaced, enabled or not."""
     change = candidate.select("entity_type", "action", "min_confidence")
-    return resolved.join(F.broadcast(change), "entity_type", "left_anti").unionByName(
-        change
-    )
+    return resolved.join(change, "entity_type", "left_anti").unionByName(change)
 
 
 def rule_map(resolved: DataFrame) -> Column:
