@@ -16,7 +16,6 @@ from spanguard.schema import (
     DEFAULT_RULES,
     ENTITY_TYPES,
     POLICY_ID,
-    RULE,
     RULE_MAP,
     SEVERITY,
 )

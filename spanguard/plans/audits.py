@@ -200,16 +200,22 @@ _REQ = [
     " where length(text) > 0",
 )
 def scannable_messages(spark, sf):
-    """Requests as bodies with an array of messages, back to scannable rows."""
+    """Requests as bodies with an array of messages, back to scannable rows. A
+    conversation of more than a block of turns is sent in several bodies.
+    """
     turns = D.table(spark, sf, "conversations")
-    bodies = turns.groupBy("conv_id").agg(
+    part = F.floor(F.col("turn") / R.BLOCK).alias("part")
+    bodies = turns.groupBy("conv_id", part).agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias(
             "messages"
         )
     )
-    found = R.scannable_messages(bodies, "conv_id")
+    found = R.scannable_messages(bodies, "conv_id", "part")
     return found.select(
-        F.col("conv_id").cast("string").alias("request_id"), *big("idx"), "role", "content"
+        F.col("conv_id").cast("string").alias("request_id"),
+        (F.col("part") * R.BLOCK + F.col("idx")).alias("idx"),
+        "role",
+        "content",
     )
 
 

@@ -13,7 +13,7 @@ from spanguard.operators.scan import scan
 from spanguard.plans import derived as D
 from spanguard.plans import oracle as O
 from spanguard.plans.audits import _OUT
-from spanguard.plans.registry import big, counts_text, query, stamp_col
+from spanguard.plans.registry import counts_text, query, stamp_col
 from spanguard.schema import AUDIT
 from spanguard.session import shared_dir
 from spanguard.sources import tables
@@ -24,7 +24,9 @@ from spanguard.streaming import responses as S
 
 
 def request_bodies(spark, sf):
-    """Conversations as JSON request bodies with a field nobody knows."""
+    """Conversations as JSON request bodies with two fields nobody knows. One
+    with more than a block of turns is sent in several bodies.
+    """
     messages = F.transform(
         F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))),
         lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")),
@@ -34,10 +36,11 @@ def request_bodies(spark, sf):
         F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("user"), F.col("conv_id").cast("string"))).alias("user"),
         F.col("messages"),
         F.col("conv_id").alias("trace"),
+        F.col("part"),
     )
     turns = D.table(spark, sf, "conversations")
     return (
-        turns.groupBy("conv_id")
+        turns.groupBy("conv_id", F.floor(F.col("turn") / R.BLOCK).alias("part"))
         .agg(messages.alias("messages"))
         .select(F.to_json(body).alias("value"))
     )
@@ -54,9 +57,11 @@ def read_requests(spark, sf):
     path = shared_dir(spark, "requests")
     request_bodies(spark, sf).write.text(path)
     found = tables.read_requests(spark, path)
-    found = found.withColumn("trace", F.try_element_at("extra", F.lit("trace")))
-    rows = R.scannable_messages(found, "model", "user", "trace")
-    return rows.select("model", "user", "trace", *big("idx"), "role", "content")
+    extra = lambda name: F.try_element_at("extra", F.lit(name))
+    found = found.withColumns({"trace": extra("trace"), "part": extra("part").cast("bigint")})
+    rows = R.scannable_messages(found, "model", "user", "trace", "part")
+    idx = (F.col("part") * R.BLOCK + F.col("idx")).alias("idx")
+    return rows.select("model", "user", "trace", idx, "role", "content")
 
 
 # --- event lines of responses -------------------------------------------------------
