@@ -65,10 +65,13 @@ def exact_groups(
                 [ROW, "id", "sha", "digit", "rest"],
             )
 
-    shared = (
+    # Counts are stored before they are joined: a join can split a hot group only if
+    # its rows come straight from a shuffle on either side.
+    shared = stored(
         rows.select("text").mapInArrow(heads, "digit binary")
-        .groupBy("digit").agg(F.count("*").alias("n")).filter("n > 1").select("digit", F.lit(True).alias("shared"))
-    )
+        .groupBy("digit").agg(F.count("*").alias("n")).filter("n > 1").select("digit", F.lit(True).alias("shared")),
+        "radix-shared",
+    )
     first = rows.mapInArrow(digits, f"{ROW} long, id {kind}, sha string, digit binary, rest binary")
     state = stored(
         first.join(shared, "digit", "left").select(
@@ -90,8 +93,11 @@ def exact_groups(
             F.expr(f"substring(rest, {width + 1})").alias("rest"),
         )
         key = ["group", "digit", "ended"]
-        found = cut.groupBy(*key).agg(
-            F.count("*").alias("n"), F.max(F.struct("id", ROW)).alias("top"), F.min(ROW).alias("next")
+        found = stored(
+            cut.groupBy(*key).agg(
+                F.count("*").alias("n"), F.max(F.struct("id", ROW)).alias("top"), F.min(ROW).alias("next")
+            ),
+            f"radix-{level}-groups",
         )
         split = cut.join(found, key).withColumn("over", F.col("ended") | (F.col("n") == 1))
         state = stored(

@@ -202,12 +202,17 @@ def remove_repeats(
     all_places = rows.select(ROW, "text").mapInArrow(find, place).select(
         "anchor", "content", ROW, F.shiftleft("start", 20).bitwiseOR(F.col("owned")).alias("place")
     )
-    common = all_places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # Counts are stored before they are joined: a join can split a hot anchor only if
+    # its rows come straight from a shuffle on either side.
+    common = stored(
+        all_places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "common"
+    )
     places = stored(all_places.join(common, "anchor"), "anchors")
-    full = (
+    full = stored(
         places.groupBy("anchor", "content").agg(F.count("*").alias("n"))
         .groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > crowded)
-        .select("anchor", F.lit(True).alias("crowded"))
+        .select("anchor", F.lit(True).alias("crowded")),
+        "crowded",
     )
     wanted = (
         places.join(full, "anchor", "left")

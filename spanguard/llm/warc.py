@@ -154,9 +154,10 @@ def write_archives(
         F.col(url_col).alias("url"),
         F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("key", F.sha2("payload", 256))
-    many = (
+    many = stored(
         rows.filter(F.length("payload") >= revisit_from)
-        .groupBy("key").agg(F.max(F.struct("id", ROW)).alias("top"), F.count("*").alias("n")).filter("n > 1")
+        .groupBy("key").agg(F.max(F.struct("id", ROW)).alias("top"), F.count("*").alias("n")).filter("n > 1"),
+        "warc-repeats",
     )
     chosen = rows.join(many, "key", "left").select(
         ROW, "id", "url", "payload",
