@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterat
     """Cut batches into runs of rows whose bytes in `column` stay near `limit`."""
     for batch in batches:
         start = size = 0
-        lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
+        lengths = pc.binary_length(batch.column(column)).to_pylist()
         for i, n in enumerate(lengths):
             size += n or 0
             if size >= limit:
@@ -61,3 +63,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterat
                 start, size = i + 1, 0
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace the last column, a text, by its compressed bytes: less to shuffle."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        data = [press.compress(b) for b in as_bytes(batch.column(batch.num_columns - 1))]
+        columns = batch.columns[:-1] + [pa.array(data, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1] + ["packed"])

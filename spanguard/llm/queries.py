@@ -117,3 +117,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "-7L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", f"'{HOSTILE}' AS text"
     )
     return chat_digest(render(fold_events(log_of_rows(rows.unionByName(hostile)))))
+
+
+@query("op5_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanguard.llm.near_dedup import near_groups
+
+    return near_groups(read(spark, sf_dir, "documents"), words=3, percent=85).select(
+        "doc_id", "n_shingles", "component_id", "kept"
+    )

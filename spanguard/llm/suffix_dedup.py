@@ -31,7 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanguard.llm.common import ROW, as_bytes, id_type, row_number, stored
+from spanguard.llm.common import ROW, as_bytes, id_type, pack, row_number, stored
+from spanguard.llm.hashing import Hashes
 from spanguard.llm.suffixes import permuted_common_prefixes, suffix_array
 
 SPAN = 200
@@ -44,38 +45,6 @@ SHARD = 1 << 18
 #: Different segments of one anchor above which its strings are dealt one by one.
 CROWDED = 2000
 
-ODD = 0x9E3779B97F4A7C15
-MIX = np.uint64(0xD6E8FEB86659FD93)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base % 2**64))
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class Hashes:
-    """Hashes of any substrings of `data`, from sums over its prefixes."""
-
-    up = powers(ODD, 1)
-    down = powers(pow(ODD, -1, 2**64), 1)
-    codes = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        if len(Hashes.up) <= n:
-            size = max(n + 1, 1 << 16)
-            Hashes.up, Hashes.down = powers(ODD, size), powers(pow(ODD, -1, 2**64), size)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.codes[data] * self.up[:n], out=self.sums[1:])
-
-    def of(self, start, end) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * self.down[start]
-        h ^= h >> np.uint64(32)
-        h *= MIX
-        return h ^ (h >> np.uint64(29))
-
-
 def smallest(values: np.ndarray, window: int) -> np.ndarray:
     """The minimum of each window, from windows of doubling length."""
     done = 1
@@ -220,13 +189,6 @@ def remove_repeats(
         .agg(F.collect_list(F.struct("anchor", "content", "place", "crowded")).alias("places"))
     )
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            data = [press.compress(b) for b in as_bytes(batch.column(batch.num_columns - 1))]
-            columns = batch.columns[:-1] + [pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1] + ["packed"])
-
     kind = id_type(docs, id_col)
     texts = rows.select(ROW, "text").mapInArrow(pack, f"{ROW} long, packed binary")
 

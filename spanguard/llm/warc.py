@@ -35,6 +35,8 @@ FOOTER_BYTES = 9
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 28
+#: Plain bytes of records that a reading task is given.
+READ_BYTES = 1 << 24
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 MANIFEST = "record_id string, bundle string, frame int, offset long, length long"
@@ -202,7 +204,12 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     payload_digest (lower-case hex) and payload (null for a revisit). Both figures
     are of the full payload. A damaged frame or record fails the job.
     """
-    frames = manifest.groupBy("bundle", "frame").agg(F.collect_list(F.struct("offset", "length")).alias("places"))
+    # A frame's row is small however much it stands for, so Spark can't tell how many tasks are due.
+    size = manifest.agg(F.sum("length")).first()[0] or 0
+    frames = (
+        manifest.repartition(1 + size // READ_BYTES, "bundle", "frame").groupBy("bundle", "frame")
+        .agg(F.collect_list(F.struct("offset", "length")).alias("places"))
+    )
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, file, table = None, None, []
