@@ -126,3 +126,45 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"), words=3, percent=85).select(
         "doc_id", "n_shingles", "component_id", "kept"
     )
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanguard.llm.language_id import language_of_documents
+
+    return language_of_documents(read(spark, sf_dir, "documents")).drop("row_no")
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanguard.llm.quality import quality_of_documents
+
+    return quality_of_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query(
+    "op1_decontamination",
+    r"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
+    ), i AS (
+        SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark
+    ), ds AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS s
+        FROM d WHERE len(w) > 0
+    ), si AS (
+        SELECT DISTINCT item_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS s
+        FROM i WHERE len(w) > 0
+    ), n AS (SELECT item_id, count(*) AS n_item FROM si GROUP BY item_id)
+    SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
+    FROM ds JOIN si USING (s) JOIN n USING (item_id)
+    GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanguard.llm.decontamination import contained_items
+
+    found = contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("row_no")
