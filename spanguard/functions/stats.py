@@ -40,6 +40,8 @@ def nearest_rank(
     round_half_even(p * (n - 1)) of the sorted column. `ps` maps names to p.
     `parts` names conditions that split the rows; their counts come along.
 
+    Rows with a null value count in `parts` but have no rank.
+
     Rows are counted per distinct value before any shuffle. Ranks are found in
     two levels, so no window holds more than a 1024-value range or the list of
     ranges of a key. Both levels need the same columns of the counted rows, so
@@ -47,10 +49,10 @@ def nearest_rank(
     """
     keys, count = list(keys), {"_n": F.lit(True)}
     conditions = parts or count
-    hist = df.filter(F.col(value).isNotNull()).groupBy(
+    hist = df.groupBy(
         *keys, F.floor(F.col(value) / _COARSE).alias("_range"), F.col(value).alias("_v")
     ).agg(*[F.count_if(c).alias(name) for name, c in conditions.items()])
-    n = sum((F.col(name) for name in conditions), F.lit(0))
+    n = F.when(F.col("_v").isNotNull(), sum((F.col(name) for name in conditions), F.lit(0))).otherwise(0)
     fine = hist.withColumn(
         "_run", F.sum(n).over(W.partitionBy(*keys, "_range").orderBy("_v"))
     ).withColumn("_size", n)

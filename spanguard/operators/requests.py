@@ -248,14 +248,14 @@ def build_audit(
     policy: Policy | None = None,
 ) -> DataFrame:
     """Audit rows (`schema.AUDIT`). `meta` has one row per request: request_id,
-    created_at, user_id, model and the three latencies. A blocked request has
-    no output side.
+    created_at, user_id, model and the three latencies; a request without one
+    still gets its row, with nulls. A blocked request has no output side.
     """
     policy = policy or Policy()
     blocked = F.col("input_decision") == "BLOCK"
     unless_blocked = lambda c: F.when(~blocked, F.col(c))
     rows = (
-        evaluated.join(meta, "request_id")
+        evaluated.join(meta, "request_id", "left")
         .join(responses, "request_id", "left")
         .select(
             F.md5(F.concat(F.lit("audit|"), "request_id")).alias("id"),

@@ -196,27 +196,19 @@ _REQ = [
 
 @query(
     "scannable_messages",
-    "select cast(conv_id as varchar) as request_id, turn as idx, role, text as content from conversations"
-    " where length(text) > 0",
+    "select cast(conv_id as varchar) as request_id, idx, role, text as content from (select conv_id, role, text,"
+    " row_number() over (partition by conv_id order by turn) - 1 as idx from conversations) where length(text) > 0",
 )
 def scannable_messages(spark, sf):
-    """Requests as bodies with an array of messages, back to scannable rows. A
-    conversation of more than a block of turns is sent in several bodies.
-    """
+    """Requests as bodies with an array of messages, back to scannable rows."""
     turns = D.table(spark, sf, "conversations")
-    part = F.floor(F.col("turn") / R.BLOCK).alias("part")
-    bodies = turns.groupBy("conv_id", part).agg(
+    bodies = turns.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias(
             "messages"
         )
     )
-    found = R.scannable_messages(bodies, "conv_id", "part")
-    return found.select(
-        F.col("conv_id").cast("string").alias("request_id"),
-        (F.col("part") * R.BLOCK + F.col("idx")).alias("idx"),
-        "role",
-        "content",
-    )
+    found = R.scannable_messages(bodies, "conv_id")
+    return found.select(F.col("conv_id").cast("string").alias("request_id"), *big("idx"), "role", "content")
 
 
 @query(
@@ -330,7 +322,7 @@ def scan_outputs(spark, sf):
 _BUILT = [
     *_REQ,
     *_OUT,
-    f"meta as (select event_id as conv_id, {O.EVENT_COLUMNS} from events)",
+    f"meta as (select event_id as conv_id, {O.EVENT_COLUMNS} from events where event_id % {D.NO_META} <> 5)",
     "built as (select cast(d.conv_id as varchar) as request_id, m.created_at, m.user_id, m.model,"
     " d.decision as input_decision,"
     " case when d.decision <> 'BLOCK' then coalesce(o.output_decision, 'ALLOW') end as output_decision,"
@@ -339,7 +331,7 @@ _BUILT = [
     " sha256(p.prompt) as prompt_hash, p.prompt as prompt_redacted,"
     " case when d.decision <> 'BLOCK' then o.response_redacted end as response_redacted,"
     " m.detection_latency_ms, case when d.decision <> 'BLOCK' then m.any_llm_latency_ms end as llm_latency_ms,"
-    " m.total_latency_ms from dec d join meta m on m.conv_id = d.conv_id join prompt p on p.conv_id = d.conv_id"
+    " m.total_latency_ms from dec d left join meta m on m.conv_id = d.conv_id join prompt p on p.conv_id = d.conv_id"
     " left join rea on rea.conv_id = d.conv_id left join cnt on cnt.conv_id = d.conv_id"
     " left join outs o on o.conv_id = d.conv_id left join ocounts oc on oc.conv_id = d.conv_id)",
 ]
@@ -394,16 +386,13 @@ def write_audit(spark, sf):
     "read_audit",
     O.with_(*_BUILT)
     + "select cast(created_at as date)::varchar as day, input_decision, count(*) as n,"
-    " cast(sum(total_latency_ms) as bigint) as total_ms from built"
-    " where cast(created_at as date) = (select min(cast(created_at as date)) from built) group by all",
+    " cast(sum(total_latency_ms) as bigint) as total_ms from built group by all",
 )
 def read_audit(spark, sf):
-    """Pruned read: two columns of the first day's partition."""
+    """Pruned read: three columns of every day's partition."""
     path = shared_dir(spark, "audit")
     tables.write_audit(D.conversation_audit(spark, sf), path)
-    rows = tables.read_audit(spark, path)
-    first = rows.select(F.min("dt")).scalar()
-    rows = rows.select("dt", "input_decision", "total_latency_ms").filter(F.col("dt") == first)
+    rows = tables.read_audit(spark, path, "dt", "input_decision", "total_latency_ms")
     return rows.groupBy(F.col("dt").cast("string").alias("day"), "input_decision").agg(
         F.count("*").alias("n"), F.sum("total_latency_ms").alias("total_ms")
     )
@@ -633,14 +622,26 @@ def _ranks(src: str = "total_latency_ms") -> str:
     )
 
 
+_UNTIMED = (
+    "untimed as (select * replace (case when cast(request_id as bigint) % 9 <> 4 then total_latency_ms end"
+    " as total_latency_ms) from audit)"
+)
+
+
+def untimed(spark, sf):
+    """The audit table, some rows of which have no latency."""
+    timed = F.col("request_id").cast("bigint") % 9 != 4
+    return D.audit(spark, sf).withColumn("total_latency_ms", F.when(timed, F.col("total_latency_ms")))
+
+
 @query(
     "stats_summary",
-    _AUDIT
-    + f"select '7d' as \"window\", count(*) as total, {_EFFECTIVE}, {_ranks()} from audit"
+    O.with_(*O.AUDIT, _UNTIMED)
+    + f"select '7d' as \"window\", count(*) as total, {_EFFECTIVE}, {_ranks()} from untimed"
     f" where {since('7 days')}",
 )
 def stats_summary(spark, sf):
-    return A.stats_summary(D.audit(spark, sf), "7d", D.AS_OF)
+    return A.stats_summary(untimed(spark, sf), "7d", D.AS_OF)
 
 
 @query("latency_percentiles", _AUDIT + f"select input_decision, {_ranks()} from audit group by all")
@@ -666,8 +667,9 @@ def top_entities(spark, sf):
     "timeseries",
     O.with_(
         *O.AUDIT,
+        _UNTIMED,
         f"b as (select least(28, cast(floor(epoch_us(created_at - ({AS_OF_SQL} - interval 7 days)) / 21600000000) as int)) as i,"
-        f" effective, total_latency_ms from audit where {since('7 days')})",
+        f" effective, total_latency_ms from untimed where {since('7 days')})",
         f"g as (select i, {_EFFECTIVE}, {O.nearest('total_latency_ms', 0.95)} as p95 from b group by i)",
     )
     + f"select strftime({AS_OF_SQL} - interval 7 days + to_hours(6 * s.i), {O.STAMP}) as bucket,"
@@ -675,7 +677,7 @@ def top_entities(spark, sf):
     " coalesce(p95, 0)::double as p95_ms from (select unnest(range(0, 29)) as i) s left join g on g.i = s.i",
 )
 def timeseries(spark, sf):
-    points = A.timeseries(D.audit(spark, sf), "7d", "6h", D.AS_OF)
+    points = A.timeseries(untimed(spark, sf), "7d", "6h", D.AS_OF)
     return points.withColumn("bucket", stamp_col("bucket"))
 
 

@@ -16,9 +16,10 @@ from spanguard.functions.spans import redact, redaction_counts
 from spanguard.operators.requests import build_audit, evaluate_requests, scan_messages, scan_outputs
 from spanguard.operators.scan import scan
 from spanguard.schema import AUDIT, COUNTS, POLICY_ID
-from spanguard.session import spread
 
 AS_OF = datetime(2024, 1, 31)
+INPUT_PARTITIONS = "spanguard.inputPartitions"
+NO_META = 13  # conversations of this remainder class have no event of their own
 DETECT_SHARE, LLM_SHARE = 5, 2  # total / 5 is detection time, total / 2 the model's
 
 
@@ -48,9 +49,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Columns of the documents as they are stored. A caller who knows that the
+    table is one file too small for the cores asks for `INPUT_PARTITIONS`.
+    """
+    docs, asked = table(spark, sf, "documents").select(*columns), spark.conf.get(INPUT_PARTITIONS, None)
+    return docs.repartition(int(asked)) if asked else docs
+
+
 def planted(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, text) of all documents with their suffix."""
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = documents(spark, sf, "doc_id", "text")
     return docs.select("doc_id", F.expr(f"concat(text, {plant('doc_id')})").alias("text"))
 
 
@@ -89,9 +98,9 @@ def choices(spark: SparkSession, sf: str) -> DataFrame:
 
 def request_meta(spark: SparkSession, sf: str) -> DataFrame:
     """Time, user, model and latencies of each request, from the event with the
-    number of the conversation.
+    number of the conversation; one in `NO_META` has none.
     """
-    return table(spark, sf, "events").select(
+    return table(spark, sf, "events").filter(F.col("event_id") % NO_META != 5).select(
         F.col("event_id").cast("string").alias("request_id"), *_event_columns()
     )
 
@@ -119,8 +128,7 @@ def document_sides(spark: SparkSession, sf: str) -> DataFrame:
     """Per document the audit columns of a request that sends its text and is
     answered with one short line.
     """
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
-    docs = docs.select(
+    docs = documents(spark, sf, "doc_id", "text", "lang", "source").select(
         "doc_id",
         F.expr(f"concat(text, {plant('doc_id')})").alias("prompt"),
         F.expr(f"concat('on ', lang, ' ', source, {plant('doc_id + 3')})").alias("answer"),

@@ -203,27 +203,28 @@ def semantic_findings(spark, sf):
     return _flat(S.long_findings(found, "doc_id"), "doc_id")
 
 
-# Token scores from the embeddings: the first 60 numbers are 12 tokens of 5
-# logits; every fifth token, and the first one, has the offsets of a special.
-_TOKENS = 12
+# Token scores from the embeddings: every five numbers are the logits of a token,
+# the last of which may lack some; every fifth token, and the first one, has the
+# offsets of a special.
+_NO_LOGIT = -80.0
 
 
 def embedding_scores(spark, sf):
     scores = F.expr(
-        f"transform(sequence(0, {_TOKENS - 1}), t -> named_struct("
+        "transform(filter(sequence(0, size(embedding)), t -> t * 5 < size(embedding)), t -> named_struct("
         "'start', if(t % 5 = 0, 0, t * 4), 'end', if(t % 5 = 0, 0, t * 4 + 3),"
-        " 'logits', transform(slice(embedding, t * 5 + 1, 5), x -> cast(x as double) * 8)))"
+        " 'logits', transform(sequence(0, 4), i -> coalesce(cast(get(embedding, t * 5 + i) as double) * 8,"
+        f" {_NO_LOGIT}D))))"
     )
     vectors = D.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return vectors.select(
-        "vec_id", F.lit("0123456789" * 5).alias("text"), scores.alias("scores")
-    )
+    text = F.expr("repeat('0123456789', size(embedding))")
+    return vectors.select("vec_id", text.alias("text"), scores.alias("scores"))
 
 
 _TOKEN_SQL = [
-    "tok as (select vec_id, t, embedding[t * 5 + 1 : t * 5 + 5] as lg from"
-    f" (select vec_id, embedding, unnest(range(0, {_TOKENS})) as t from embeddings)),"
-    "logit as (select vec_id, t, list_transform(lg, lambda x: cast(x as double) * 8) as lg from tok),"
+    "tok as (select vec_id, embedding, unnest(range(0, (len(embedding) + 4) // 5)) as t from embeddings),"
+    "logit as (select vec_id, t, list_transform(range(1, 6), lambda i:"
+    f" coalesce(cast(embedding[t * 5 + i] as double) * 8, {_NO_LOGIT}::double)) as lg from tok),"
     "best as (select vec_id, t, list_max(lg) as top,"
     " list_position(lg, list_max(lg)) - 1 as label,"
     " 1.0 / list_sum(list_transform(lg, lambda x: exp(x - list_max(lg)))) as prob from logit),"
@@ -242,7 +243,7 @@ _TOKEN_SQL = [
     O.with_(*_TOKEN_SQL)
     + "select vec_id, case first_l when 1 then 'GENERIC_PII' else 'GENERIC_SECRET' end as entity_type,"
     " cast(s as bigint) as start, cast(e as bigint) as \"end\","
-    " substr(repeat('0123456789', 5), s + 1, greatest(0, e - s)) as matched_text,"
+    " substr(repeat('0123456789', 1 + e // 10), s + 1, greatest(0, e - s)) as matched_text,"
     " round(conf, 4) as confidence from span where first_l in (1, 3)",
 )
 def bio_decode(spark, sf):

@@ -306,17 +306,18 @@ def entity_prf(spark, sf):
     "align_subwords",
     O.with_(
         *_TOKEN_SQL,
-        "pieces as (select vec_id, i, case when i in (0, 19) then null else (i - 1) * (7 + vec_id % 3) // 10 end as w"
-        " from (select vec_id, unnest(range(0, 20)) as i from embeddings)),"
+        "pieces as (select vec_id, i, case when i in (0, n - 1) then null else (i - 1) * (7 + vec_id % 3) // 10 end as w"
+        " from (select vec_id, n, unnest(range(0, n)) as i from"
+        " (select vec_id, 2 * ((len(embedding) + 4) // 5) as n from embeddings))),"
         "al as (select p.vec_id, p.i, case when p.w is null then -100 when lag(p.w) over (partition by p.vec_id order by p.i) = p.w"
         " and b.label in (1, 3) then b.label + 1 else coalesce(b.label, 0) end as l from pieces p"
         " left join best b on b.vec_id = p.vec_id and b.t = p.w)",
     )
-    + "select vec_id, string_agg(cast(l as varchar), ',' order by i) || repeat(',-100', 108) as labels from al group by vec_id",
+    + "select vec_id, string_agg(cast(l as varchar), ',' order by i) || repeat(',-100', greatest(0, 128 - count(*))) as labels from al group by vec_id",
 )
 def align_subwords(spark, sf):
     words = (
-        "transform(sequence(0, 19), i -> if(i in (0, 19), null,"
+        "transform(sequence(0, 2 * size(pred) - 1), i -> if(i in (0, 2 * size(pred) - 1), null,"
         " cast((i - 1) * (7 + vec_id % 3) div 10 as int)))"
     )
     pairs = label_pairs(spark, sf).withColumn("words", F.expr(words))

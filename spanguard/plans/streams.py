@@ -24,44 +24,57 @@ from spanguard.streaming import responses as S
 
 
 def request_bodies(spark, sf):
-    """Conversations as JSON request bodies with two fields nobody knows. One
-    with more than a block of turns is sent in several bodies.
+    """Conversations as JSON request bodies with a field nobody knows, in the
+    body and in each message; every eleventh is broken, every seventeenth lacks
+    its messages.
     """
     messages = F.transform(
         F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))),
-        lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")),
+        lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), m["turn"].alias("weight")),
     )
-    body = F.struct(
+    conv = F.col("conv_id")
+    head = [
         F.lit("chat-1").alias("model"),
-        F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("user"), F.col("conv_id").cast("string"))).alias("user"),
-        F.col("messages"),
-        F.col("conv_id").alias("trace"),
-        F.col("part"),
-    )
-    turns = D.table(spark, sf, "conversations")
-    return (
-        turns.groupBy("conv_id", F.floor(F.col("turn") / R.BLOCK).alias("part"))
-        .agg(messages.alias("messages"))
-        .select(F.to_json(body).alias("value"))
+        F.when(conv % 2 == 0, F.concat(F.lit("user"), conv.cast("string"))).alias("user"),
+        conv.alias("trace"),
+    ]
+    body = F.to_json(F.struct(*head, "messages"))
+    bodies = D.table(spark, sf, "conversations").groupBy("conv_id").agg(messages.alias("messages"))
+    return bodies.select(
+        F.when(conv % 11 == 3, body.substr(F.lit(1), F.length(body) - 1))
+        .when(conv % 17 == 4, F.to_json(F.struct(*head)))
+        .otherwise(body)
+        .alias("value")
     )
 
 
 @query(
     "read_requests",
     "select 'chat-1' as model, case when conv_id % 2 = 0 then 'user' || conv_id end as \"user\","
-    " cast(conv_id as varchar) as trace, turn as idx, role, text as content from"
-    " (select conv_id, role, text, row_number() over (partition by conv_id order by turn) - 1 as turn"
-    " from conversations) where length(text) > 0",
+    " cast(conv_id as varchar) as trace, idx, role, text as content, cast(turn as varchar) as weight from"
+    " (select conv_id, role, text, turn, row_number() over (partition by conv_id order by turn) - 1 as idx"
+    " from conversations) where length(text) > 0 and conv_id % 11 <> 3 and conv_id % 17 <> 4",
 )
 def read_requests(spark, sf):
     path = shared_dir(spark, "requests")
     request_bodies(spark, sf).write.text(path)
-    found = tables.read_requests(spark, path)
-    extra = lambda name: F.try_element_at("extra", F.lit(name))
-    found = found.withColumns({"trace": extra("trace"), "part": extra("part").cast("bigint")})
-    rows = R.scannable_messages(found, "model", "user", "trace", "part")
-    idx = (F.col("part") * R.BLOCK + F.col("idx")).alias("idx")
-    return rows.select("model", "user", "trace", idx, "role", "content")
+    found = tables.read_requests(spark, path).withColumn("trace", F.try_element_at("extra", F.lit("trace")))
+    rows = found.select("model", "user", "trace", F.posexplode("messages").alias("idx", "m"))
+    return rows.filter(F.length("m.content") > 0).select(
+        "model", "user", "trace", F.col("idx").cast("bigint").alias("idx"), "m.role", "m.content",
+        F.try_element_at("m.extra", F.lit("weight")).alias("weight"),
+    )
+
+
+@query(
+    "rejected_requests",
+    "select case when conv_id % 11 = 3 then 'the body is no JSON object' else 'messages are missing or no list' end as reason,"
+    " count(distinct conv_id) as n from conversations where conv_id % 11 = 3 or conv_id % 17 = 4 group by all",
+)
+def rejected_requests(spark, sf):
+    path = shared_dir(spark, "requests")
+    request_bodies(spark, sf).write.text(path)
+    return tables.rejected_requests(spark, path).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 # --- event lines of responses -------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -36,15 +36,3 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="spanguard-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Rebalance a scan that would leave at least half of the cores idle.
-
-    A table of many files is left alone; one small file with a single row
-    group would otherwise keep every regex in one task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if 2 * df.rdd.getNumPartitions() > cores:
-        return df
-    return df.repartition(cores, *cols)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,35 +18,59 @@ def read_labeled(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-_KNOWN = "model user stream messages".split()
+# The fields of a request body.
+_KNOWN = ["model", "user", "stream", "messages"]
+_FIELDS = "map<string,string>"
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """Chat requests (JSON lines). Fields beyond the known ones stay in `extra`,
-    a map from name to JSON text.
+    a map from name to JSON text, of the body and of each message. Bodies that
+    are refused come from `rejected_requests`.
     """
-    return parse_requests(spark.read.text(path), "value").filter(F.col("messages").isNotNull())
+    return parse_requests(_lines(spark, path), "value").filter("reason is null").drop("reason")
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).filter("trim(value) <> ''")
+
+
+def rejected_requests(spark: SparkSession, path: str) -> DataFrame:
+    """The bodies (`value`) that `read_requests` leaves out, each with its reason."""
+    lines = _lines(spark, path)
+    found = parse_requests(lines.withColumn("_body", F.col("value")), "_body")
+    return found.filter("reason is not null").select("value", "reason")
 
 
 def parse_requests(df: DataFrame, body: str) -> DataFrame:
-    schema = T.StructType(
-        [
-            T.StructField("model", T.StringType()),
-            T.StructField("user", T.StringType()),
-            T.StructField("stream", T.BooleanType()),
-            T.StructField("messages", T.ArrayType(MESSAGE)),
-        ]
-    )
-    fields = F.from_json(body, "map<string,string>")
+    """Parsed bodies; `reason` says why one is to be refused."""
+    schema = "model string, user string, stream boolean, messages array<string>"
+    known = MESSAGE.fieldNames()
+
+    def message(text: Column) -> Column:
+        fields = F.from_json(text, _FIELDS)
+        rest = F.map_filter(fields, lambda k, _: ~k.isin(known))
+        values = [F.try_element_at(fields, F.lit(name)).alias(name) for name in known]
+        return F.struct(*values, rest.alias("extra"))
+
+    fields = F.from_json(body, _FIELDS)
     others = F.map_filter(fields, lambda k, _: ~k.isin(_KNOWN))
-    return df.withColumn("_r", F.from_json(body, schema)).select(
+    is_list = F.col("_r.messages").isNotNull()
+    no_role = F.exists("messages", lambda m: m["role"].isNull())
+    parsed = df.withColumn("_r", F.from_json(body, schema)).select(
         *[c for c in df.columns if c != body],
         "_r.model",
         "_r.user",
         F.coalesce("_r.stream", F.lit(False)).alias("stream"),
-        "_r.messages",
+        F.when(is_list, F.transform("_r.messages", message)).alias("messages"),
         others.alias("extra"),
     )
+    reason = (
+        F.when(F.col("extra").isNull(), "the body is no JSON object")
+        .when(F.col("messages").isNull(), "messages are missing or no list")
+        .when(no_role, "a message has no role")
+    )
+    return parsed.withColumn("reason", reason)
 
 
 def write_audit(audit: DataFrame, path: str) -> None:

@@ -4,8 +4,9 @@ import pytest
 from oracle_check import compare, duck
 
 import __spark_entry__ as entry
+from spanguard.plans import catalog
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, catalog.SQL
 
 
 @pytest.fixture(scope="module")

@@ -31,6 +31,11 @@ def test_scan_has_no_shuffle_and_no_python(spark, sf):
     assert text.count("regexp_replace(") == ONE_SCAN
 
 
+def test_registered_inputs_are_scanned_where_they_are(spark, sf):
+    assert "Exchange" not in plan(D.scanned(spark, sf))
+    assert "Exchange" not in plan(D.document_sides(spark, sf))
+
+
 def test_rule_table_is_read_without_a_join(spark, sf):
     text = plan(S.scan(documents(spark, sf), Policy(rules=default_rules(spark))))
     assert "Subquery" in text

@@ -127,7 +127,20 @@ def test_request_files(spark, tmp_path):
     path.write_text("\n\n".join(json.dumps(b) for b in bodies) + "\n\n")
     df = tables.read_requests(spark, str(path))
     assert {(r.stream, r.extra.get("seed")) for r in df.collect()} == {(False, "3"), (True, None)}
+    assert [m.extra for r in df.collect() for m in r.messages] == [{}] * 4
     found = R.scannable_messages(df, "user").collect()
     assert {(r.idx, r.role, r.content) for r in found} == {(0, "user", "hi"), (0, "system", "é")}
     users = df.withColumn("x_user_id", F.lit(None).cast("string")).select(R.user_of().alias("u"))
     assert {r.u for r in users.collect()} == {"anonymous"}
+
+
+def test_refused_bodies_are_kept_with_a_reason(spark, tmp_path):
+    path = tmp_path / "requests.jsonl"
+    good = {"messages": [{"role": "assistant", "content": None, "tool_calls": [{"id": "t1"}]}]}
+    bad = ["{", "[1]", '{"model": "m"}', '{"messages": "x"}', '{"messages": [{"content": "no role"}]}']
+    path.write_text("\n".join([json.dumps(good), *bad]))
+    (kept,) = tables.read_requests(spark, str(path)).collect()
+    assert kept.messages[0].extra == {"tool_calls": '[{"id":"t1"}]'}
+    refused = {r.value: r.reason for r in tables.rejected_requests(spark, str(path)).collect()}
+    assert set(refused) == set(bad)
+    assert refused["{"] == "the body is no JSON object" and "role" in refused[bad[-1]]
