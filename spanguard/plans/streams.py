@@ -6,6 +6,7 @@ Streams are drained with `availableNow` into tables of the shared folder.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanguard.operators import requests as R
 from spanguard.operators import rules
@@ -188,8 +189,7 @@ def assembled(spark, sf):
 @query("assemble_stream", _ASSEMBLED_SQL)
 def assemble_stream(spark, sf):
     path = J.run_to_parquet(assembled(spark, sf), "assembled")
-    rows = spark.read.parquet(path).filter(F.col("status") == "done")
-    return rows.select(
+    return spark.read.parquet(path).select(
         "request_id", "content", "finish_reason", F.size("chunks").cast("bigint").alias("n_chunks")
     )
 
@@ -249,7 +249,7 @@ _FAILED = (
     " any_value(message) as message, count(*) as n from failed group by all",
 )
 def failed_streams(spark, sf):
-    """Error events as failed responses, counted by hour and cause."""
+    """Error events as a stream of failed responses, counted by hour and cause."""
     causes = F.array(*[F.lit(c) for c, _, _ in S.FAILURES])
     status = F.when(
         F.col("event_type") == "error", F.get(causes, (F.col("event_id") % 3).cast("int"))
@@ -257,10 +257,11 @@ def failed_streams(spark, sf):
     events = D.table(spark, sf, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), status.alias("status")
     )
-    failed = S.failed_streams(events)
-    counted = J.failures_by_cause(failed, "1h")
-    names = failed.select("error_type", "message").distinct()  # three causes
-    return counted.join(names, "error_type").select(
+    source = shared_dir(spark, "responses")
+    events.write.parquet(source)
+    failed = S.failed_streams(spark.readStream.schema(events.schema).parquet(source))
+    records = spark.read.schema(failed.schema).parquet(J.run_to_parquet(failed, "failures"))
+    return J.failures_by_cause(records, "1h").select(
         stamp_col("window_start").alias("window_start"), "error_type", "message", "n"
     )
 
@@ -269,11 +270,16 @@ def failed_streams(spark, sf):
 
 
 def audit_source(spark, sf, *columns):
-    """The derived audit table as a stream, every row delivered twice."""
+    """The derived audit table as a stream of three batches. Every row comes
+    twice, in the same batch or two batches later, and days come in any order.
+    """
     path = shared_dir(spark, "audit-source")
     rows = D.audit(spark, sf).select(*(columns or AUDIT.fieldNames()))
-    rows.unionByName(rows).write.parquet(path)
-    return spark.readStream.schema(rows.schema).parquet(path)
+    n = F.col("request_id").cast("bigint") % 3
+    part = F.explode(F.array(n, F.when(n == 1, n).otherwise(2 - n))).alias("part")
+    rows.select("*", part).repartition(3, "part").write.partitionBy("part").parquet(path)
+    schema = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType())])
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).drop("part")
 
 
 @query(
@@ -285,9 +291,8 @@ def audit_source(spark, sf, *columns):
 def audit_stream(spark, sf):
     """Rows appended once each although the source repeats them."""
     columns = ("request_id", "created_at", "input_decision", "input_redactions", "total_latency_ms")
-    stream = J.audit_stream(audit_source(spark, sf, *columns), "31 days")
-    path = J.run_to_parquet(stream, "audit-sink", ("dt",))
-    rows = spark.read.parquet(path)
+    stream = audit_source(spark, sf, *columns)
+    rows = J.read_appended(spark, J.append_audit(stream), stream.schema)
     return rows.groupBy(F.col("dt").cast("string").alias("day"), "input_decision").agg(
         F.count("*").alias("n"), F.countDistinct("request_id").alias("n_requests")
     )
@@ -299,17 +304,15 @@ def audit_stream(spark, sf):
         *O.AUDIT,
         "w as (select time_bucket(interval 1 hour, created_at) as w, effective as decision, count(*) as n from audit group by all)",
     )
-    + f"select strftime(w, {O.STAMP}) as window_start, decision, n from w"
-    " where w + interval 1 hour <= (select max(created_at) from audit) - interval 10 minutes",
+    + f"select strftime(w, {O.STAMP}) as window_start, decision, n from w",
 )
 def live_metrics(spark, sf):
-    """Windows that the watermark has closed."""
+    """All windows, those that are still open too."""
     path = shared_dir(spark, "metric-source")
     rows = D.audit(spark, sf).select("created_at", "input_decision", "output_decision")
     rows.write.parquet(path)
     stream = spark.readStream.schema(rows.schema).parquet(path)
-    out = J.run_to_parquet(J.live_metrics(stream, "1h", "10 minutes"), "live-metrics")
-    found = spark.read.parquet(out)
+    found = J.latest_metrics(spark, J.run_live_metrics(J.live_metrics(stream, "1h", "10 minutes")))
     return found.select(stamp_col("window_start").alias("window_start"), "decision", "n")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanguard.functions.policy import effective_decision
 from spanguard.functions.stats import parse_duration
@@ -16,17 +17,27 @@ from spanguard.session import shared_dir
 
 
 def run_to_parquet(
-    df: DataFrame, name: str, partition_by: tuple[str, ...] = (), path: str | None = None
+    df: DataFrame,
+    name: str,
+    partition_by: tuple[str, ...] = (),
+    path: str | None = None,
+    checkpoint: str | None = None,
+    trigger: dict | None = None,
 ) -> str:
-    """Drain a stream into a new Parquet table in the shared folder; its path."""
+    """Append a stream to a Parquet table; its path.
+
+    With the `path` and `checkpoint` of an earlier run it goes on where that
+    ended; by default both are new, in the shared folder. It ends when the source
+    is drained unless `trigger` says otherwise (`{"processingTime": "1 minute"}`).
+    """
     spark = df.sparkSession
     path = path or shared_dir(spark, name)
     writer = (
         df.writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
-        .option("checkpointLocation", shared_dir(spark, f"{name}-checkpoint"))
-        .trigger(availableNow=True)
+        .option("checkpointLocation", checkpoint or shared_dir(spark, f"{name}-checkpoint"))
+        .trigger(**(trigger or {"availableNow": True}))
     )
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -34,18 +45,56 @@ def run_to_parquet(
     return path
 
 
-def audit_stream(audit: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Audit rows, one per request id within the watermark, with the day."""
-    return (
-        audit.withWatermark("created_at", watermark)
-        .dropDuplicatesWithinWatermark(["request_id"])
-        .withColumn("dt", F.to_date("created_at"))
+def _by_batch(
+    df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str, trigger: dict | None
+) -> None:
+    """Hand every micro-batch to `write`, which must replace what it wrote before."""
+    (
+        df.writeStream.foreachBatch(write)
+        .outputMode(mode)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+        .awaitTermination()
     )
 
 
+def append_audit(
+    audit: DataFrame, path: str | None = None, checkpoint: str | None = None, trigger: dict | None = None
+) -> str:
+    """Append a stream of audit rows to a table, one row per request id; its path.
+
+    There is no watermark, so no row is too late. A micro-batch leaves out the
+    requests that the table already has on the days it brings (a repeated row has
+    the same time), and writes a folder of its own, which a repeat of the batch
+    replaces. Pass `path` and `checkpoint` of an earlier run to go on.
+    """
+    spark, schema = audit.sparkSession, audit.schema
+    path = path or shared_dir(spark, "audit-sink")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        rows = batch.dropDuplicates(["request_id"]).withColumn("dt", F.to_date("created_at"))
+        first, last = rows.agg(F.min("dt"), F.max("dt")).first()
+        if batch_id > 0:
+            there = read_appended(session, path, schema).filter(F.col("batch") < batch_id)
+            there = there.filter(F.col("dt").isNull() | F.col("dt").between(first, last))
+            rows = rows.join(there.select("request_id"), "request_id", "left_anti")
+        rows.write.mode("overwrite").partitionBy("dt").parquet(f"{path}/batch={batch_id}")
+
+    _by_batch(audit, write, checkpoint or shared_dir(spark, "audit-checkpoint"), "append", trigger)
+    return path
+
+
+def read_appended(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of `append_audit` with their `batch` and `dt`."""
+    parts = T.StructType([*schema.fields, T.StructField("batch", T.LongType()), T.StructField("dt", T.DateType())])
+    return spark.read.schema(parts).parquet(path)
+
+
 def live_metrics(audit: DataFrame, window: str = "5m", watermark: str = "10 minutes") -> DataFrame:
-    """Requests per tumbling window and effective decision. A window is emitted
-    when the watermark passes its end; rows later than that are dropped.
+    """Requests per tumbling window and effective decision. The watermark bounds
+    the windows in memory; rows later than that are dropped.
     """
     return (
         audit.withWatermark("created_at", watermark)
@@ -56,6 +105,26 @@ def live_metrics(audit: DataFrame, window: str = "5m", watermark: str = "10 minu
     )
 
 
+def run_live_metrics(
+    metrics: DataFrame, path: str | None = None, checkpoint: str | None = None, trigger: dict | None = None
+) -> str:
+    """Keep the counts of `live_metrics` up to date in a table, open windows too; its path."""
+    spark = metrics.sparkSession
+    path = path or shared_dir(spark, "live-metrics")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    _by_batch(metrics, write, checkpoint or shared_dir(spark, "metrics-checkpoint"), "update", trigger)
+    return path
+
+
+def latest_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The newest count of every window and decision."""
+    rows = spark.read.schema("window_start timestamp, decision string, n bigint, batch bigint").parquet(path)
+    return rows.groupBy("window_start", "decision").agg(F.max_by("n", "batch").alias("n"))
+
+
 def _seconds(window: str) -> str:
     return f"{int(parse_duration(window).total_seconds())} seconds"
 
@@ -91,7 +160,8 @@ def scan_with_live_rules(
 
 
 def failures_by_cause(failed: DataFrame, window: str, ts: str = "ts") -> DataFrame:
-    """Failed responses per window and error type."""
-    return failed.groupBy(window_start(ts, window).alias("window_start"), "error_type").agg(
+    """Failed responses per window and error type, with its message."""
+    cause = ("error_type", "message")
+    return failed.groupBy(window_start(ts, window).alias("window_start"), *cause).agg(
         F.count(F.lit(1)).alias("n")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -55,10 +56,19 @@ _ASSEMBLED = (
     "request_id string, content string, finish_reason string, chunks array<string>,"
     " status string"
 )
-_STATE = (
-    "seqs array<bigint>, kinds array<string>, payloads array<string>,"
-    " contents array<string>, reasons array<string>"
-)
+_NAMES = ["request_id", "content", "finish_reason", "chunks", "status"]
+# Line numbers so far, the lines of each batch as JSON, the number of the [DONE]
+# line, and whether the response has been emitted.
+_STATE = "seqs array<bigint>, blocks array<string>, done bigint, closed boolean"
+
+
+def _response(request_id: str, blocks: list[str], done: int | None, status: str) -> pd.DataFrame:
+    rows = sorted(r for b in blocks for r in json.loads(b))
+    chunks = [r for r in rows if r[1] == "chunk" and (done is None or r[0] < done)]
+    reasons = [r[4] for r in chunks if r[4]]
+    content = "".join(r[3] or "" for r in chunks)
+    row = request_id, content, reasons[-1] if reasons else None, [r[2] for r in chunks], status
+    return pd.DataFrame([row], columns=_NAMES)
 
 
 def assemble_stream(
@@ -67,41 +77,39 @@ def assemble_stream(
     """Whole responses from (request_id, seq, ts, ...) rows of `read_sse_lines`.
 
     A response is emitted once its [DONE] line and all lines before it have
-    arrived, in whatever order and over however many batches; lines after it
-    are ignored. A response that stays incomplete for `timeout_ms` of event
-    time is emitted with status `abandoned` and no content.
+    arrived, in whatever order and over however many batches. Lines after it are
+    ignored, in later batches too: an emitted response leaves a mark behind until
+    `timeout_ms` of event time have passed. One that stays incomplete so long is
+    emitted with status `abandoned` and what there is of it.
+
+    A batch adds its lines to the state as one block; earlier ones are not touched.
     """
     columns = "kind", "payload", "content", "finish_reason"
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        rows = list(zip(*state.get)) if state.exists else []
+        seqs, blocks, done, closed = state.get if state.exists else ([], [], None, False)
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame([(key[0], None, None, None, "abandoned")], columns=_names())
+            if not closed:
+                yield _response(key[0], blocks, done, "abandoned")
             return
-        latest = state.getCurrentWatermarkMs()
+        seqs, latest, new = list(seqs), state.getCurrentWatermarkMs(), {}
+        known = set(seqs)
         for pdf in batches:
-            rows += zip(pdf["seq"].tolist(), *[pdf[c].tolist() for c in columns])
             latest = max(latest, *pdf["_ms"].tolist())
-        rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: r[0])
-        done = next((r[0] for r in rows if r[1] == "done"), None)
-        if done is not None and sum(r[0] < done for r in rows) == done:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame([_finish(key[0], rows, done)], columns=_names())
-        else:
-            state.update(tuple(list(col) for col in zip(*rows)))
-            state.setTimeoutTimestamp(latest + timeout_ms)
-
-    def _names():
-        return ["request_id", "content", "finish_reason", "chunks", "status"]
-
-    def _finish(request_id, rows, done):
-        chunks = [r for r in rows if r[0] < done and r[1] == "chunk"]
-        reasons = [r[4] for r in chunks if r[4]]
-        content = "".join(r[3] or "" for r in chunks)
-        last = reasons[-1] if reasons else None
-        return request_id, content, last, [r[2] for r in chunks], "done"
+            if not closed:
+                rows = zip(pdf["seq"].tolist(), *[pdf[c].tolist() for c in columns])
+                new |= {r[0]: r for r in rows if r[0] not in known}
+        seqs += new
+        ends = [r[0] for r in new.values() if r[1] == "done"]
+        done = min([*ends, *([done] if done is not None else [])], default=None)
+        if new:
+            blocks = [*blocks, json.dumps(list(new.values()))]
+        if not closed and done is not None and sum(s < done for s in seqs) == done:
+            yield _response(key[0], blocks, done, "done")
+            seqs, blocks, closed = [], [], True
+        state.update((seqs, list(blocks), done, closed))
+        state.setTimeoutTimestamp(latest + timeout_ms)
 
     return (
         parsed.withWatermark(ts, watermark)

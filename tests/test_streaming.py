@@ -65,11 +65,50 @@ def test_abandoned_response(spark, tmp_path):
     source = stream(spark, tmp_path, [lines("a", SPLIT[:3]), late, lines("c", [chunk("y")], 7300)])
     out = drain(S.assemble_stream(S.read_sse_lines(source)), "t").collect()
     assert {(r.request_id, r.status, r.content) for r in out} == {
-        ("a", "abandoned", None),
+        ("a", "abandoned", "mail me at a@"),
         ("b", "done", "x"),
     }
 
 
+def test_lines_after_the_end_in_a_later_batch(spark, tmp_path):
+    rows = lines("a", SPLIT)
+    much_later = lines("b", [chunk("x"), "data: [DONE]"], start=7200)
+    batches = [rows[:7], rows[7:] + rows[:2], much_later, lines("c", [chunk("y")], 7300)]
+    out = drain(S.assemble_stream(S.read_sse_lines(stream(spark, tmp_path, batches))), "t").collect()
+    assert sorted((r.request_id, r.status) for r in out) == [("a", "done"), ("b", "done")]
+
+
+def test_restart_from_a_checkpoint(spark, tmp_path):
+    rows, path, checkpoint = lines("a", SPLIT), str(tmp_path / "out"), str(tmp_path / "cp")
+    for part in (rows[:4], rows[4:], lines("b", [chunk("z"), "data: [DONE]"], start=30)):
+        source = stream(spark, tmp_path, [part])
+        J.run_to_parquet(S.assemble_stream(S.read_sse_lines(source)), "t", (), path, checkpoint)
+    out = {(r.request_id, r.content) for r in spark.read.parquet(path).collect()}
+    assert out == {("a", "mail me at a@b.co today"), ("b", "z")}
+
+
+def test_audit_rows_are_appended_once_however_late(spark, tmp_path):
+    schema = "request_id string, created_at timestamp"
+    path, checkpoint, source = (str(tmp_path / n) for n in ("out", "cp", "in"))
+    day = timedelta(days=1)
+    for rows in ([("a", T0), ("a", T0), ("b", T0 + 40 * day)], [("c", T0 - 90 * day), ("a", T0)], [("b", T0 + 40 * day), ("d", T0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        J.append_audit(spark.readStream.schema(schema).parquet(source), path, checkpoint)
+    found = J.read_appended(spark, path, spark.createDataFrame([], schema).schema)
+    assert sorted(r.request_id for r in found.collect()) == ["a", "b", "c", "d"]
+
+
+def test_metrics_show_open_windows(spark, tmp_path):
+    schema = "created_at timestamp, input_decision string, output_decision string"
+    path, checkpoint, source = (str(tmp_path / n) for n in ("out", "cp", "in"))
+    for minutes in (1, 2, 7):
+        rows = [(T0 + timedelta(minutes=minutes), "ALLOW", None)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        J.run_live_metrics(J.live_metrics(spark.readStream.schema(schema).parquet(source)), path, checkpoint)
+    got = {(r.window_start.minute, r.n) for r in J.latest_metrics(spark, path).collect()}
+    assert got == {(0, 2), (5, 1)}
+
+
 def test_batch_assembly_equals_stream(spark, tmp_path):
     rows = lines("a", SPLIT) + lines("b", [chunk("only"), chunk(None, "stop"), "data: [DONE]"])
     rows += lines("never", [chunk("lost")])
