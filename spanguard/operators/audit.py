@@ -41,14 +41,19 @@ def filter_entity(audit: DataFrame, entity_type: str) -> DataFrame:
     return audit.filter(has("input_redactions") | has("output_redactions"))
 
 
+def _within(q: str) -> str:
+    """Pattern of texts that hold `q`."""
+    return "%" + q.replace("\\", "\\\\") + "%"
+
+
 def search_text(audit: DataFrame, q: str, literal: bool = False) -> DataFrame:
     """Rows whose redacted prompt or response holds `q`. As in LIKE, % and _ are
-    wildcards unless `literal`.
+    wildcards unless `literal`; a backslash is only itself.
     """
     if literal:
         hit = lambda c: F.col(c).contains(q)
     else:
-        hit = lambda c: F.col(c).like(f"%{q}%")
+        hit = lambda c: F.col(c).like(_within(q))
     either = F.coalesce(hit("prompt_redacted"), F.lit(False)) | F.coalesce(
         hit("response_redacted"), F.lit(False)
     )
@@ -67,15 +72,16 @@ def filter_log(
     case, and a range of days.
     """
     audit = audit.filter(F.col("input_decision").isin(list(decisions) or SEVERITY))
-    day = F.to_date("created_at")
-    if date_from is not None:
-        audit = audit.filter(day >= F.lit(date_from).cast("date"))
-    if date_to is not None:
-        audit = audit.filter(day <= F.lit(date_to).cast("date"))
+    days = [F.to_date("created_at")] + ([F.col("dt")] if "dt" in audit.columns else [])
+    for day in days:
+        if date_from is not None:
+            audit = audit.filter(day >= F.lit(date_from).cast("date"))
+        if date_to is not None:
+            audit = audit.filter(day <= F.lit(date_to).cast("date"))
     if user.strip():
-        audit = audit.filter(F.col("user_id").ilike(f"%{user.strip()}%"))
+        audit = audit.filter(F.col("user_id").ilike(_within(user.strip())))
     if model.strip():
-        audit = audit.filter(F.col("model").ilike(f"%{model.strip()}%"))
+        audit = audit.filter(F.col("model").ilike(_within(model.strip())))
     return audit
 
 
@@ -91,8 +97,33 @@ def entity_types_of(audit: DataFrame) -> Column:
     return F.array_sort(F.array_union(keys("input_redactions"), keys("output_redactions")))
 
 
-_RECORD = "id ts decision matched_rule_ids latency_ms detector_confidence entity_types"
-_RECORD = [*_RECORD.split(), "request_preview", "tenant_id"]
+# The fields of the list view, in order.
+_RECORD = [
+    "id",
+    "ts",
+    "decision",
+    "matched_rule_ids",
+    "latency_ms",
+    "detector_confidence",
+    "entity_types",
+    "request_preview",
+    "tenant_id",
+]
+# What the detail view adds to them.
+_DETAIL = [
+    "input_decision",
+    "output_decision",
+    "model",
+    "reasons",
+    "input_redactions",
+    "output_redactions",
+    "prompt_redacted",
+    "response_redacted",
+    "detection_latency_ms",
+    "llm_latency_ms",
+    "total_latency_ms",
+    "policy_id",
+]
 
 
 def audit_record(audit: DataFrame) -> DataFrame:
@@ -120,15 +151,11 @@ def _with_record(audit: DataFrame) -> DataFrame:
 
 def audit_detail(audit: DataFrame, value: str, column: str = "id") -> DataFrame:
     """One row by id (or request_id), with what the list view leaves out."""
-    extra = (
-        "model reasons input_redactions output_redactions prompt_redacted"
-        " response_redacted detection_latency_ms llm_latency_ms total_latency_ms policy_id"
-    ).split()
     return (
         _with_record(audit.filter(F.col(column) == value))
         .withColumn("input_decision", F.lower("input_decision"))
         .withColumn("output_decision", F.lower("output_decision"))
-        .select(*_RECORD, "input_decision", "output_decision", *extra)
+        .select(*_RECORD, *_DETAIL)
     )
 
 

@@ -20,6 +20,8 @@ def keyset_page(df: DataFrame, limit: int = 50, cursor=None) -> DataFrame:
     if cursor is not None:
         at, row_id = cursor[0], F.lit(cursor[1])
         ts = F.timestamp_micros(F.lit(at)) if isinstance(at, int) else ts_lit(at)
+        if "dt" in df.columns:  # whole days after the cursor are skipped
+            df = df.filter(F.col("dt") <= F.to_date(ts))
         df = df.filter(
             (F.col("created_at") < ts)
             | ((F.col("created_at") == ts) & (F.col("id") < row_id))

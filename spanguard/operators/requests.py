@@ -19,6 +19,7 @@ from spanguard.operators.models import Detector
 from spanguard.operators.rules import Policy
 from spanguard.operators.scan import active_detectors, scan
 from spanguard.schema import AUDIT, COUNTS, ENTITY_TYPES
+from spanguard.session import shared_dir
 
 BLOCK = 256  # messages joined per first-level group
 
@@ -92,21 +93,20 @@ def _to_counts(values: dict[str, Column]) -> Column:
     return F.map_from_entries(F.array_compact(F.array(*entries))).cast(COUNTS)
 
 
-def request_counts(messages: DataFrame, keys: Sequence[str], mode: str = "overwrite"):
-    """`input_redactions` per request from the `counts` of its messages: the
-    last message that names a type wins; `sum` adds them up instead.
+def request_counts(messages: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Redactions per request from the `counts` of its messages:
+    `input_redactions`, where the last message that names a type wins, and
+    `summed`, where they add up.
     """
-    if mode == "sum":
-        aggs = {
-            t: F.sum(F.try_element_at(F.col("counts"), F.lit(t))) for t in ENTITY_TYPES
-        }
-        pick = lambda t: F.col(f"_{t}")
-    else:
-        aggs = {t: _latest(t, "idx", "counts") for t in ENTITY_TYPES}
-        pick = lambda t: F.col(f"_{t}.n")
-    wide = messages.groupBy(*keys).agg(*[a.alias(f"_{t}") for t, a in aggs.items()])
+    last = {t: _latest(t, "idx", "counts").alias(f"_{t}") for t in ENTITY_TYPES}
+    total = {
+        t: F.sum(F.try_element_at(F.col("counts"), F.lit(t))).alias(f"_sum_{t}") for t in ENTITY_TYPES
+    }
+    wide = messages.groupBy(*keys).agg(*last.values(), *total.values())
     return wide.select(
-        *keys, _to_counts({t: pick(t) for t in ENTITY_TYPES}).alias("input_redactions")
+        *keys,
+        _to_counts({t: F.col(f"_{t}.n") for t in ENTITY_TYPES}).alias("input_redactions"),
+        _to_counts({t: F.col(f"_sum_{t}") for t in ENTITY_TYPES}).alias("summed"),
     )
 
 
@@ -142,17 +142,17 @@ def redact_messages(scanned: DataFrame, *keys: str) -> DataFrame:
     """Messages as they may be forwarded: with all findings redacted once their
     request is not ALLOW, untouched otherwise.
 
-    Only requests that are masked or blocked are joined back; AQE splits the
+    The scan runs once: its messages are stored in the shared folder, then the
+    requests that are masked or blocked are joined to them. AQE splits the
     partition of a request with very many messages.
     """
-    hit = (
-        request_decisions(scanned, *keys)
-        .filter(F.col("input_decision") != "ALLOW")
-        .select(*keys, F.col("input_decision").alias("_hit"))
-    )
+    kept = scanned.select(*keys, "idx", "role", "content", "redacted", "severity")
+    path = shared_dir(scanned.sparkSession, "scanned-messages")
+    kept.write.parquet(path)
+    kept = scanned.sparkSession.read.schema(kept.schema).parquet(path)
+    hit = kept.filter("severity > 1").select(*keys, F.lit(True).alias("_hit")).distinct()
     return (
-        scanned.select(*keys, "idx", "role", "content", "redacted")
-        .join(hit, list(keys), "left")
+        kept.join(hit, list(keys), "left")
         .withColumn(
             "content",
             F.when(

@@ -21,6 +21,7 @@ from spanguard.schema import (
 )
 
 EPOCH = datetime(2024, 1, 1)
+POLICY_BYTES = 1 << 20  # read on the driver
 
 
 def rules_frame(spark: SparkSession, rules, created_at: datetime = EPOCH) -> DataFrame:
@@ -54,8 +55,11 @@ def read_rules(
     """Rules and globals of a policy file (YAML: policy_id, rules, output_scanning)."""
     import yaml
 
-    body = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
-    config = yaml.safe_load(body)
+    files = spark.read.format("binaryFile").load(path)
+    size = files.agg(F.sum("length")).first()[0] or 0
+    if size > POLICY_BYTES:
+        raise ValueError(f"a policy file may have {POLICY_BYTES} bytes, not {size}")
+    config = yaml.safe_load(b"\n".join(bytes(r.content) for r in files.orderBy("path").collect()))
     rules = rules_frame(
         spark,
         [
@@ -154,41 +158,56 @@ class Policy:
         return rule_map(self.rules if self.resolved else resolve_rules(self.rules))
 
 
+_COLUMNS = ["name", "description", "entity_type", "action", "min_confidence", "enabled"]
+
+
 def upsert_rules(rules: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
     """The next version of the rule table.
 
-    `changes` holds `op` (create, patch or delete) and the rule columns; a
-    patch leaves a column alone where its value is null. A new type brings its
+    `changes` holds `op` (create, patch or delete) and the rule columns; a patch
+    leaves a column alone where its value is null. Changes of one id apply in the
+    order of `seq`, if there is such a column: what came before a delete is gone,
+    and a patch of an id that isn't there changes nothing. A new type brings its
     category along, and actions are stored upper-case.
     """
-    old, new = rules.alias("o"), changes.alias("n")
-    joined = old.join(new, F.col("o.id") == F.col("n.id"), "full_outer")
-    # A patch of an unknown id changes nothing, a delete removes the row.
-    kept = joined.filter(
-        F.col("n.op").isNull()
-        | ((F.col("n.op") == "patch") & F.col("o.id").isNotNull())
-        | (F.col("n.op") == "create")
+    seq = F.col("seq") if "seq" in changes.columns else F.lit(0)
+    folded = changes.groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct(seq.alias("seq"), "op", *_COLUMNS))).alias("c")
     )
-    pick = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c)
-    entity_type = F.coalesce(F.col("n.entity_type"), F.col("o.entity_type"))
-    touched = F.col("n.op").isNotNull()
+    old = rules.select("id", F.struct("*").alias("o"))
+    steps = {
+        "gone": "coalesce(array_max(transform(c, (x, i) -> if(x.op = 'delete', i + 1, 0))), 0)",
+        "base": "o is not null and gone = 0",
+        "after": "slice(c, gone + 1, size(c))",
+        "start": "if(base, 1, coalesce(array_position(transform(after, x -> x.op), 'create'), 0))",
+        "live": "if(start > 0, slice(after, cast(start as int), size(after)), null)",
+    }
+    joined = old.join(folded, "id", "full_outer")
+    for name, expression in steps.items():
+        joined = joined.withColumn(name, F.expr(expression))
+
+    def changed(column: str) -> Column:
+        return F.expr(f"try_element_at(filter(transform(live, x -> x.{column}), v -> v is not null), -1)")
+
+    def pick(column: str) -> Column:
+        return F.coalesce(changed(column), F.when(F.col("base"), F.col("o")[column]))
+
+    kept = joined.filter(F.col("base") | (F.col("start") > 0))
+    created = F.when(F.col("base"), F.col("o.created_at"))
+    untouched = F.col("base") & (F.coalesce(F.size("live"), F.lit(0)) <= 0)
     return kept.select(
-        pick("id"),
-        pick("name"),
-        pick("description"),
-        pick("entity_type"),
-        F.when(F.col("n.entity_type").isNotNull(), category_of(entity_type))
+        "id",
+        pick("name").alias("name"),
+        pick("description").alias("description"),
+        pick("entity_type").alias("entity_type"),
+        F.when(changed("entity_type").isNotNull(), category_of(changed("entity_type")))
         .otherwise(F.col("o.category"))
         .alias("category"),
-        F.upper(F.coalesce(F.col("n.action"), F.col("o.action"))).alias("action"),
-        F.coalesce(
-            F.col("n.min_confidence"),
-            F.col("o.min_confidence"),
-            F.lit(DEFAULT_MIN_CONFIDENCE),
-        ).alias("min_confidence"),
-        F.coalesce(F.col("n.enabled"), F.col("o.enabled"), F.lit(True)).alias("enabled"),
-        F.coalesce(F.col("o.created_at"), as_of).alias("created_at"),
-        F.when(touched, as_of).otherwise(F.col("o.updated_at")).alias("updated_at"),
+        F.upper(pick("action")).alias("action"),
+        F.coalesce(pick("min_confidence"), F.lit(DEFAULT_MIN_CONFIDENCE)).alias("min_confidence"),
+        F.coalesce(pick("enabled"), F.lit(True)).alias("enabled"),
+        F.coalesce(created, as_of).alias("created_at"),
+        F.when(untouched, F.col("o.updated_at")).otherwise(as_of).alias("updated_at"),
     )
 
 

@@ -117,20 +117,25 @@ def list_rules(spark, sf):
         " event_id, case when event_id % 7 = 0 and event_id % 2 = 0 then 'JWT' end as new_type,"
         " case when event_id % 7 = 0 then 'block' end as new_action from er where event_id % 7 < 3)",
         "cr as (select md5('new|' || event_id) as id, 'new ' || event_id as name, 'EMAIL' as entity_type,"
-        " 'PII' as category, 'MASK' as action, 0.5::double as min_confidence, true as enabled,"
-        f" {AS_OF_SQL} as updated_at from ch where op = 'create')",
+        " 'PII' as category, 'MASK' as action, 0.5::double as min_confidence, event_id % 2 = 1 as enabled,"
+        f" {AS_OF_SQL} as updated_at from ch where op = 'create'"
+        " union all select id, 'again ' || event_id, 'EMAIL', 'PII', 'MASK', 0.5::double, true,"
+        f" {AS_OF_SQL} from ch where op = 'delete' and event_id % 3 = 1)",
     )
     + "select id, name, entity_type, category, action, min_confidence, enabled,"
     f" {O.stamp('updated_at')} as updated_at from ("
     " select e.id, e.name, coalesce(c.new_type, e.entity_type) as entity_type,"
     " case when c.new_type is not null then 'SECRET' end as category,"
-    " upper(coalesce(c.new_action, e.action)) as action, e.min_confidence, e.enabled,"
+    " upper(coalesce(c.new_action, e.action)) as action,"
+    " case when c.op = 'patch' then 0.25::double else e.min_confidence end as min_confidence, e.enabled,"
     f" case when c.op = 'patch' then {AS_OF_SQL} else e.created_at end as updated_at"
     " from er e left join ch c on c.id = e.id and c.op <> 'create' where c.op is distinct from 'delete'"
     " union all select id, name, entity_type, category, action, min_confidence, enabled, updated_at from cr)",
 )
 def upsert_rules(spark, sf):
-    """Patches, deletes and new rules, derived from the events as well."""
+    """Patches, deletes and new rules, derived from the events as well; most ids
+    have a second change, of which only that counts what it names.
+    """
     table = event_rules(spark, sf)
     e = F.col("event_id")
     events = D.table(spark, sf, "events").select("event_id").filter(e % 7 < 3)
@@ -146,6 +151,20 @@ def upsert_rules(spark, sf):
         F.lit(None).cast("double").alias("min_confidence"),
         F.lit(None).cast("boolean").alias("enabled"),
     )
+    again = F.when(create, "new|").otherwise("r|")
+    back = ~patch & ~create & (e % 3 == 1)
+    second = events.filter(patch | create | back).select(
+        F.lit(2).alias("seq"),
+        F.md5(F.concat(again, e.cast("string"))).alias("id"),
+        F.when(back, "create").otherwise("patch").alias("op"),
+        F.when(back, F.concat(F.lit("again "), e.cast("string"))).alias("name"),
+        text("description"),
+        F.when(back, "EMAIL").alias("entity_type"),
+        F.when(back, "mask").alias("action"),
+        F.when(patch, F.lit(0.25)).alias("min_confidence"),
+        F.when(create & (e % 2 == 0), F.lit(False)).alias("enabled"),
+    )
+    changes = changes.withColumn("seq", F.lit(1)).unionByName(second)
     new = rules.upsert_rules(table, changes, F.lit(str(D.AS_OF)).cast("timestamp"))
     return new.select(
         "id",
@@ -161,14 +180,48 @@ def upsert_rules(spark, sf):
 
 @query(
     "seed_rules",
-    O.with_(EVENT_RULES) + "select id, name, entity_type, action from er",
+    O.with_(EVENT_RULES, O.RULES)
+    + "select 'rows' as was, entity_type, action, count(*) as n from er group by all"
+    " union all select 'empty', entity_type, action, 1 from rule",
 )
 def seed_rules(spark, sf):
-    """A table that has rows is left as it is."""
-    seeded = rules.seed_rules(
-        event_rules(spark, sf), rules.default_rules(spark)
+    """A table that has rows is left as it is, an empty one gets the defaults."""
+    table, seed = event_rules(spark, sf), rules.default_rules(spark)
+    empty = table.filter("id is null")
+    both = [
+        rules.seed_rules(t, seed).select(F.lit(was).alias("was"), "entity_type", "action")
+        for was, t in (("rows", table), ("empty", empty))
+    ]
+    return both[0].unionByName(both[1]).groupBy("was", "entity_type", "action").agg(F.count("*").alias("n"))
+
+
+_FILE_RULES = (
+    "rule as (select case event_type when 'error' then 'EMAIL' when 'click' then 'PHONE' else 'JWT' end as entity_type,"
+    " 'BLOCK' as action, (count(*) % 100) / 100.0::double as min_confidence from events group by 1)"
+)
+
+
+@query(
+    "read_rules",
+    O.with_(O.DOCS, O.ENTITY_DIM, _FILE_RULES, O.raw("docs"), O.merged("raw"), O.actionable("merged"), O.decided("docs", "acts"))
+    + "select 'events-1' as policy_id, decision, count(*) as n from decided group by decision",
+)
+def read_rules(spark, sf):
+    """A policy file with a rule per kind of event, used to decide on the documents."""
+    kind = (
+        F.when(F.col("event_type") == "error", "EMAIL").when(F.col("event_type") == "click", "PHONE").otherwise("JWT")
+    )
+    events = D.table(spark, sf, "events").groupBy(kind.alias("kind")).agg((F.count("*") % 100 / 100).alias("c"))
+    line = F.format_string("- {entity_type: %s, action: BLOCK, min_confidence: %s}", "kind", F.col("c").cast("string"))
+    listed = events.agg(F.array_sort(F.collect_list(line)).alias("l"))  # three rules
+    path = shared_dir(spark, "policy")
+    body = F.concat(F.lit("policy_id: events-1\nrules:\n"), F.array_join("l", "\n"))
+    listed.select(body).coalesce(1).write.text(path)
+    _, policy = rules.read_rules(spark, path)
+    found = S.scan(D.planted(spark, sf), policy)
+    return found.groupBy("decision").agg(F.count("*").alias("n")).select(
+        F.lit(policy.policy_id).alias("policy_id"), "decision", "n"
     )
-    return seeded.select("id", "name", "entity_type", "action")
 
 
 # --- requests -----------------------------------------------------------------
@@ -275,13 +328,11 @@ def request_redaction_counts(spark, sf):
     """Counts of a request's messages: the last message per type, and the sum."""
     found = scanned_messages(spark, sf).select("request_id", "idx", "counts")
     found = found.filter(F.size("counts") > 0)
-    last = R.request_counts(found, ["request_id"]).select(
-        "request_id", counts_text("input_redactions").alias("last_wins")
-    )
-    total = R.request_counts(found, ["request_id"], "sum").select(
-        "request_id", counts_text("input_redactions").alias("summed")
+    return R.request_counts(found, ["request_id"]).select(
+        "request_id",
+        counts_text("input_redactions").alias("last_wins"),
+        counts_text("summed").alias("summed"),
     )
-    return last.join(total, "request_id")
 
 
 _OUT = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,21 +75,29 @@ def parse_requests(df: DataFrame, body: str) -> DataFrame:
     return parsed.withColumn("reason", reason)
 
 
-def write_audit(audit: DataFrame, path: str) -> None:
-    """Append audit rows, one folder per day."""
+def write_audit(audit: DataFrame, path: str, job: str | None = None) -> None:
+    """Add audit rows, a folder per job and day.
+
+    Rows are gathered by day first, large days in several tasks, so a job leaves
+    few files; they are sorted by time in each. A job that is repeated under its
+    name replaces what it wrote before.
+    """
+    rows = audit.withColumn("dt", F.to_date("created_at"))
     (
-        audit.withColumn("dt", F.to_date("created_at"))
-        .write.mode("append")
+        rows.hint("rebalance", F.col("dt"))
+        .sortWithinPartitions("dt", "created_at")
+        .write.mode("overwrite")
         .partitionBy("dt")
-        .parquet(path)
+        .parquet(f"{path}/job={job or uuid.uuid4().hex}")
     )
 
 
 def read_audit(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """Audit rows with the partition column `dt`; pass columns to read only
-    those.
+    """Audit rows with the partition columns `job` and `dt`; pass columns to
+    read only those.
     """
-    schema = T.StructType([*AUDIT.fields, T.StructField("dt", T.DateType())])
+    parts = [T.StructField("job", T.StringType()), T.StructField("dt", T.DateType())]
+    schema = T.StructType([*AUDIT.fields, *parts])
     df = spark.read.schema(schema).parquet(path)
     return df.select(*columns) if columns else df
 

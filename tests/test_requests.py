@@ -33,8 +33,8 @@ def test_later_message_overwrites_counts(spark):
     )
     assert len(got.reasons) == 4 and got.reasons[-1].startswith("MASK: SSN")
     scanned = R.scan_messages(spark.createDataFrame(rows, MSG))
-    total = R.request_counts(scanned, ["request_id"], "sum").first()
-    assert total.input_redactions == {"EMAIL": 3, "SSN": 1}
+    total = R.request_counts(scanned, ["request_id"]).first()
+    assert total.summed == {"EMAIL": 3, "SSN": 1}
 
 
 def test_all_findings_are_redacted_once_a_request_is_hit(spark):
