@@ -92,10 +92,10 @@ def repeated_starts(group: list[tuple[int, int, bytes]], span: int) -> list[list
     All segments of an anchor must be in the group.
     """
     sizes = np.array([len(g[2]) + 1 for g in group])
-    text = np.frombuffer(b"\0".join(g[2] for g in group) + b"\0", np.uint8).astype(np.int64) + 1
-    ends = np.cumsum(sizes)
-    text[ends - 1] = 0  # between segments; owned starts have `span` bytes before it
-    begin = ends - sizes
+    # A zero byte follows each segment. Owned starts have `span` bytes before it, and
+    # a start that hasn't owns nothing, so it may match a zero byte of a text.
+    text = np.frombuffer(b"\0".join(g[2] for g in group) + b"\0", np.uint8)
+    begin = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(group)), sizes)
     copies, owned = (np.array([g[i] for g in group]) for i in (0, 1))
     weight = np.where(np.arange(len(text)) - begin[owner] < owned[owner], copies[owner], 0)

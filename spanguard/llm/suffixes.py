@@ -35,23 +35,27 @@ def order_runs(place: np.ndarray, at: np.ndarray) -> None:
     n = np.int64(len(place) + 1)
     closed = np.ones(len(place), bool)
     closed[at] = False
-    jump = np.arange(1, len(place) + 1)
+    jump = np.arange(1, len(place) + 1, dtype=place.dtype)
     to = at + 1
     while at.size:
-        key = place[at] * n + place[to]
+        key = place[at].astype(np.int64) * n + place[to]
         order = np.argsort(key)
-        at, to, key = at[order], to[order], key[order]
-        old = place[at]
-        slot = np.arange(len(at))
-        first_old = np.append(True, old[1:] != old[:-1])
-        first = np.append(True, key[1:] != key[:-1])
-        group = np.maximum.accumulate(np.where(first_old, slot, 0))
-        place_new = old + np.maximum.accumulate(np.where(first, slot, 0)) - group
-        alone = first & np.append(first[1:], True)
-        ends, further = closed[to] | alone, jump[to]
-        place[at] = place_new
+        key, at, to = key[order], at[order], to[order]
+        first = np.empty(len(at), bool)
+        first[0] = True
+        np.not_equal(key[1:], key[:-1], out=first[1:])
+        head = np.flatnonzero(first)
+        sizes = np.diff(head, append=len(at))
+        old = place[at[head]]
+        # A group's place is its bucket's, and the number of members before it there.
+        start = np.flatnonzero(np.append(True, old[1:] != old[:-1]))
+        fresh = old + head - np.repeat(head[start], np.diff(start, append=len(head)))
+        ends, further = closed[to], jump[to]
+        place[at] = np.repeat(fresh, sizes)
+        ends |= np.repeat(sizes == 1, sizes)
         closed[at] = ends
-        at, to = at[~ends], further[~ends]
+        still = np.flatnonzero(~ends)
+        at, to = at[still], further[still]
         jump[at] = to
 
 
@@ -65,13 +69,14 @@ def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, rank: np.ndarray |
     counts = np.bincount(t, minlength=k)
     large = np.bincount(t[~small], minlength=k)
     start = np.cumsum(counts) - counts
-    place = np.where(small, start[t] + large[t], start[t])
+    place = np.where(small, (start + large)[t], start[t]).astype(np.int32 if len(t) < 2**31 else np.int64)
     if rank is not None:
-        ordered = lms[np.argsort(rank)]
+        ordered = np.empty_like(lms)
+        ordered[rank] = lms
         first = t[ordered]
         offset = np.arange(len(ordered))
         head = np.maximum.accumulate(np.where(np.append(True, first[1:] != first[:-1]), offset, 0))
-        place[ordered] += offset - head
+        place[ordered] += (offset - head).astype(place.dtype)
     order_runs(place, np.flatnonzero(~small))
     behind = np.flatnonzero(small)[:-1]  # all but the last symbol, which is smallest
     place[behind] = (start + large)[t[behind]]
@@ -83,14 +88,17 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """The starts of all suffixes in lexical order; symbols are small integers >= 0."""
     if not len(symbols):
         return np.zeros(0, np.int64)
-    t = np.append(symbols.astype(np.int64) + 1, 0)
+    t = np.append(symbols.astype(np.int32) + 1, np.int32(0))
     small = types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     substrings = induce(t, small, lms, None)[lms]
-    slots, names = np.unique(substrings, return_inverse=True)
-    if len(slots) < len(lms):
+    used = np.zeros(len(t), np.int32)
+    used[substrings] = 1
+    used = np.cumsum(used, dtype=np.int32)
+    names = used[substrings] - 1
+    if used[-1] < len(lms):
         order = np.append(len(lms) - 1, suffix_array(names[:-1]))
-        names = np.empty(len(lms), np.int64)
+        names = np.empty(len(lms), np.int32)
         names[order] = np.arange(len(lms))
     place = induce(t, small, lms, names)
     result = np.empty(len(t), np.int64)
@@ -102,26 +110,29 @@ def permuted_common_prefixes(symbols: np.ndarray, order: np.ndarray) -> np.ndarr
     """For each suffix, by position, what it has in common with the one before it in order.
 
     Where the symbols before both suffixes are equal, the value is one less than
-    that of the position before; only the others are compared, four symbols a step.
+    that of the position before; only the others are compared, eight bytes a step.
     """
     n = len(symbols)
+    if not n:
+        return np.zeros(0, np.int64)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    t = np.append(symbols.astype(np.uint16) + 1, np.zeros(8, np.uint16))
+    kind = np.dtype(np.uint8 if symbols.max() < 255 else np.uint16)
+    step = 8 // kind.itemsize
+    t = np.append(symbols.astype(kind) + kind.type(1), np.zeros(2 * step, kind))
     at = np.flatnonzero(before >= 0)
     b = before[at]
     own = at[(at == 0) | (b == 0) | (t[at - 1] != t[b - 1])]
-    words = np.ndarray(shape=(n + 4,), dtype="<u8", buffer=t, strides=(2,))
+    words = np.ndarray(shape=(n + step,), dtype="<u8", buffer=t, strides=(kind.itemsize,))
     length = np.zeros(n, np.int64)
     open_, left, right = own, own.copy(), before[own]
     while open_.size:
-        inside = np.minimum(left, right)
         differ = words[left] ^ words[right]
-        over = (differ != 0) | (inside < 0)
+        over = differ != 0
         low = differ[over] & (~differ[over] + np.uint64(1))
-        length[open_[over]] += (np.frexp(low.astype(np.float64))[1] - 1) // 16
-        open_, left, right = open_[~over], left[~over] + 4, right[~over] + 4
-        length[open_] += 4
+        length[open_[over]] += (np.frexp(low.astype(np.float64))[1] - 1) // (8 * kind.itemsize)
+        open_, left, right = open_[~over], left[~over] + step, right[~over] + step
+        length[open_] += step
     start = np.zeros(n, np.int64)
     start[own] = own
     start[before < 0] = np.flatnonzero(before < 0)
