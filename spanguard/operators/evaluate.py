@@ -28,16 +28,15 @@ def match_outcomes(gold: str, pred: str, iou: float = 0.5) -> Column:
     union = "(greatest(g.end, p.end) - least(g.start, p.start))"
     overlap = f"if({union} = 0, false, {inter} / {union} >= {iou})"
 
+    # For each gold span the predictions that overlap enough: few, so that only
+    # these are looked up among the used ones.
+    all_preds = f"if(size({pred}) > 0, sequence(0, size({pred}) - 1), cast(array() as array<int>))"
+    near = f"transform({gold}, g -> filter({all_preds}, pi -> {sql_let('p', f'{pred}[pi]', overlap)}))"
+
     def take(condition: str) -> str:
         """Index of the first free prediction for gold span `gi`."""
-        fits = sql_let(
-            "g", f"{gold}[gi]", sql_let("p", f"{pred}[pi]", f"{condition}{overlap}")
-        )
-        free = "not array_contains(acc.used, pi)"
-        return (
-            f"coalesce(get(filter(if(size({pred}) > 0, sequence(0, size({pred}) - 1),"
-            f" cast(array() as array<int>)), pi -> {fits} and {free}), 0), -1)"
-        )
+        free = f"{condition}not array_contains(acc.used, pi)"
+        return f"coalesce(get(filter(near[gi], pi -> {free}), 0), -1)"
 
     def walk(start: str, condition: str, todo: str) -> str:
         step = sql_let(
@@ -52,7 +51,7 @@ def match_outcomes(gold: str, pred: str, iou: float = 0.5) -> Column:
         return f"aggregate({indices}, {start}, (acc, gi) -> {step})"
 
     none = "cast(array() as array<int>)"
-    first = walk(f"struct({none} as used, {none} as hits)", "p.category = g.label and ", "true")
+    first = walk(f"struct({none} as used, {none} as hits)", f"{pred}[pi].category = {gold}[gi].label and ", "true")
     second = walk(f"struct(m1.used as used, {none} as hits)", "", "m1.hits[gi] < 0")
     outcome = (
         f"transform({gold}, (g, gi) -> case"
@@ -67,7 +66,7 @@ def match_outcomes(gold: str, pred: str, iou: float = 0.5) -> Column:
         f"transform(filter({pred}, (p, pi) -> not array_contains(m2.used, pi)),"
         " p -> named_struct('gold', 'NONE', 'pred', p.category, 'pred_type', cast(null as string)))"
     )
-    matched = sql_let("m1", first, sql_let("m2", second, f"concat({outcome}, {spurious})"))
+    matched = sql_let("near", near, sql_let("m1", first, sql_let("m2", second, f"concat({outcome}, {spurious})")))
     clean = "array(named_struct('gold', 'NONE', 'pred', 'NONE', 'pred_type', cast(null as string)))"
     return F.expr(
         f"if(size({gold}) = 0 and size({pred}) = 0, {clean}, {matched})"
@@ -221,6 +220,8 @@ def parity_summary(compared: DataFrame, tol: float = 1e-4) -> DataFrame:
         F.count_if("argmax_differs").alias("argmax_mismatches"),
         F.count_if("spans_differ").alias("span_mismatches"),
         (
-            (F.max("max_diff") < tol) & (F.count_if("argmax_differs") == 0)
+            (F.max("max_diff") < tol)
+            & (F.count_if("argmax_differs") == 0)
+            & (F.count_if("spans_differ") == 0)
         ).alias("within_tolerance"),
     )

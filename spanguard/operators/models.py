@@ -1,5 +1,6 @@
 """Model-based passes. The model is a parameter: a zero-argument factory that a
-Python worker calls once per task and that returns the function to apply.
+Python worker calls once per task and that returns a function from a list of texts
+to what it finds in each, so that a real model can work in batches.
 """
 
 from __future__ import annotations
@@ -17,8 +18,16 @@ from spanguard.functions.spans import category_of, literal_map
 from spanguard.functions.text import empty, finding
 from spanguard.schema import CONTEXTUAL_LABELS, FINDINGS, TOKEN_SCORES
 
-Recognizer = Callable[[], Callable[[str], list[tuple[str, int, int, float]]]]
-Scorer = Callable[[], Callable[[str], list[tuple[int, int, list[float]]]]]
+Span = tuple[str, int, int, float]
+Score = tuple[int, int, list[float]]
+Recognizer = Callable[[], Callable[[list[str]], list[list[Span]]]]
+Scorer = Callable[[], Callable[[list[str]], list[list[Score]]]]
+
+
+def each(fn: Callable[[str], list]) -> Callable[[list[str]], list[list]]:
+    """A function of one text as one of many."""
+    return lambda texts: [fn(t) for t in texts]
+
 
 _SPAN = pa.struct(
     [
@@ -36,36 +45,37 @@ _SCORE = pa.struct(
 def _with_model(
     df: DataFrame, text_col: str, out: str, factory, field: str, item: pa.StructType, ddl
 ) -> DataFrame:
-    """Adds `out`: struct<`field`, error> from a per-text function, in Arrow
-    batches; the other columns pass through untouched. A null text costs
-    nothing, and a text the function fails on yields only the error.
+    """Adds `out`: struct<`field`, error> from a function of many texts. Only the
+    text crosses to Python, in Arrow batches. A null text isn't handed on. If the
+    function fails on a batch, its texts are tried one by one, and one that it
+    fails on yields only the error.
     """
     keys = [item.field(i).name for i in range(item.num_fields)]
 
-    def one(fn, text):
-        if text is None:
-            return [], None
+    def found_in(fn, texts: list[str]) -> list[tuple[list, str | None]]:
         try:
-            return [dict(zip(keys, found)) for found in fn(text)], None
+            return [([dict(zip(keys, x)) for x in found], None) for found in fn(texts)]
         except Exception as e:  # noqa: BLE001 - one bad text must not fail the job
-            return [], f"{type(e).__name__}: {e}"
+            if len(texts) == 1:
+                return [([], f"{type(e).__name__}: {e}")]
+            return [found_in(fn, [t])[0] for t in texts]
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fn = factory()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            values, errors = zip(*[one(fn, t) for t in texts]) if texts else ((), ())
-            added = pa.StructArray.from_arrays(
-                [pa.array(values, pa.list_(item)), pa.array(errors, pa.string())],
-                names=[field, "error"],
-            )
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, added], names=[*batch.schema.names, out]
+            texts = batch.to_pylist()
+            given = [t for t in texts if t is not None]
+            got = iter(found_in(fn, given) if given else ())
+            values, errors = zip(*[next(got) if t is not None else ([], None) for t in texts]) if texts else ((), ())
+            yield pa.StructArray.from_arrays(
+                [pa.array(values, pa.list_(item)), pa.array(errors, pa.string())], names=[field, "error"]
             )
 
+    apply.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     added = T.StructType().add(field, ddl).add("error", T.StringType())
-    schema = T.StructType([*df.schema.fields, T.StructField(out, added)])
-    return df.mapInArrow(apply, schema)
+    # Not deterministic, as far as Spark knows: so that it is never evaluated twice.
+    model = F.arrow_udf(apply, added).asNondeterministic()
+    return df.withColumn(out, model(F.col(text_col)))
 
 
 def contextual_type(label: Column) -> Column:

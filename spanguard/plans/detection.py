@@ -94,11 +94,13 @@ def stub_recognizer():
         ("IP_ADDRESS", re.compile(_IP, re.ASCII), 0.6),
         ("BADGE", re.compile(_BADGE, re.ASCII), 0.4),
     ]
-    return lambda text: [
-        (label, m.start(), m.end(), score)
-        for label, p, score in patterns
-        for m in p.finditer(text)
-    ]
+    return models.each(
+        lambda text: [
+            (label, m.start(), m.end(), score)
+            for label, p, score in patterns
+            for m in p.finditer(text)
+        ]
+    )
 
 
 def _stub_raw(src: str) -> str:
@@ -170,7 +172,7 @@ def stub_scorer():
             before = kind
         return [*out, (0, 0, [9.0, 0.0, 0.0, 0.0, 0.0])]
 
-    return score
+    return models.each(score)
 
 
 def semantic_raw(src: str, name: str = "sraw") -> str:
@@ -327,10 +329,10 @@ def failing_recognizer():
     """Like the stand-in, but unable to read some texts."""
     inner = stub_recognizer()
 
-    def recognise(text):
-        if text.endswith("@corp.example.com"):
-            raise ValueError("cannot read this text")
-        return inner(text)
+    def recognise(texts):
+        if any(t.endswith("@corp.example.com") for t in texts):
+            raise ValueError("cannot read one of these texts")
+        return inner(texts)
 
     return recognise
 

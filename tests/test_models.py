@@ -25,7 +25,7 @@ def names():
             raise ValueError("boom")
         return [("PERSON", m.start(), m.end(), 0.85) for m in re.finditer(r"[A-Z]\w+ [A-Z]\w+", text)]
 
-    return recognise
+    return M.each(recognise)
 
 
 def secrets():
@@ -37,7 +37,7 @@ def secrets():
             out.append((m.start(), m.end(), [5.0 if i == label else 0.0 for i in range(5)]))
         return out
 
-    return score
+    return M.each(score)
 
 
 def test_passes_merge_and_short_circuit(spark):

@@ -62,7 +62,7 @@ def test_unused_results_are_pruned(spark, sf):
 def test_model_passes_run_once_each(spark, sf):
     detectors = [M.contextual_detector(stub_recognizer), M.semantic_detector(stub_scorer)]
     df = S.scan(documents(spark, sf), detectors=detectors).filter("decision = 'MASK'")
-    assert plan(df).count("MapInArrow") == 2
+    assert plan(df).count("ArrowEvalPython") == 2
     assert regex_calls(df) == ONE_SCAN
 
 
