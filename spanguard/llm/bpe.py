@@ -31,6 +31,8 @@ from spanguard.llm.common import as_bytes, id_type, slices
 NO_RANK = np.int64(1) << 62
 #: Distinct words a worker keeps; the cache starts anew when it is full.
 CACHE_WORDS = 600_000
+#: Words of more symbols are merged alone.
+LONG = 512
 #: Leaves of the trees that are worked on at a time.
 LEAVES = 1 << 16
 SLICE_BYTES = 4 << 20
@@ -88,6 +90,13 @@ class Vocabulary:
         self.pieces = settled_pattern(rule["pattern"]["Regex"])
         self.cut = re.compile("|".join(f"({re.escape(t)})" for t in special) or r"(?!)")
         self.library = Tokenizer.from_file(path)
+        self.table: dict[int, int] = {}
+
+    def rank_of(self) -> dict[int, int]:
+        """Ranks by pair, for one lookup at a time."""
+        if not self.table:
+            self.table = dict(zip(self.keys.tolist(), self.ranks.tolist()))
+        return self.table
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.base + right
@@ -173,6 +182,42 @@ class MergeTrees:
             rows = rows[self.tree[rows, 1] < NO_RANK]
 
 
+def merge_long(v: Vocabulary, symbols: list[int]) -> list[int]:
+    """The same for one long word, step by step: its many merges would leave arrays of one row."""
+    n = len(symbols)
+    width = 1 << (n - 1).bit_length()
+    none = int(NO_RANK)
+    after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+    base, ranks, merged = int(v.base), v.rank_of(), v.merged
+
+    def leaf(at: int) -> int:
+        rank = ranks.get(symbols[at] * base + symbols[after[at]]) if after[at] < n else None
+        return none if rank is None else rank * width + at
+
+    tree = [none] * width + [leaf(i) for i in range(n)] + [none] * (width - n)
+    for node in range(width - 1, 0, -1):
+        tree[node] = min(tree[2 * node], tree[2 * node + 1])
+
+    def update(at: int, key: int) -> None:
+        node = at + width
+        tree[node] = key
+        while node > 1:
+            node >>= 1
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+
+    while tree[1] < none:
+        rank, at = divmod(tree[1], width)
+        gone = after[at]
+        symbols[at], alive[gone], after[at] = int(merged[rank]), False, after[gone]
+        if after[at] < n:
+            before[after[at]] = at
+        update(gone, none)
+        update(at, leaf(at))
+        if before[at] >= 0:
+            update(before[at], leaf(before[at]))
+    return [s for s, there in zip(symbols, alive) if there]
+
+
 def encode_words(v: Vocabulary, words: list[str]) -> list[bytes]:
     """The ids of each word, all merges done, as little-endian 32-bit integers."""
     raw = [w.encode() for w in words]
@@ -181,6 +226,12 @@ def encode_words(v: Vocabulary, words: list[str]) -> list[bytes]:
     widths = 1 << np.ceil(np.log2(np.maximum(lengths, 2))).astype(int)
     for width in np.unique(widths):
         same = np.flatnonzero(widths == width)
+        if width > LONG:
+            for i in same.tolist():
+                ids = v.first[np.frombuffer(raw[i], np.uint8)].tolist()
+                ids[-1] = int(v.last[raw[i][-1]])
+                out[i] = np.array(merge_long(v, ids), "<u4").tobytes()
+            continue
         step = max(1, LEAVES // int(width))
         for start in range(0, len(same), step):
             some = same[start : start + step]
