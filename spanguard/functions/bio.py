@@ -24,10 +24,6 @@ _BLOCK = 32
 _LABELS = "array(" + ", ".join(f"'{b}'" for b in BIO_LABELS) + ")"
 
 
-def label_name(label_id: str) -> Column:
-    return F.expr(f"get({_LABELS}, {label_id})")
-
-
 def semantic_type_sql(label: str) -> str:
     """PII / SECRET to a generic entity type; anything else is GENERIC_PII."""
     known = map_sql(dict(SEMANTIC_LABELS))

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -63,11 +62,6 @@ def java_regex(pattern: str, exact: bool = True) -> str:
     return pattern.replace(r"\b", _BOUNDARY).replace(r"\s", _SPACE)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once and use it several times inside `body`."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def sql_let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 

@@ -99,27 +99,10 @@ FINDING = T.StructType(
     ]
 )
 FINDINGS = T.ArrayType(FINDING)
-ACTIONABLE = T.ArrayType(
-    T.StructType(FINDING.fields + [T.StructField("action", T.StringType())])
-)
 COUNTS = T.MapType(T.StringType(), T.LongType())
 RULE_MAP = "map<string,struct<action:string,min_confidence:double>>"
 
-RULE = T.StructType(
-    [
-        T.StructField("id", T.StringType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("description", T.StringType()),
-        T.StructField("entity_type", T.StringType()),
-        T.StructField("category", T.StringType()),
-        T.StructField("action", T.StringType()),
-        T.StructField("min_confidence", T.DoubleType()),
-        T.StructField("enabled", T.BooleanType()),
-        T.StructField("created_at", T.TimestampType()),
-        T.StructField("updated_at", T.TimestampType()),
-    ]
-)
-
+# The columns of an audit row.
 AUDIT = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -142,6 +125,7 @@ AUDIT = T.StructType(
     ]
 )
 
+# The fields of a message; others are kept as `extra`.
 MESSAGE = T.StructType(
     [
         T.StructField("role", T.StringType()),
@@ -179,6 +163,7 @@ TOKEN_SCORES = T.ArrayType(
     )
 )
 
+# The fields of a streamed chunk.
 CHUNK = T.StructType(
     [
         T.StructField("id", T.StringType()),
