@@ -5,9 +5,9 @@ one node however large it is. Classes get a signature from two permutations, one
 them shifted circularly, and meet in the buckets of its bands.
 
 Within a bucket no list of all pairs is made. In each round a bucket has some
-pivots, at first one and twice as many in each later round, of different components;
-the others are compared with these unless they are in the same component already.
-A pivot is then done with its bucket. Confirmed links join components, and a bucket
+pivots, at first one and four times as many in each later round, dealt over its
+components and their members; the others are compared with these unless they are in
+the same component already. A pivot is then done with its bucket. Confirmed links join components, and a bucket
 leaves as soon as one component holds all that is left of it. So every two members of a
 bucket are compared, or are known to be in one component: nothing is capped.
 """
@@ -117,9 +117,9 @@ def link(classes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataF
         members = stored(members.join(open_, "key"), "members")
         if members.isEmpty():
             return labels
-        slot = F.expr(f"pmod(xxhash64(comp, {level}), {1 << level})")
+        slots = [F.expr(f"pmod(xxhash64({c}, {level}), {1 << level})").alias(f"{c}_slot") for c in ("comp", "node")]
         pivots = stored(
-            members.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "comp", "n")).alias("pivot"))
+            members.groupBy("key", *slots).agg(F.min(F.struct("node", "comp", "n")).alias("pivot"))
             .select("key", "pivot.node", "pivot.comp", "pivot.n"),
             "pivots",
         )
