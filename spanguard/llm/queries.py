@@ -33,7 +33,7 @@ def vocabulary() -> str:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanguard.llm.suffix_dedup import remove_repeats, removal_digest
 
-    return removal_digest(remove_repeats(read(spark, sf_dir, "documents")))
+    return removal_digest(remove_repeats(read(spark, sf_dir, "documents"), digest=True))
 
 
 @query("op6_secret_scan")

@@ -23,6 +23,7 @@ content, instead. Nothing is dropped for size.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanguard.llm.common import ROW, as_bytes, id_type, pack, row_number, stored
+from spanguard.llm.common import ROW, as_bytes, id_type, pack, row_number, slices, stored
 from spanguard.llm.hashing import Hashes
 from spanguard.llm.suffixes import permuted_common_prefixes, suffix_array
 
@@ -134,17 +135,19 @@ def remove_repeats(
     gram: int | None = None,
     shard: int = SHARD,
     crowded: int = CROWDED,
+    digest: bool = False,
 ) -> DataFrame:
     """Each row without the bytes that any repeated string of `span` bytes covers.
 
     Texts are UTF-8 bytes, null as empty; strings don't reach across rows, overlap
     counts, and what repeats is judged on the input. Returns id, n_bytes, n_removed,
-    spans (maximal removed ranges of bytes) and kept (the other bytes). Repeated
+    spans (maximal removed ranges of bytes) and kept (the other bytes, or with
+    `digest` their SHA-256 in hex, so that no text leaves the last task). Repeated
     rows repeat each other. Texts shorter than `span` are kept whole; an empty table
     gives an empty result. Two different segments are taken for one only if two
     64-bit hashes of them and their lengths agree.
     """
-    gram = gram or span // 4
+    gram = gram or span // 6
     rows = docs.select(row_number(None), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     place = "anchor long, content long, row_no long, start long, owned long"
 
@@ -195,31 +198,46 @@ def remove_repeats(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         names = ["anchor", "content", ROW, "start", "owned", "single", "bytes"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
 
-        def batch_of(out):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+        def batch_of(columns, single):
+            kinds = [pa.int64()] * 5
+            arrays = [pa.array(np.concatenate(c), k) for c, k in zip(zip(*(x[:5] for x in columns)), kinds)]
+            parts = [p for x in columns for p in x[5]]
+            arrays += [pa.array(np.full(len(parts), single)), pa.array(parts, pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names)
 
-        out, size = [], 0
         for batch in batches:
-            for row, packed, found in zip(*(c.to_pylist() for c in batch.columns)):
-                data = open_.decompress(packed)
-                for p in found:
-                    start, owned = p["place"] >> 20, p["place"] & 0xFFFFF
-                    part = data[start : start + owned + span - 1]
-                    if p["crowded"]:
-                        at = np.arange(owned)
-                        own = Hashes(np.frombuffer(part, np.uint8)).of(at, at + span).view(np.int64).tolist()
-                        out += [(h, h, row, start + i, 1, True, part[i : i + span]) for i, h in enumerate(own)]
-                        size += owned * span
-                    else:
-                        out.append((p["anchor"], p["content"], row, start, owned, False, part))
-                        size += len(part)
-                    if size > 1 << 22:
-                        yield batch_of(out)
-                        out, size = [], 0
-        if out:
-            yield batch_of(out)
+            rows, packed, lists = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2)
+            bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            anchor, content, places, full = (lists.flatten().field(i) for i in range(4))
+            anchor, content, places = anchor.to_numpy(), content.to_numpy(), places.to_numpy()
+            full = full.fill_null(False).to_numpy(zero_copy_only=False)
+            starts, owned = places >> 20, places & 0xFFFFF
+            whole, alone, size = [], [], 0
+            for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+                data = open_.decompress(packed[i])
+                usual = np.flatnonzero(~full[a:b]) + a
+                s, o = starts[usual], owned[usual]
+                ends = s + o + (span - 1)
+                parts = [data[x:y] for x, y in zip(s.tolist(), ends.tolist())]
+                whole.append((anchor[usual], content[usual], np.full(len(s), rows[i]), s, o, parts))
+                size += int((ends - s).sum())
+                for j in (np.flatnonzero(full[a:b]) + a).tolist():
+                    at = starts[j] + np.arange(owned[j])
+                    part = data[at[0] : at[-1] + span]
+                    own = Hashes(np.frombuffer(part, np.uint8)).of(at - at[0], at - at[0] + span).view(np.int64)
+                    strings = [part[k : k + span] for k in range(len(at))]
+                    alone.append((own, own, np.full(len(at), rows[i]), at, np.ones(len(at), np.int64), strings))
+                    size += len(at) * span
+                if size > 1 << 22:
+                    yield batch_of(whole, False)
+                    if alone:
+                        yield batch_of(alone, True)
+                    whole, alone, size = [], [], 0
+            if whole:
+                yield batch_of(whole, False)
+            if alone:
+                yield batch_of(alone, True)
 
     cuts = stored(
         texts.join(wanted, ROW).select(ROW, "packed", "places").mapInArrow(
@@ -271,29 +289,38 @@ def remove_repeats(
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         span_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in slices(batches, 1, 1 << 22):
+            lists = batch.column(2)
+            bounds = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+            starts = lists.flatten().field(0).to_pylist()
+            found = lists.flatten().field(1).to_pylist()
             n_bytes, n_removed, spans, kept = [], [], [], []
-            for packed, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for packed, a, b in zip(batch.column(1).to_pylist(), bounds, bounds[1:]):
                 data = open_.decompress(packed)
-                ranges = covered([(f["start"], f["found"]) for f in found or ()], span)
+                ranges = covered(list(zip(starts[a:b], found[a:b])), span)
                 stops = [0, *(e for r in ranges for e in r), len(data)]
+                rest = b"".join([data[x:y] for x, y in zip(stops[::2], stops[1::2])])
                 n_bytes.append(len(data))
-                n_removed.append(sum(b - a for a, b in ranges))
-                spans.append([{"start": a, "end": b} for a, b in ranges])
-                kept.append(b"".join(data[a:b] for a, b in zip(stops[::2], stops[1::2])))
+                n_removed.append(len(data) - len(rest))
+                spans.append([{"start": x, "end": y} for x, y in ranges])
+                kept.append(hashlib.sha256(rest).hexdigest() if digest else rest)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span_kind), pa.array(kept, pa.binary())],
+                [
+                    batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()),
+                    pa.array(spans, span_kind), pa.array(kept, pa.string() if digest else pa.binary()),
+                ],
                 ["id", "n_bytes", "n_removed", "spans", "kept"],
-            )
+            )
 
     whole = rows.mapInArrow(pack, f"{ROW} long, id {kind}, packed binary")
-    out = whole.join(per_row, ROW, "left").select("id", "packed", "found")
-    schema = f"id {kind}, n_bytes long, n_removed long, spans array<struct<start long, end long>>, kept binary"
+    none = F.array().cast("array<struct<start:bigint,found:array<int>>>")
+    out = whole.join(per_row, ROW, "left").select("id", "packed", F.coalesce("found", none).alias("found"))
+    schema = f"id {kind}, n_bytes long, n_removed long, spans array<struct<start long, end long>>, kept {'string' if digest else 'binary'}"
     return out.mapInArrow(drop, schema).withColumnRenamed("id", id_col)
 
 
 def removal_digest(removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Counts and the digest of what `remove_repeats(…, digest=True)` keeps."""
     return removed.select(
-        id_col, "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
-        F.sha2("kept", 256).alias("kept_sha256"),
-    )
+        id_col, "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256")
+    )

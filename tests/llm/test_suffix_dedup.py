@@ -64,7 +64,7 @@ def test_against_brute_force(spark, seed, options):
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], SCHEMA).repartition(3, "doc_id")
     path = f"{spark.conf.get('spark.checkpoint.dir')}/suffix-{seed}"
     docs.write.mode("overwrite").parquet(path)
-    got = removal_digest(remove_repeats(spark.read.parquet(path), span=40, **options)).collect()
+    got = removal_digest(remove_repeats(spark.read.parquet(path), span=40, digest=True, **options)).collect()
     want = brute(texts, 40)
     assert {r.doc_id: tuple(r)[1:] for r in got} == dict(enumerate(want))
 
@@ -72,7 +72,10 @@ def test_against_brute_force(spark, seed, options):
 def test_edges(spark):
     text = "".join(chr(97 + (i * i) % 23) for i in range(700))
     rows = [(None, text, 1, "a"), (5, text, 1, "a"), (5, text, 1, "a"), (6, None, 1, None), (7, "", None, "")]
-    got = removal_digest(remove_repeats(spark.createDataFrame(rows, SCHEMA).coalesce(1))).collect()
+    got = removal_digest(remove_repeats(spark.createDataFrame(rows, SCHEMA).coalesce(1), digest=True)).collect()
     empty = hashlib.sha256(b"").hexdigest()
     assert sorted([tuple(r)[1:] for r in got]) == sorted([(700, 700, 1, empty)] * 3 + [(0, 0, 0, empty)] * 2)
+    rows = [(5, text, 1, ""), (7, "", 1, ""), (8, "kurz", 1, "")]  # the first repeats itself
+    kept = remove_repeats(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    assert {r.doc_id: bytes(r.kept) for r in kept} == {5: b"", 7: b"", 8: b"kurz"}
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
