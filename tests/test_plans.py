@@ -1,12 +1,17 @@
 """What the physical plans must and must not hold."""
 
+from pyspark.sql import functions as F
+
+from spanguard.operators import audit as A
 from spanguard.operators import models as M
 from spanguard.operators import requests as R
 from spanguard.operators import scan as S
 from spanguard.plans import derived as D
 from spanguard.plans.detection import stub_recognizer, stub_scorer
+from spanguard.operators.paging import keyset_page
 from spanguard.operators.rules import Policy, default_rules
-from spanguard.schema import PATTERNS
+from spanguard.schema import AUDIT, PATTERNS
+from spanguard.sources import tables
 
 # Fast and exact form of every pattern, and the one inside the Luhn check.
 ONE_SCAN = 2 * len(PATTERNS) + 1
@@ -79,3 +84,53 @@ def test_percentiles_read_their_rows_once(spark, sf):
     df = nearest_rank(D.table(spark, sf, "events").selectExpr("cast(value as int) v"), "v", {"p": 0.5})
     df.collect()
     assert "ReusedExchange" in plan(df)
+
+
+def stored_audit(spark, path):
+    days = F.expr("timestamp '2024-01-01 12:00:00' + make_interval(0, 0, 0, cast(id as int))")
+    values = {
+        "id": F.col("id").cast("string"),
+        "request_id": F.concat(F.lit("r"), "id"),
+        "created_at": days,
+        "input_decision": F.lit("ALLOW"),
+        "prompt_redacted": F.lit("a\\b 100%"),
+        "user_id": F.lit("x\\y"),
+    }
+    columns = [values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in AUDIT.fields]
+    tables.write_audit(spark.range(6).select(columns), path, "one")
+    return tables.read_audit(spark, path)
+
+
+def test_day_filters_prune_partitions(spark, tmp_path):
+    table = stored_audit(spark, str(tmp_path / "audit"))
+    for rows, n in (
+        (A.filter_log(table, date_from="2024-01-03", date_to="2024-01-04"), 2),
+        (keyset_page(table, 50, ("2024-01-03 00:00:00", "")), 2),
+        (A.filter_time(table, "2024-01-05", None), 2),
+    ):
+        text = plan(rows)
+        assert "PartitionFilters: []" not in text and "dt#" in text.split("PartitionFilters:")[1]
+        assert rows.count() == n
+
+
+def test_audit_jobs_replace_their_own_rows(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    stored_audit(spark, path)
+    table = stored_audit(spark, path)
+    assert table.count() == 6
+    tables.write_audit(table.drop("job", "dt").filter("id = '0'"), path, "two")
+    assert tables.read_audit(spark, path).count() == 7
+
+
+def test_backslash_is_searched_as_itself(spark, tmp_path):
+    table = stored_audit(spark, str(tmp_path / "audit"))
+    assert A.search_text(table, "a\\b").count() == 6
+    assert A.search_text(table, "a\\\\b").count() == 0
+    assert A.search_text(table, "a_b 1%").count() == 6
+    assert A.filter_log(table, user="X\\").count() == 6
+
+
+def test_request_jobs_scan_once(spark, sf):
+    scanned = R.scan_messages(D.messages(spark, sf))
+    assert regex_calls(R.redact_messages(scanned, "request_id")) == 0  # stored before
+    assert regex_calls(R.request_counts(scanned, ["request_id"])) == ONE_SCAN

@@ -182,3 +182,29 @@ def test_effective_decision(spark, given, answered, effective):
         [(given, answered)], "input_decision string, output_decision string"
     )
     assert df.select(effective_decision()).first()[0] == effective
+
+
+def test_several_changes_of_one_rule(spark):
+    base = R.rules_frame(spark, [("EMAIL", "MASK", 0.7), ("SSN", "MASK", 0.5), ("JWT", "BLOCK", 0.7)])
+    ids = {r.entity_type: r.id for r in base.collect()}
+    rows = [
+        (2, "patch", ids["EMAIL"], None, None, "block", None, None, None),
+        (1, "patch", ids["EMAIL"], "renamed", None, "allow", 0.1, None, None),
+        (1, "delete", ids["SSN"], None, None, None, None, None, None),
+        (2, "patch", ids["SSN"], "ghost", None, None, None, None, None),
+        (3, "create", ids["SSN"], "back", "PHONE", "mask", None, None, None),
+        (4, "patch", ids["SSN"], None, None, None, 0.9, None, None),
+        (1, "create", "new", "n", "PHONE", "mask", None, None, None),
+        (2, "delete", "new", None, None, None, None, None, None),
+        (1, "patch", "nobody", "x", None, None, None, None, None),
+    ]
+    schema = (
+        "seq int, op string, id string, name string, entity_type string, action string,"
+        " min_confidence double, enabled boolean, description string"
+    )
+    out = {r.id: r for r in R.upsert_rules(base, spark.createDataFrame(rows, schema), F.lit("2024-02-01").cast("timestamp")).collect()}
+    assert set(out) == {ids["EMAIL"], ids["SSN"], ids["JWT"]}
+    email, back = out[ids["EMAIL"]], out[ids["SSN"]]
+    assert (email.name, email.action, email.min_confidence, email.entity_type) == ("renamed", "BLOCK", 0.1, "EMAIL")
+    assert (back.name, back.entity_type, back.action, back.min_confidence, back.enabled) == ("back", "PHONE", "MASK", 0.9, True)
+    assert back.created_at == datetime(2024, 2, 1) and out[ids["JWT"]].updated_at == R.EPOCH
