@@ -52,14 +52,14 @@ def spread_windows(data: bytes, n: int, shape: Shape) -> list[bytes]:
 
 
 class ByteConv:
-    """Tables (byte, offset of a width, filter), biases, and the dense layer."""
+    """Tables (offset of a width, byte, filter), biases, and the dense layer."""
 
     def __init__(self, classes: int, shape: Shape, seed: int = 1):
         r = np.random.default_rng(seed)
         self.shape, offsets = shape, sum(shape.widths)
         features = len(shape.widths) * shape.filters
-        self.tables = r.normal(0, 0.3, (PAD + 1, offsets, shape.filters)).astype(np.float32)
-        self.tables[PAD] = 0
+        self.tables = r.normal(0, 0.3, (offsets, PAD + 1, shape.filters)).astype(np.float32)
+        self.tables[:, PAD] = 0
         self.bias = np.zeros(features, np.float32)
         self.dense = r.normal(0, features**-0.5, (features, classes)).astype(np.float32)
         self.offset = np.zeros(classes, np.float32)
@@ -70,13 +70,12 @@ class ByteConv:
 
     def pooled(self, windows: np.ndarray, where: bool = False):
         """The largest response of each filter, and where it is if asked for."""
-        got = self.tables[windows]
         most, places, o = [], [], 0
         for w in self.shape.widths:
             n = windows.shape[1] - w + 1
-            total = got[:, :n, o] + got[:, 1 : n + 1, o + 1]
-            for j in range(2, w):
-                total += got[:, j : n + j, o + j]
+            total = np.take(self.tables[o], windows[:, :n], axis=0)
+            for j in range(1, w):
+                total += np.take(self.tables[o + j], windows[:, j : n + j], axis=0)
             o += w
             if where:
                 place = total.argmax(1)
@@ -86,7 +85,8 @@ class ByteConv:
                 most.append(total.max(1))
         return np.concatenate(most, 1), places
 
-    def logits(self, windows: np.ndarray, block: int = 32) -> np.ndarray:
+    def logits(self, windows: np.ndarray, block: int = 8) -> np.ndarray:
+        """Few windows at a time, so that their responses stay in the processor's cache."""
         out = [
             np.maximum(self.pooled(windows[i : i + block])[0] + self.bias, 0) @ self.dense + self.offset
             for i in range(0, len(windows), block)
@@ -105,9 +105,9 @@ class ByteConv:
         for i, (w, place) in enumerate(zip(self.shape.widths, places)):
             part = back[:, i * f : (i + 1) * f]
             for j in range(w):
-                np.add.at(tables, (windows[rows, place + j], o + j, np.arange(f)), part)
+                np.add.at(tables, (o + j, windows[rows, place + j], np.arange(f)), part)
             o += w
-        tables[PAD] = 0
+        tables[:, PAD] = 0
         return [tables, back.sum(0), active.T @ wrong, wrong.sum(0)]
 
     def fit(self, windows: np.ndarray, target: np.ndarray, epochs: int, rate: float = 0.01, batch: int = 64, seed: int = 2) -> None:
