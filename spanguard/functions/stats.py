@@ -40,7 +40,8 @@ def nearest_rank(
     round_half_even(p * (n - 1)) of the sorted column. `ps` maps names to p.
     `parts` names conditions that split the rows; their counts come along.
 
-    Rows with a null value count in `parts` but have no rank.
+    Rows with a null value count in `parts` but have no rank; without `parts`
+    they don't matter at all.
 
     Rows are counted per distinct value before any shuffle. Ranks are found in
     two levels, so no window holds more than a 1024-value range or the list of
@@ -49,6 +50,8 @@ def nearest_rank(
     """
     keys, count = list(keys), {"_n": F.lit(True)}
     conditions = parts or count
+    if not parts:
+        df = df.filter(F.col(value).isNotNull())
     hist = df.groupBy(
         *keys, F.floor(F.col(value) / _COARSE).alias("_range"), F.col(value).alias("_v")
     ).agg(*[F.count_if(c).alias(name) for name, c in conditions.items()])
