@@ -2,11 +2,12 @@
 
 The entropy scan looks at candidate strings (long unbroken runs of token
 characters). A candidate's character class is the narrowest that holds all its
-characters; each class has a threshold of its own. A window of fixed length slides
-over the candidate; its Shannon entropy follows from the counts of its characters,
-which change by one character in and one out, so a step costs two table lookups
-however long the window is. Overlapping windows over the threshold are one span.
-Candidates on the allow list are suppressed.
+characters; each class has a threshold of its own for each window length. A window
+slides over the candidate, 24 characters long or, in shorter candidates, 16; its
+Shannon entropy follows from the counts of its characters, which change by one
+character in and one out, so a step costs two table lookups however long the window
+is. Overlapping windows over the threshold are one span. The allow list suppresses
+the windows that hold or touch what it matches; the rest of the candidate counts.
 """
 
 from __future__ import annotations
@@ -32,34 +33,37 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")  # runs are maximal: the same as 20+
 HEX = re.compile(rb"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "entropy")
 
-WINDOW = 24
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
-#: Name, characters and bits per character from which a window counts, narrowest first.
+WINDOW, SHORT = 24, 16
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % SHORT)
+#: Name, characters and bits per character from which a window counts (of WINDOW and of
+#: SHORT characters), narrowest first. They lie between what ordinary and what random
+#: strings of the class reach; README has the shares on either side.
 CLASSES = (
-    ("digits", re.compile(rb"[0-9]+"), math.inf),
-    ("lower", re.compile(rb"[a-z]+"), math.inf),
-    ("upper", re.compile(rb"[A-Z]+"), math.inf),
-    ("hex", re.compile(rb"[0-9a-fA-F]+"), 2.9),
-    ("letters", re.compile(rb"[A-Za-z]+"), 4.1),
-    ("alnum", re.compile(rb"[A-Za-z0-9]+"), 3.7),
-    ("base64", re.compile(rb"[A-Za-z0-9+/_=-]+"), 3.8),
-)
-#: Candidates that look random but aren't secrets; matched against the whole candidate.
-ALLOWED = (
-    rb"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}",  # UUID
-    rb"[0-9+/_=-]+",  # numbers, dates, rules made of signs
-    rb"[A-Z]?[a-z]*([-_/+=][A-Z]?[a-z]*)+",  # words joined by signs
-    rb"(?i).*(example|sample|placeholder|abcdefgh|0123456789).*",
+    ("digits", re.compile(rb"[0-9]+"), 2.65, 2.4),
+    ("lower", re.compile(rb"[a-z]+"), 3.56, 3.3),
+    ("upper", re.compile(rb"[A-Z]+"), 3.56, 3.3),
+    ("hex", re.compile(rb"[0-9a-fA-F]+"), 2.9, 2.7),
+    ("letters", re.compile(rb"[A-Za-z]+"), 3.9, 3.45),
+    ("alnum", re.compile(rb"[A-Za-z0-9]+"), 3.7, 3.45),
+    ("base64", re.compile(rb"[A-Za-z0-9+/_=-]+"), 3.8, 3.5),
 )
+#: Whole candidates that look random but aren't secrets.
+ALLOWED = (rb"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}",)  # UUID
+#: Parts of candidates that mark what is around them as no secret.
+ALLOWED_PARTS = re.compile(rb"(?i)example|sample|placeholder|abcdefgh|0123456789")
+#: Numbers, dates and rules made of signs, and words joined by signs: signs and short
+#: pieces are no secret, each long piece is a candidate of its own.
+JOINED = re.compile(rb"[0-9+/_=-]*[+/_=-][0-9+/_=-]*|[A-Z]?[a-z]*([-_/+=][A-Z]?[a-z]*)+")
+PIECE = re.compile(rb"[A-Za-z0-9]{%d,}" % SHORT)
 #: c * log2(c) for the counts that a window can hold.
 PLOGP = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
 
 
 def entropy_runs(s: bytes, threshold: float, window: int = WINDOW) -> list[tuple[int, int]]:
     """Merged spans of the windows of `s` whose entropy reaches the threshold."""
-    if len(s) < window or threshold == math.inf:
+    if len(s) < window:
         return []
-    plogp = PLOGP if window == WINDOW else [0.0, *(c * math.log2(c) for c in range(1, window + 1))]
+    plogp = PLOGP if window <= WINDOW else [0.0, *(c * math.log2(c) for c in range(1, window + 1))]
     most = window * (math.log2(window) - threshold) + 1e-9  # entropy >= threshold: sum of plogp <= most
     counts, total = [0] * 256, 0.0
     for b in s[:window]:
@@ -93,13 +97,27 @@ def base_spans(data: bytes) -> list[tuple[int, str, int]]:
     return found
 
 
-def entropy_spans(data: bytes, allowed: re.Pattern) -> list[tuple[int, str, int]]:
-    found = []
+def candidates(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """Place and characters of each string to be judged."""
     for m in CANDIDATE.finditer(data):
-        s = m.group()
-        threshold = next(bits for _, chars, bits in CLASSES if chars.fullmatch(s))
-        if threshold < math.inf and not allowed.fullmatch(s):
-            found += [(m.start() + a, "entropy", m.start() + b) for a, b in entropy_runs(s, threshold)]
+        if JOINED.fullmatch(m.group()):
+            yield from ((m.start() + p.start(), p.group()) for p in PIECE.finditer(m.group()))
+        else:
+            yield m.start(), m.group()
+
+
+def entropy_spans(data: bytes, allowed: re.Pattern, parts: re.Pattern = ALLOWED_PARTS) -> list[tuple[int, str, int]]:
+    found = []
+    for at, s in candidates(data):
+        if allowed.fullmatch(s):
+            continue
+        long, short = next(bits for _, chars, *bits in CLASSES if chars.fullmatch(s))
+        window, threshold = (WINDOW, long) if len(s) >= WINDOW else (SHORT, short)
+        # Between allowed parts, without the character next to them.
+        marks = [(m.start() - 1, m.end() + 1) for m in parts.finditer(s)]
+        for a, b in zip([0, *(end for _, end in marks)], [*(start for start, _ in marks), len(s)]):
+            if b - a >= window:
+                found += [(at + a + x, "entropy", at + a + y) for x, y in entropy_runs(s[a:b], threshold, window)]
     return found
 
 

@@ -120,3 +120,27 @@ def test_native(spark, sf):
     for name in ("op10_chat_format", "op1_decontamination"):
         plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "NestedLoop")), name
+
+
+def entropy_found(text):
+    allowed = re.compile(b"|".join(b"(?i:%s)" % a[4:] for a in secret_scan.ALLOWED))
+    return [text[a:b] for a, _, b in secret_scan.entropy_spans(text.encode(), allowed)]
+
+
+def test_every_class_and_length_has_spans():
+    r = random.Random(11)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    classes = [digits, lower, lower.upper(), digits + "abcdef", lower + lower.upper(), lower + lower.upper() + digits, lower + lower.upper() + digits + "+/"]
+    for chars in classes:
+        for n, share in ((16, 0.75), (24, 0.9), (32, 0.97), (200, 1)):
+            tokens = ["".join(r.choice(chars) for _ in range(n)) for _ in range(300)]
+            assert sum(bool(entropy_found(t)) for t in tokens) >= share * 300, (chars, n)
+    for plain in ("internationalization", "responsibilities", "2024-01-31/2024-02-29_12-30", "0" * 40, "=" * 30, "a" * 20 + "b" * 20):
+        assert entropy_found(plain) == [], plain
+
+
+def test_allow_list_suppresses_its_own_part():
+    secret = "f9K2xQ7vLp0ZtB4nWc8RyD3m"
+    assert entropy_found(secret * 3 + "example" + secret * 3) == [(secret * 3)[:-1], (secret * 3)[1:]]
+    token = "qzjxkvwpmbtgyhcfudnrlsoeia"
+    assert entropy_found("key_" + token) == [token]
