@@ -166,7 +166,15 @@ def read_labeled(spark, sf):
 def labeled_documents(spark, sf):
     """Documents on one line each, with their findings as entities."""
     docs = D.planted(spark, sf).withColumn("text", F.regexp_replace("text", r"\s+", " "))
-    docs = docs.withColumn("text", F.trim("text"))
+    return with_entities(docs.withColumn("text", F.trim("text")))
+
+
+def whole_documents(spark, sf):
+    """Documents as they are given, with their findings as entities."""
+    return with_entities(D.planted(spark, sf))
+
+
+def with_entities(docs):
     found = D.scan(docs)
     entities = F.transform(
         "findings",
@@ -203,7 +211,17 @@ _BIO = [
     + "select cast(k as bigint) as doc_id, i - 1 as idx, token, tag from bio where tag <> 'O'",
 )
 def text_to_bio(spark, sf):
-    rows = G.bio_rows(labeled_documents(spark, sf), "doc_id")
+    return tagged_tokens(labeled_documents(spark, sf))
+
+
+@query("text_to_bio_whole")
+def text_to_bio_whole(spark, sf):
+    """On the texts as they are given. SQL can't follow tags that shift behind other white space."""
+    return tagged_tokens(whole_documents(spark, sf))
+
+
+def tagged_tokens(docs):
+    rows = G.bio_rows(docs, "doc_id")
     tagged = rows.select("doc_id", F.posexplode(F.arrays_zip("tokens", "tags")).alias("idx", "t"))
     return tagged.select("doc_id", *big("idx"), "t.tokens", "t.tags").toDF(
         "doc_id", "idx", "token", "tag"
@@ -217,7 +235,16 @@ def text_to_bio(spark, sf):
     " count(*) as n from bio group by all",
 )
 def encode_labels(spark, sf):
-    rows = G.bio_rows(labeled_documents(spark, sf), "doc_id")
+    return label_counts(labeled_documents(spark, sf))
+
+
+@query("encode_labels_whole")
+def encode_labels_whole(spark, sf):
+    return label_counts(whole_documents(spark, sf))
+
+
+def label_counts(docs):
+    rows = G.bio_rows(docs, "doc_id")
     return (
         rows.select(F.explode("labels").alias("label"))
         .groupBy(F.col("label").cast("bigint").alias("label"))
@@ -235,6 +262,11 @@ def label_distribution(spark, sf):
     return E.label_distribution(G.bio_rows(labeled_documents(spark, sf), "doc_id"))
 
 
+@query("label_distribution_whole")
+def label_distribution_whole(spark, sf):
+    return E.label_distribution(G.bio_rows(whole_documents(spark, sf), "doc_id"))
+
+
 def label_pairs(spark, sf):
     """Two label sequences per embedding: the second is the best label of each
     token, the first differs in a fifth of the places and ignores some.

@@ -168,3 +168,21 @@ def test_align_subwords(spark):
 def test_encode_unknown_label_is_o(spark):
     df = spark.createDataFrame([(["O", "B-SECRET", "X"],)], "t array<string>")
     assert df.select(B.encode_labels("t")).first()[0] == [0, 3, 0]
+
+
+def test_registered_bio_queries_on_given_texts(spark, sf):
+    from collections import Counter
+
+    from spanguard.plans import catalog, scoring
+
+    got = {name: catalog.QUERIES[f"{name}_whole"](spark, sf).collect() for name in ("text_to_bio", "encode_labels", "label_distribution")}
+    rows, counts, broken = [], Counter(), 0
+    for r in scoring.whole_documents(spark, sf).collect():
+        tokens, tags = walk(r.text, [(e.start, e.end, e.label) for e in r.entities])
+        rows += [(r.doc_id, i, *x) for i, x in enumerate(zip(tokens, tags)) if x[1] != "O"]
+        counts.update(tags)
+        broken += "\n" in r.text
+    assert broken > 50 and sorted(tuple(r) for r in got["text_to_bio"]) == sorted(rows)
+    ids = ["O", "B-PII", "I-PII", "B-SECRET", "I-SECRET"]
+    assert {r.label: r.n for r in got["encode_labels"]} == {ids.index(t): n for t, n in counts.items()}
+    assert {r.label: r.n for r in got["label_distribution"]} == dict(counts)
