@@ -59,7 +59,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     docs = numbered(docs)
-    found = contained_items(docs, read(spark, sf_dir, "benchmark"), row_col=NUMBER)
+    found = contained_items(docs, read(spark, sf_dir, "benchmark"), row_col=NUMBER, short_items=True)
     return keep(docs, found, "left_anti")
 
 

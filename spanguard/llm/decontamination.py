@@ -38,12 +38,17 @@ def word_list(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def over_shingles(words: Column, size: int, make) -> Column:
+def over_shingles(words: Column, size: int, make, lengths: tuple[int, ...] = ()) -> Column:
     """`make` of the words of each shingle, in order; fewer words than `size` are one shingle.
 
-    The word list is bound to a variable, so it is evaluated once per row.
+    The distinct runs of each of `lengths` words follow. The word list is bound to a
+    variable, so it is evaluated once per row.
     """
 
+    def runs(w: Column, k: int) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: make([F.array_join(F.slice(w, i + 1, k), " ")]))
+        return F.when(F.size(w) >= k, F.array_distinct(each)).otherwise(F.array().cast("array<string>" if make is joined else "array<long>"))
+
     def all_of(w: Column) -> Column:
         return (
             F.when(F.size(w) == 0, F.array().cast("array<string>") if make is joined else F.array().cast("array<long>"))
@@ -53,7 +58,8 @@ def over_shingles(words: Column, size: int, make) -> Column:
             )
         )
 
-    return F.transform(F.array(words), all_of)[0]
+    whole = all_of if not lengths else lambda w: F.concat(all_of(w), *[runs(w, k) for k in lengths])
+    return F.transform(F.array(words), whole)[0]
 
 
 def hashed(words: list[Column]) -> Column:
@@ -81,11 +87,14 @@ def contained_items(
     words: int = WORDS,
     percent: int = PERCENT,
     row_col: str | None = None,
+    short_items: bool = False,
 ) -> DataFrame:
     """Pairs of a document and an item with 100 * |shared| >= percent * |item|.
 
     Sets are of distinct shingles of `words` words; a text of fewer words is one
     shingle, one without words (null and empty ones too) has none and is in no pair.
+    With `short_items`, an item of fewer than `words` words is found wherever its words
+    stand next to each other in a document, not only in one that has no other words.
     Repeated rows and null ids are rows like others, each with pairs of its own.
     Returns the document's id, the item's id, n_shared, n_item, containment and the
     document's row number. Without documents or items the result is empty.
@@ -93,10 +102,14 @@ def contained_items(
     tests = items.select(
         F.monotonically_increasing_id().alias("item"),
         F.col(item_col).alias("item_id"),
+        F.size(word_list(F.col(item_text_col))).alias("length"),
         F.array_distinct(over_shingles(word_list(F.col(item_text_col)), words, joined)).alias("parts"),
         F.array_sort(F.array_distinct(over_shingles(word_list(F.col(item_text_col)), words, hashed))).alias("hashes"),
     ).filter(F.size("parts") > 0)
     tests = stored(tests.withColumn("n", F.size("parts")), "items")
+    lengths = ()
+    if short_items:
+        lengths = tuple(sorted(r["length"] for r in tests.filter(F.col("length") < words).select("length").distinct().collect()))
     sketch = stored(
         tests.select(
             "item",
@@ -106,14 +119,14 @@ def contained_items(
         "item-sketches",
     )
     rows = docs.select(row_number(row_col), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    shingles = rows.select(ROW, over_shingles(word_list(F.col("text")), words, hashed).alias("hashes")).select(
+    shingles = rows.select(ROW, over_shingles(word_list(F.col("text")), words, hashed, lengths).alias("hashes")).select(
         ROW, F.size("hashes").alias("size"), F.explode("hashes").alias("hash")
     )
     small = sketch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     found = shingles.join(F.broadcast(sketch) if small else sketch, "hash").filter("size >= need")
     candidates = stored(found.select(ROW, "item").distinct(), "candidates")
     texts = candidates.join(rows, ROW).select(
-        ROW, "id", "item", F.array_distinct(over_shingles(word_list(F.col("text")), words, joined)).alias("whole")
+        ROW, "id", "item", F.array_distinct(over_shingles(word_list(F.col("text")), words, joined, lengths)).alias("whole")
     )
     shared = F.size(F.array_intersect("parts", "whole"))
     verified = texts.join(tests.select("item", "item_id", "n", "parts"), "item").select(

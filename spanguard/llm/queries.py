@@ -166,5 +166,5 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanguard.llm.decontamination import contained_items
 
-    found = contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    found = contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), short_items=True)
     return found.drop("row_no")

@@ -71,3 +71,23 @@ def test_large_sketches_are_not_broadcast(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c d e f", 2, "", ""), (2, "x", 0, "", "")], DOCS)
     items = spark.createDataFrame([(1, "a b c d e f", 0)], ITEMS)
     assert [r.doc_id for r in contained_items(docs, items).collect()] == [1]
+
+
+def test_short_items_inside_long_documents(spark):
+    texts = ["one two three four five six seven", "three four", "four three two one zero six", "Six, SEVEN!", "", None, "x y three four five z q three four five"]
+    items = ["three four five", "six", "four", "three four", "one two three four", "one two three four five six", "six one", " ?"]
+
+    def runs(text):
+        return [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
+
+    want = []
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            q, w = runs(item), runs(text)
+            if 0 < len(q) < 5 and any(w[a : a + len(q)] == q for a in range(len(w))):
+                want.append((d, i, 1, 1))
+    want += [x for x in brute(list(enumerate(texts)), list(enumerate(items))) if len(runs(items[x[1]])) >= 5]
+    docs = spark.createDataFrame([(d, t, 5, "x", None) for d, t in enumerate(texts)], DOCS).coalesce(1)
+    tests = spark.createDataFrame([(i, t, 0) for i, t in enumerate(items)], ITEMS).coalesce(1)
+    found = contained_items(docs, tests, short_items=True).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_shared, r.n_item) for r in found) == sorted(want)
