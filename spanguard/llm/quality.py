@@ -3,7 +3,8 @@
 Learned filters run over overlapping chunks that cover the whole text; their largest
 responses in a chunk give the chunk's log odds. The mean, the least and the greatest
 of these over all chunks are combined by a logistic function into one probability.
-Both parts are trained on a bounded sample of labelled rows.
+Both parts are trained on a bounded sample of labelled rows: the network on a few
+chunks of each, the combination on all chunks, as they are scored.
 """
 
 from __future__ import annotations
@@ -93,18 +94,25 @@ def train_quality(
         held = np.zeros(len(ids), bool)
     net.fit(windows[~held], target[~held], epochs)
     fitted_on = held if held.any() else np.ones(len(ids), bool)
-    groups: dict = {}
-    for i, (key, w) in enumerate(zip(ids, windows)):
-        if fitted_on[i]:
-            groups.setdefault(key, []).append(i)
-    logits = net.logits(windows).astype(np.float64)
-    odds = logits[:, 1] - logits[:, 0]
-    filled = (windows < 256).sum(1)
-    rows = [[odds[g].mean(), odds[g].min(), odds[g].max(), np.log1p(filled[g].sum()) / 10, 1] for g in groups.values()]
-    combine = logistic(np.array(rows), np.array([chosen[k] for k in groups]), share)
+    keys = sorted({i for i, f in zip(ids, fitted_on) if f}, key=str)
+    fit_ids, rows = whole_features(texts.filter(F.col("label").isin(keys)), net)
+    combine = logistic(rows, np.array([chosen[i] for i in fit_ids]), share)
     return QualityModel(net, combine, share)
 
 
+def whole_features(texts: DataFrame, net: ByteConv) -> tuple[list, np.ndarray]:
+    """Ids (column label) and `features` over all chunks of the rows, which must be few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1, SLICE_BYTES):
+            x = features(net, as_bytes(batch.column(1))).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
+
+    rows = texts.mapInArrow(run, f"label {id_type(texts, 'label')}, x array<double>").collect()
+    rows.sort(key=lambda r: (str(r.label), r.x))
+    return [r.label for r in rows], np.array([r.x for r in rows])
+
+
 def hash_bit(key) -> bool:
     """A fixed quarter of all ids."""
     return (int(key) * 2654435761 >> 7) % 4 == 0 if isinstance(key, int) else len(str(key)) % 4 == 0

@@ -80,3 +80,19 @@ def test_edges(spark):
     scores = quality_of_documents(docs, labels).collect()
     assert len(scores) == len(rows) and {r.score for r in scores} == {1.0}
     assert quality_of_documents(docs.limit(0), labels).count() == 0
+
+
+def test_quality_is_fitted_on_whole_texts(spark, monkeypatch):
+    from spanguard.llm import quality
+
+    rows = [(i, ("good words here " if i % 2 else "bad 00 !! ") * (10 + 40 * (i % 7)), i % 2) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    seen, fit = [], quality.logistic
+    monkeypatch.setattr(quality, "logistic", lambda x, y, share: seen.append((x, y)) or fit(x, y, share))
+    model = quality.train_quality(docs.select("doc_id", "text"), docs.select("doc_id", "quality"), epochs=1)
+    ((x, y),) = seen
+    held = sorted((t.encode(), q) for i, t, q in rows if quality.hash_bit(i))
+    want = quality.features(model.net, [t for t, _ in held])
+    assert sorted(map(tuple, x.round(6))) == sorted(map(tuple, want.round(6)))
+    assert sorted(zip(x[:, 3].round(6), y)) == sorted(zip(want[:, 3].round(6), [q for _, q in held]))
+    assert x[:, 3].max() > np.log1p(quality.CHUNKS * quality.SHAPE.window) / 10
