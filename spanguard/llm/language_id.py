@@ -1,7 +1,8 @@
 """Language identification with a convolutional network over bytes.
 
 The network is trained on a bounded sample of labelled rows (`per_language` rows of
-each language, `windows` windows of each, spread over the whole text) and applied
+each language, fewer if there are many languages, `windows` windows of each, spread
+over the whole text) and applied
 to all windows of every text; a text's prediction comes from the mean of its
 windows' log probabilities, weighted by their bytes.
 """
@@ -21,8 +22,9 @@ from spanguard.llm.common import ROW, as_bytes, id_type, row_number, slices
 UNKNOWN = "und"
 PER_LANGUAGE = 800
 WINDOWS = 3
-#: Languages that are learned at most: those with the most labelled rows.
-LANGUAGES = 64
+#: Labelled rows of all languages together to learn from, in expectation, shared evenly; but
+#: `LEAST` of each language at least, so that none with labelled rows is left out.
+TOTAL, LEAST = 51_200, 20
 EPOCHS = 5
 SLICE_BYTES = 1 << 19
 SHAPE = Shape()
@@ -86,18 +88,18 @@ def train_language(
     """Learn from the rows with a language and an id; without any, nothing is learned."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label"))
     rows = rows.filter("id is not null and label is not null and text is not null")
-    counts = {r.label: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()}
+    counts = {r.label: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], None)
-    share = F.lit(0.0)
-    for name in languages:
-        share = F.when(F.col("label") == name, min(1.0, per_language / counts[name])).otherwise(share)
+    quota = min(per_language, max(LEAST, TOTAL // len(languages)))
+    parts = [F.lit(x) for name in languages if counts[name] > quota for x in (name, quota / counts[name])]
+    share = F.coalesce(F.try_element_at(F.create_map(*parts), F.col("label")), F.lit(1.0)) if parts else F.lit(1.0)
     data, labels = collect_windows(rows.filter(sampled(F.col("id"), share)).select("label", "text"), windows, SHAPE)
     if not len(data):
         return LanguageModel([], None)
-    net = ByteConv(len(languages), SHAPE)
-    net.fit(data, np.array([languages.index(x) for x in labels]), epochs)
+    net, place = ByteConv(len(languages), SHAPE), {name: i for i, name in enumerate(languages)}
+    net.fit(data, np.array([place[x] for x in labels]), epochs)
     return LanguageModel(languages, net)
 
 

@@ -96,3 +96,16 @@ def test_quality_is_fitted_on_whole_texts(spark, monkeypatch):
     assert sorted(map(tuple, x.round(6))) == sorted(map(tuple, want.round(6)))
     assert sorted(zip(x[:, 3].round(6), y)) == sorted(zip(want[:, 3].round(6), [q for _, q in held]))
     assert x[:, 3].max() > np.log1p(quality.CHUNKS * quality.SHAPE.window) / 10
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    from spanguard.llm import language_id
+
+    rows = [(i, f"{chr(0x4E00 + i % 70) * 9} {i}", f"l{i % 70:02}", "", 0) for i in range(70 * 40)] + [(9999, "rare " * 20, "rare", "", 0)]
+    seen, collect = [], language_id.collect_windows
+    monkeypatch.setattr(language_id, "TOTAL", 71 * 20)
+    monkeypatch.setattr(language_id, "collect_windows", lambda *a: seen.append(collect(*a)) or seen[-1])
+    model = train_language(spark.createDataFrame(rows, SCHEMA), epochs=1)
+    assert model.languages == sorted({r[2] for r in rows}) and len(model.languages) == 71
+    ((_, labels),) = seen
+    assert set(labels) == set(model.languages) and len(labels) < 1.3 * 71 * 20
