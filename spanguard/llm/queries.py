@@ -168,3 +168,107 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), short_items=True)
     return found.drop("row_no")
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned CRC-32 of a text's UTF-8 bytes (DuckDB has no such function)."""
+    row = [0] * 8  # what each bit of a byte that leaves the register puts in
+    for bit in range(8):
+        x = 1 << bit
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        row[bit] = x
+    step = "v >> 8"
+    for bit, x in enumerate(row):
+        step = f"xor({step}, (xor(v, b) >> {bit} & 1) * {x})"
+    digit = "strpos('0123456789ABCDEF', hex(encode({t}))[{at}]) - 1"
+    byte = f"({digit.format(t=text, at='2 * k + 1')}) * 16 + {digit.format(t=text, at='2 * k + 2')}"
+    data = f"list_transform(range(strlen({text})), lambda k: {byte})"
+    return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda v, b: {step}), 4294967295)"
+
+
+@query(
+    "op12_spelling_variants",
+    rf"""
+    WITH RECURSIVE r AS (
+        SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+    ), l AS (
+        SELECT doc_id || ':' || translate(run, '{UPPER}', '{LOWER}') AS s, translate(run, '{UPPER}', '{LOWER}') AS run
+        FROM r WHERE length(run) >= 7
+    ), h AS (
+        SELECT run, {crc32_sql("s")} AS h FROM l
+    ), o AS (
+        SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h
+    ), v AS MATERIALIZED (
+        SELECT word, count(*) AS n FROM o WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+    ), c AS MATERIALIZED (
+        SELECT word, i, left(word, i) || substr(word, i + 2) AS d FROM (SELECT word, unnest(range(length(word))) AS i FROM v)
+    ), p AS (
+        SELECT a.word, b.word AS near FROM c a JOIN c b USING (i, d) WHERE a.word <> b.word
+        UNION SELECT v.word, c.word FROM v JOIN c ON c.d = v.word
+        UNION SELECT c.word, v.word FROM v JOIN c ON c.d = v.word
+    ), b AS (
+        SELECT p.word, count(*) AS n_near, first(near ORDER BY v.n DESC, near) AS near, max(v.n) AS near_n
+        FROM p JOIN v ON v.word = p.near GROUP BY p.word
+    ), f AS MATERIALIZED (
+        SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form,
+               CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n
+        FROM v LEFT JOIN b USING (word)
+    ), w AS (
+        SELECT word, word AS root FROM f
+        UNION ALL SELECT w.word, f.form FROM w JOIN f ON f.word = w.root WHERE f.form IS NOT NULL
+    ), g AS (
+        SELECT w.word, w.root FROM w JOIN f ON f.word = w.root WHERE f.form IS NULL
+    )
+    SELECT word, form, root, n, n_near, form_n FROM f JOIN g USING (word)
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanguard.llm.spelling import spelling_variants
+
+    return spelling_variants(read(spark, sf_dir, "documents"))
+
+
+WORD_RUNS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+@query(
+    "op13_importance_resampling",
+    rf"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD_RUNS}') AS w FROM documents
+    ), e AS (
+        SELECT regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD_RUNS}') AS w FROM benchmark
+    ), df AS MATERIALIZED (
+        SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])
+            || list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS s FROM d
+    ), ef AS MATERIALIZED (
+        SELECT unnest(w || list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])
+            || list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS s FROM e
+    ), b AS MATERIALIZED (
+        SELECT s, {crc32_sql("s")} % 10000 AS bucket FROM (SELECT s FROM df UNION SELECT s FROM ef)
+    ), cs AS (SELECT bucket, count(*)::DOUBLE AS s FROM df JOIN b USING (s) GROUP BY bucket),
+    ct AS (SELECT bucket, count(*)::DOUBLE AS t FROM ef JOIN b USING (s) GROUP BY bucket),
+    g AS (
+        SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT count(*) FROM df) + 10000)
+            / ((coalesce(s, 0) + 1) * ((SELECT count(*) FROM ef) + 10000))))::BIGINT AS gain
+        FROM cs FULL JOIN ct USING (bucket)
+    ), w AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM df JOIN b USING (s) JOIN g USING (bucket) GROUP BY doc_id),
+    k AS (
+        SELECT doc_id, len(w) AS n_words, len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) AS n_features,
+               coalesce(weight, 0) AS weight, ('0x' || left(sha256('42:' || doc_id), 8))::BIGINT AS h
+        FROM d LEFT JOIN w USING (doc_id)
+    ), c AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296))))::BIGINT AS score FROM k),
+    o AS (
+        SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM c WHERE n_words >= 20
+    )
+    SELECT doc_id, n_features::BIGINT AS n_features, weight, score,
+           CASE WHEN place <= 5 * (SELECT count(*) FROM o) // 100 THEN place END AS rank
+    FROM c LEFT JOIN o USING (doc_id)
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanguard.llm.importance import resample
+
+    drawn = resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
