@@ -170,6 +170,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("row_no")
 
 
+@query("op11_jaccard_join")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanguard.llm.jaccard_join import jaccard_groups
+
+    return jaccard_groups(read(spark, sf_dir, "documents")).drop("row_no")
+
+
 def crc32_sql(text: str) -> str:
     """DuckDB SQL of the unsigned CRC-32 of a text's UTF-8 bytes (DuckDB has no such function)."""
     row = [0] * 8  # what each bit of a byte that leaves the register puts in
