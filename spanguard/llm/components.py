@@ -17,9 +17,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = stored(edges, "edges")
-    while not edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty() or not (
-        edges.groupBy("a").count().filter("count > 1").isEmpty()
-    ):
+    while True:
+        ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            edges.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        )
+        ends = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if ends.filter("up > 1 or up = 1 and down = 1").isEmpty():  # each node has one edge, to a root
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "lowest")
         # Large star: the larger neighbours of a node go to the smallest of all.

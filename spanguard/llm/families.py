@@ -126,15 +126,17 @@ def settle(entries: DataFrame, weights: DataFrame, rows: DataFrame, words: int,
         return out
 
     def test(pairs: DataFrame) -> DataFrame:
-        """Compare the pairs not yet compared, and link those that are similar enough."""
+        """Compare the pairs not yet compared."""
         pairs = pairs.filter("node <> hub")
         if tested:
             pairs = pairs.join(union(tested).select("node", "hub"), ["node", "hub"], "left_anti")
         found = compare(stored(pairs, "pairs"), texts, words)
         tested.append(found)
-        groups.link(found.filter(linked).select(F.col("node").alias("a"), F.col("hub").alias("b")))
         return found
 
+    def links(parts: list[DataFrame]) -> DataFrame:
+        return union(parts).filter(linked).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+
     def hubs_of(members: DataFrame) -> DataFrame:
         """(node, hub): the heaviest among those that are heaviest in a bucket of the node."""
         best = members.join(stored(heaviest(members), "heaviest"), "key").groupBy("node").agg(F.max("top").alias("top"))
@@ -161,27 +163,28 @@ def settle(entries: DataFrame, weights: DataFrame, rows: DataFrame, words: int,
     live = stored(rest(members.select("key", "node"), pivots), "live")
     relied = len(tested)
     for _ in range(HARVESTS):
-        links = union(tested).filter(linked)
-        joined = links.select("node").unionByName(links.select(F.col("hub").alias("node"))).distinct()
+        joined = links(tested).select(F.explode(F.array("a", "b")).alias("node")).distinct()
         members = groups.open(entries.join(stored(joined, "joined"), "node", "left_anti"))
         if members.isEmpty():
             break
         found = test(hubs_of(members).select("node", F.col("top.node").alias("hub")))
         if HARVEST * found.filter(linked).count() <= found.count():
             break
-    harvested = tested[relied:]
-    level = 1
+    harvested, first = tested[relied:], len(tested)
+    groups.link(links(tested))
+    level = 0
     while True:
         members = groups.open(live)
         if members.isEmpty():
             break
-        part = F.expr(f"pmod(xxhash64(node, {level}), {4 ** (level - 1)})")
+        part = F.expr(f"pmod(xxhash64(node, {level}), {16**level})")
         pivots = stored(heaviest(members, part).select("key", F.col("top.node").alias("hub")), "pivots")
         test(members.join(pivots, "key").select("node", "hub").distinct())
         live = stored(rest(members.select("key", "node"), pivots), "live")
         level += 1
     families = union([t for t in tested if not any(t is h for h in harvested)])
-    groups.link(common_differences(families, groups, percent))
+    late = common_differences(families, groups, percent)
+    groups.link(stored(late.unionByName(links(tested[first:])) if tested[first:] else late, "late"))
     return groups.labels.select("node", "comp")
 
 
