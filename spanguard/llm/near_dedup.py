@@ -4,20 +4,9 @@ Rows with equal shingle sets are one class from the start, so a group of copies
 one node however large it is. Classes get a signature from two permutations, one of
 them shifted circularly, and meet in the buckets of its bands.
 
-Within a bucket no list of all pairs is made. In each round a bucket has some
-pivots, at first one and up to sixteen times as many in each later round, dealt over
-its components and their members; the others are compared with these unless they are in
-the same component already. A pivot is then done with its bucket. Confirmed links join components, and a bucket
-leaves as soon as one component holds all that is left of it. So every two members of a
-bucket are compared, or are known to be in one component: nothing is capped.
-
-Many copies of one text that differ from it in places of their own meet in the same
-buckets without being similar enough to each other. The first pivots are therefore
-the members that share most buckets, which is the text they come from, and what a
-member lacks of its first pivot's set and has besides is kept as a sketch. Two
-members of one pivot need a certain number of common differences to be linked; the
-sketches bound that number from above, so a pair that falls short is settled within
-the join, without looking at its sets. The bound is exact: it drops no link.
+Within a bucket no list of all pairs is made: sets are compared with hubs and stand
+for each other by their differences from these (`families`), which settles every two
+members of a bucket exactly. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -27,12 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanguard.llm.common import ROW, as_bytes, id_type, pack, row_number, slices, stored
-from spanguard.llm.components import components
+from spanguard.llm.common import ROW, as_bytes, id_type, row_number, slices, stored
+from spanguard.llm.families import settle
 from spanguard.llm.hashing import band_keys, circulant_signatures, shingle_sets
 
 #: Words in a shingle, and the least similarity in hundredths.
@@ -40,8 +28,6 @@ WORDS, PERCENT = 5, 80
 #: A linked pair shares no bucket with at most this probability.
 MISS = 1e-6
 MOST_BANDS = 20
-#: Cells of a sketch of differences, and the most differences that are sketched; members with more are compared.
-CELLS, MOST_DIFFERENCES = 4096, 400
 CHUNK = 1 << 18
 
 
@@ -84,129 +70,13 @@ def sketches(docs: DataFrame, words: int, percent: int, kind: str) -> DataFrame:
     return docs.mapInArrow(sketch, f"{ROW} long, id {kind}, n long, d1 long, d2 long, bands array<long>")
 
 
-def differences(hub: np.ndarray, node: np.ndarray) -> np.ndarray | None:
-    """The cells of what a set lacks of the hub's and has besides, as a set: a cell that
-    is hit again counts as another. The common elements of two such sets are at least
-    the common differences.
-    """
-    lacks = np.setdiff1d(hub, node, assume_unique=True)
-    more = np.setdiff1d(node, hub, assume_unique=True)
-    if len(lacks) + len(more) > MOST_DIFFERENCES:
-        return None
-    cells = np.sort(np.append(lacks % np.uint64(CELLS), more % np.uint64(CELLS) + np.uint64(CELLS)).astype(np.int64))
-    first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else np.zeros(0, int)
-    again = np.arange(len(cells)) - np.repeat(first, np.diff(first, append=len(cells)))
-    return cells * MOST_DIFFERENCES + again
-
-
-def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """For each pair (a, b, hub) whether the full shingle sets are similar enough.
-
-    Where `hub` is one of the two, also the other one's place relative to it: the
-    similarity, how many shingles of the hub's it lacks, and the sketch of its
-    differences.
-    """
-    schema = "a long, b long, hub long, same boolean, similar double, size long, lacks long, cells array<long>"
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor()
-        for batch in slices(batches, 4, CHUNK):
-            left, right = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            different = list(dict.fromkeys([*left, *right]))
-            sets = dict(zip(different, shingle_sets([open_.decompress(p) for p in different], words)))
-            out = []
-            for a, hub, x, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), left, right):
-                x, y = sets[x], sets[y]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - both
-                place = (None, None, None)
-                if hub is not None:
-                    center, other = (x, y) if hub == a else (y, x)
-                    place = (len(center), len(center) - both, differences(center, other))
-                out.append((100 * both >= percent * union, both / union, *place))
-            kinds = (pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            arrays = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], ["a", "b", "hub", "same", "similar", "size", "lacks", "cells"])
-
-    first = texts.select(F.col("node").alias("a"), F.col("packed").alias("pa"))
-    second = texts.select(F.col("node").alias("b"), F.col("packed").alias("pb"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "hub", "pa", "pb").mapInArrow(check, schema)
-
-
 def link(classes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, comp) of the classes that share buckets; comp is the smallest node linked."""
-    buckets = classes.select("node", "n", F.explode("bands").alias("key"))
+    buckets = classes.select("node", F.explode("bands").alias("key"))
     shared = stored(buckets.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "shared")
-    live = stored(buckets.join(shared, "key"), "buckets")
-    labels = stored(
-        live.groupBy("node").agg(F.sum("m").alias("weight")).select("node", "weight", F.col("node").alias("comp")), "labels"
-    )
-    live = live.drop("m")
-    texts = stored(
-        rows.select(ROW, "text").mapInArrow(pack, f"{ROW} long, packed binary")
-        .join(labels.select(F.col("node").alias(ROW)), ROW).withColumnRenamed(ROW, "node"),
-        "texts",
-    )
-    tested, level = None, 0
-    beside = None  # where members stand beside their first pivot
-    while True:
-        members = live.join(labels, "node")
-        open_ = stored(
-            members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key"),
-            "open",
-        )
-        members = stored(members.join(open_, "key"), "members")
-        if members.isEmpty():
-            return labels
-        slots = [F.expr(f"pmod(xxhash64({c}, {level}), {4**level})").alias(f"{c}_slot") for c in ("comp", "node")]
-        pivots = stored(
-            members.groupBy("key", *slots).agg(
-                F.min(F.struct((-F.col("weight")).alias("w"), "node", "comp", "n")).alias("pivot")
-            )
-            .select("key", "pivot.node", "pivot.comp", "pivot.n"),
-            "pivots",
-        )
-        p = pivots.select("key", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("n").alias("pivot_n"))
-        near = f"comp <> pivot_comp and 100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"
-        others = members
-        if beside is not None:
-            others = members.join(beside, "node", "left")
-            there = [F.col(c).alias(f"pivot_{c}") for c in ("hub", "lacks", "cells")]
-            p = p.join(beside.select(F.col("node").alias("pivot"), *there), "pivot", "left")
-            # Of what the hub has, both lack at most lacks + pivot_lacks; common differences give some back.
-            need = f"({percent} * (n + pivot_n) + {100 + percent - 1}) div {100 + percent} - size + lacks + pivot_lacks"
-            near += f" and coalesce(hub <> pivot_hub or size(array_intersect(cells, pivot_cells)) >= {need}, true)"
-        pairs = others.join(p, "key").filter(near).select(
-            F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), "pivot"
-        )
-        hub = F.min("pivot") if beside is None else F.lit(None).cast("long")
-        pairs = pairs.groupBy("a", "b").agg(hub.alias("hub"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tried = pairs.select("a", "b")
-        tested = tried if tested is None else tested.unionByName(tried)
-        live = members.join(pivots.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n")
-        compared = stored(confirm(pairs, texts, words, percent), "compared")
-        if beside is None:
-            place = F.struct("similar", "hub", "size", "lacks", "cells")
-            node = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node")
-            beside = stored(
-                compared.filter("cells is not null").groupBy(node).agg(F.max(place).alias("p"))
-                .select("node", "p.hub", "p.size", "p.lacks", "p.cells"),
-                "beside",
-            )
-        links = compared.filter("same").select("a", "b")
-        if not links.isEmpty():
-            one, two = (
-                labels.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in ("a", "b")
-            )
-            roots = components(links.join(one, "a").join(two, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-            moved = roots.select(F.col("node").alias("comp"), "root")
-            labels = stored(
-                labels.join(moved, "comp", "left").select("node", "weight", F.coalesce("root", "comp").alias("comp")), "labels"
-            )
-        level += 1
+    entries = stored(buckets.join(shared, "key"), "buckets")
+    weights = entries.groupBy("node").agg(F.sum("m").alias("weight"))
+    return settle(entries.select("key", "node"), weights, rows, words, percent)
 
 
 def near_groups(
