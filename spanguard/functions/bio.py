@@ -8,7 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanguard.functions.spans import map_sql
-from spanguard.functions.text import round_exact_sql, running_sum_sql, sql_let
+from spanguard.functions.text import (
+    ranks_below_sql,
+    round_exact_sql,
+    running_sum_sql,
+    sql_let,
+)
 from spanguard.schema import (
     BIO_LABELS,
     CATEGORY_OF,
@@ -112,6 +117,33 @@ def bio_tokens(text: str) -> Column:
     return F.expr(bio_tokens_sql(text))
 
 
+def _tags_sql() -> str:
+    """Tags of tokens at the rising places `ps` by the sorted spans `sp`, below `n`.
+
+    Spans get the range of tokens they cover; of several spans over a token the last one
+    counts. So no token is compared with all spans.
+    """
+    starts = "transform(sp, s -> s.start)"
+    ends = "transform(sp, s -> greatest(s.end, s.start + 1))"
+    none = "cast(array() as array<struct<t:int,i:int>>)"
+    covered = (
+        "array_sort(flatten(transform(sp, (s, i) -> if(hi[i] > lo[i],"
+        f" transform(sequence(lo[i], hi[i] - 1), t -> struct(t as t, i as i)), {none}))))"
+    )
+    last = "filter(cv, (h, j) -> coalesce(get(cv, j + 1).t <> h.t, true))"
+    tag = (
+        "if(ps[h.t] < n, concat(if(ps[h.t] = sp[h.i].start, 'B-', 'I-'), sp[h.i].label), 'O')"
+    )
+    filled = (
+        "concat(flatten(transform(hs, (h, j) -> concat("
+        "array_repeat('O', h.t - coalesce(get(hs, j - 1).t, -1) - 1),"
+        f" array({tag})))), array_repeat('O', size(ps) - coalesce(try_element_at(hs, -1).t, -1) - 1))"
+    )
+    tagged = sql_let("cv", covered, sql_let("hs", last, filled))
+    ranked = sql_let("lo", ranks_below_sql("ps", starts), sql_let("hi", ranks_below_sql("ps", ends), tagged))
+    return f"if(size(sp) > 0, {ranked}, array_repeat('O', size(ps)))"
+
+
 def text_to_bio(text: str, entities: str) -> Column:
     """One BIO tag per whitespace token: the tag of the character reached by
     walking token lengths and skipping blanks only, so other white space shifts
@@ -127,26 +159,19 @@ def text_to_bio(text: str, entities: str) -> Column:
         "flatten(transform(rs, (r, i) -> if(startswith(r, ' '),"
         " array_repeat(es[i], length(r)), sequence(es[i] - length(r), es[i] - 1))))"
     )
-    hits = "filter(sp, s -> pos = s.start or (pos > s.start and pos < s.end))"
-    tag = sql_let(
-        "hs",
-        hits,
-        "if(pos < n and size(hs) > 0, concat(if(pos = element_at(hs, -1).start,"
-        " 'B-', 'I-'), element_at(hs, -1).label), 'O')",
-    )
     step = sql_let(
         "pos",
         "coalesce(get(sk, acc.pos), acc.pos)",
-        f"struct(pos + length(k) as pos, array_append(acc.tags, {tag}) as tags)",
+        "struct(pos + length(k) as pos, array_append(acc.at, pos) as at)",
     )
-    # Appending copies the array, so tags are collected per block of tokens.
-    tags = "cast(array() as array<string>)"
-    in_block = f"aggregate(slice(tk, c, {_BLOCK}), struct(all.pos as pos, {tags} as tags), (acc, k) -> {step})"
+    # Appending copies the array, so places are collected per block of tokens.
+    none = "cast(array() as array<int>)"
+    in_block = f"aggregate(slice(tk, c, {_BLOCK}), struct(whole.pos as pos, {none} as at), (acc, k) -> {step})"
     walk = (
-        f"aggregate(if(size(tk) > 0, sequence(1, size(tk), {_BLOCK}), cast(array() as array<int>)),"
-        " struct(0 as pos, cast(array() as array<array<string>>) as blocks),"
-        f" (all, c) -> {sql_let('b', in_block, 'struct(b.pos as pos, array_append(all.blocks, b.tags) as blocks)')},"
-        " all -> flatten(all.blocks))"
+        f"aggregate(if(size(tk) > 0, sequence(1, size(tk), {_BLOCK}), {none}),"
+        " struct(0 as pos, cast(array() as array<array<int>>) as blocks),"
+        f" (whole, c) -> {sql_let('b', in_block, 'struct(b.pos as pos, array_append(whole.blocks, b.at) as blocks)')},"
+        " whole -> flatten(whole.blocks))"
     )
     ends = running_sum_sql("transform(rs, r -> length(r))")
     walked = sql_let(
@@ -154,23 +179,18 @@ def text_to_bio(text: str, entities: str) -> Column:
         f"regexp_extract_all({text}, '( +|[^ ]+)', 1)",
         sql_let("es", ends, sql_let("sk", skips, sql_let("tk", bio_tokens_sql(text), walk))),
     )
-    starts = (
-        "filter(transform(ps, (p, i) -> struct(p as p, es[i] - length(p) - 1 as pos)), x -> x.p <> '')"
-    )
     direct = sql_let(
-        "ps",
+        "ws",
         f"split({text}, ' ', -1)",
         sql_let(
             "es",
-            running_sum_sql("transform(ps, p -> length(p) + 1)"),
-            f"transform({starts}, x -> {sql_let('pos', 'x.pos', tag)})",
+            running_sum_sql("transform(ws, w -> length(w) + 1)"),
+            "transform(filter(transform(ws, (w, i) -> struct(w as w, es[i] - length(w) - 1 as at)),"
+            " x -> x.w <> ''), x -> x.at)",
         ),
     )
-    tags = sql_let(
-        "sp",
-        ordered,
-        sql_let("n", f"length({text})", f"if({text} rlike {_NOT_BLANK}, {walked}, {direct})"),
-    )
+    places = f"if({text} rlike {_NOT_BLANK}, {walked}, {direct})"
+    tags = sql_let("sp", ordered, sql_let("n", f"length({text})", sql_let("ps", places, _tags_sql())))
     return F.expr(tags)
 
 

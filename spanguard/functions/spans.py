@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanguard.functions.text import sql_let
+from spanguard.functions.text import running_max_sql, running_sum_sql, sql_let
 from spanguard.schema import (
     CATEGORY_OF,
     CONCLUSIVE_CONFIDENCE,
@@ -17,6 +17,7 @@ from spanguard.schema import (
     TOKEN_OF,
 )
 
+_BLOCK = 64
 EMPTY_COUNTS = f"cast(map() as {COUNTS.simpleString()})"
 
 
@@ -55,14 +56,31 @@ def merge_overlaps(spans: str, extra_priorities: dict | None = None) -> Column:
         "k.neg_conf < acc.last.neg_conf or"
         " (k.neg_conf = acc.last.neg_conf and k.neg_prio < acc.last.neg_prio)"
     )
-    walked = (
-        "aggregate(slice(ks, 2, size(ks)),"
-        " struct(slice(ks, 1, 0) as done, ks[0] as last),"
+    # Appending copies the array, so kept spans are collected per block.
+    in_block = (
+        f"aggregate(slice(cl, c, {_BLOCK}), struct(slice(cl, 1, 0) as done, whole.last as last),"
         f" (acc, k) -> struct(if({apart}, array_append(acc.done, acc.last), acc.done) as done,"
-        f" if({apart} or {better}, k, acc.last) as last),"
-        " acc -> array_append(acc.done, acc.last))"
+        f" if({apart} or {better}, k, acc.last) as last))"
+    )
+    step = sql_let("b", in_block, "struct(array_append(whole.blocks, b.done) as blocks, b.last as last)")
+    walked = (
+        f"aggregate(sequence(2, size(cl), {_BLOCK}), struct(array(slice(cl, 1, 0)) as blocks, cl[0] as last),"
+        f" (whole, c) -> {step}, whole -> array_append(flatten(whole.blocks), whole.last))"
     )
-    kept = sql_let("ks", keyed, f"transform(if({clash}, {walked}, ks), k -> k.f)")
+    # Where a span starts behind the ends of all before it, the walk starts anew: only
+    # the clusters between such places are walked.
+    cuts = "filter(sequence(0, size(ks) - 1), i -> i = 0 or ks[i].start >= mx[i - 1])"
+    clusters = (
+        "flatten(transform(cs, (c, j) -> "
+        + sql_let(
+            "cl",
+            "slice(ks, c + 1, coalesce(get(cs, j + 1), size(ks)) - c)",
+            f"if(size(cl) > 1, {walked}, cl)",
+        )
+        + "))"
+    )
+    split = sql_let("mx", running_max_sql("transform(ks, k -> k.f.end)"), sql_let("cs", cuts, clusters))
+    kept = sql_let("ks", keyed, f"transform(if({clash}, {split}, ks), k -> k.f)")
     return F.expr(f"if(size({spans}) > 1, {kept}, {spans})")
 
 
@@ -100,9 +118,24 @@ def needs_semantic(spans: str) -> Column:
     )
 
 
+def redaction_pieces(text: str) -> Column:
+    """Redacted text in reading order, as (text, category): a redaction token has the category
+    its text implies, a plain piece between tokens null. Joined they are the text again;
+    an empty text has no pieces.
+    """
+    # Tokens are put between markers; no text but a marker's own holds both in this order.
+    mark = r"regexp_replace(translate({t}, '\u0001\u0002', '\u0002\u0002'), r'(\[REDACTED_\w*\])', concat('\u0001', '$1', '\u0001'))"
+    split = sql_let(
+        "ps",
+        f"split({mark.format(t=text)}, '\u0001', -1)",
+        sql_let("es", running_sum_sql("transform(ps, p -> length(p))"), "transform(ps, (p, i) -> struct("
+            f"substring({text}, es[i] - length(p) + 1, length(p)) as text,"
+            " case when i % 2 = 0 then null when p = '[REDACTED_SECRET]' then 'SECRET' else 'PII' end as category))"),
+    )
+    return F.expr(f"filter({split}, p -> p.text <> '')")
+
+
 def redaction_marks(text: str) -> Column:
     """Redaction tokens in reading order with the category their text implies."""
-    return F.expr(
-        rf"transform(regexp_extract_all({text}, r'(\[REDACTED_\w*\])', 1), t ->"
-        " struct(t as token, if(t = '[REDACTED_SECRET]', 'SECRET', 'PII') as category))"
-    )
+    marks = F.filter(redaction_pieces(text), lambda p: p["category"].isNotNull())
+    return F.transform(marks, lambda p: F.struct(p["text"].alias("token"), p["category"].alias("category")))

@@ -84,30 +84,56 @@ def finding(entity_type, start, end, matched, confidence, detector, category):
     )
 
 
-def running_sum_sql(values: str, block: int = 32) -> str:
-    """Inclusive running sums of an int array.
+def _running_sql(values: str, step: str, block: int) -> str:
+    """Running results of `step` (over {a} and {b}, with 0 as its neutral element).
 
-    Appending to an array copies it, so long arrays are summed in blocks: each
-    block on its own, then shifted by the total of the blocks before it.
+    Appending to an array copies it, so long arrays are taken in blocks: each block on
+    its own, then combined with the result of the blocks before it.
     """
 
-    def sums(xs: str) -> str:
+    def runs(xs: str) -> str:
         return (
             f"aggregate({xs}, cast(array() as array<int>), (acc, x) ->"
-            " array_append(acc, coalesce(try_element_at(acc, -1), 0) + x))"
+            f" array_append(acc, {step.format(a='coalesce(try_element_at(acc, -1), 0)', b='x')}))"
         )
 
     blocked = sql_let(
         "bs",
-        f"transform(sequence(1, size(vs), {block}), c -> {sums(f'slice(vs, c, {block})')})",
+        f"transform(sequence(1, size(vs), {block}), c -> {runs(f'slice(vs, c, {block})')})",
         sql_let(
             "ts",
-            sums("transform(bs, b -> element_at(b, -1))"),
+            runs("transform(bs, b -> element_at(b, -1))"),
             "flatten(transform(bs, (b, j) ->"
-            " transform(b, x -> x + coalesce(get(ts, j - 1), 0))))",
+            f" transform(b, x -> {step.format(a='x', b='coalesce(get(ts, j - 1), 0)')})))",
         ),
     )
-    return sql_let("vs", values, f"if(size(vs) > {block}, {blocked}, {sums('vs')})")
+    return sql_let("vs", values, f"if(size(vs) > {block}, {blocked}, {runs('vs')})")
+
+
+def running_sum_sql(values: str, block: int = 32) -> str:
+    """Inclusive running sums of an int array."""
+    return _running_sql(values, "{a} + {b}", block)
+
+
+def running_max_sql(values: str, block: int = 32) -> str:
+    """Inclusive running maxima of an array of non-negative ints."""
+    return _running_sql(values, "greatest({a}, {b})", block)
+
+
+def ranks_below_sql(places: str, limits: str) -> str:
+    """For each of the int array `limits` how many of the int array `places` are below it.
+
+    Both are sorted together once, so no limit is compared with all places.
+    """
+    marks = (
+        f"array_sort(concat(transform({limits}, (q, i) -> struct(q as v, 0 as place, i as i)),"
+        f" transform({places}, q -> struct(q as v, 1 as place, 0 as i))))"
+    )
+    found = (
+        "transform(array_sort(filter(transform(ms, (m, j) -> struct(m.place as place, m.i as i, ns[j] as n)),"
+        " m -> m.place = 0)), m -> m.n)"
+    )
+    return sql_let("ms", marks, sql_let("ns", running_sum_sql("transform(ms, m -> m.place)"), found))
 
 
 def _marked(text: str, entity_type: str) -> str:

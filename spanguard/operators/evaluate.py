@@ -9,10 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanguard.functions.bio import entity_chunks_sql
-from spanguard.functions.text import sql_let
+from spanguard.functions.text import ranks_below_sql, sql_let
 from spanguard.schema import BIO_LABELS, IGNORE_LABEL
 
 CATEGORIES = ["PII", "SECRET"]
+_BLOCK = 64
 _OUTCOME = "struct<gold:string,pred:string,pred_type:string>"
 
 
@@ -28,31 +29,56 @@ def match_outcomes(gold: str, pred: str, iou: float = 0.5) -> Column:
     union = "(greatest(g.end, p.end) - least(g.start, p.start))"
     overlap = f"if({union} = 0, false, {inter} / {union} >= {iou})"
 
-    # For each gold span the predictions that overlap enough: few, so that only
-    # these are looked up among the used ones.
-    all_preds = f"if(size({pred}) > 0, sequence(0, size({pred}) - 1), cast(array() as array<int>))"
-    near = f"transform({gold}, g -> filter({all_preds}, pi -> {sql_let('p', f'{pred}[pi]', overlap)}))"
-
-    def take(condition: str) -> str:
-        """Index of the first free prediction for gold span `gi`."""
-        free = f"{condition}not array_contains(acc.used, pi)"
-        return f"coalesce(get(filter(near[gi], pi -> {free}), 0), -1)"
-
-    def walk(start: str, condition: str, todo: str) -> str:
+    # A prediction that overlaps enough starts before the gold span's end and is at most
+    # 1/iou times as long: a range of the predictions sorted by start.
+    places = "transform(sorted, p -> p.start)"
+    first_start = f"transform({gold}, g -> cast(floor(g.start - greatest(0, g.end - g.start) / {iou}) - 1 as int))"
+    if iou > 0:
+        window = "slice(sorted, lo[gi] + 1, greatest(0, hi[gi] - lo[gi]))"
+    else:
+        window, first_start = "sorted", f"transform({gold}, g -> 0)"
+    near = f"transform({gold}, (g, gi) -> array_sort(transform(filter({window}, p -> {overlap}), p -> p.pi)))"
+    near = sql_let(
+        "sorted",
+        f"array_sort(transform({pred}, (p, pi) -> struct(p.start as start, pi as pi, p.end as end)))",
+        sql_let(
+            "lo",
+            ranks_below_sql(places, first_start),
+            sql_let("hi", ranks_below_sql(places, f"transform({gold}, g -> g.end)"), near),
+        ),
+    )
+
+    # Predictions taken are bits of an array of longs.
+    free_bits = f"array_repeat(0L, cast(ceil(size({pred}) / 64) as int))"
+    is_free = "(shiftright({u}[pi div 64], cast(pi % 64 as int)) & 1) = 0"
+    marked = (
+        "transform(acc.used, (w, j) -> if(j = hit div 64, w | shiftleft(1L, cast(hit % 64 as int)), w))"
+    )
+    hits = "cast(array() as array<int>)"
+    indices = f"if(size({gold}) > 0, sequence(0, size({gold}) - 1), {hits})"
+
+    def walk(used: str, condition: str, todo: str) -> str:
+        """For each gold span the first free prediction of its near ones, or -1, in blocks."""
+        free = f"{condition}{is_free.format(u='acc.used')}"
         step = sql_let(
             "hit",
-            f"if({todo}, {take(condition)}, -1)",
-            "struct(if(hit >= 0, array_append(acc.used, hit), acc.used) as used,"
-            " array_append(acc.hits, hit) as hits)",
+            f"if({todo}, coalesce(get(filter(near[gi], pi -> {free}), 0), -1), -1)",
+            f"struct(if(hit >= 0, {marked}, acc.used) as used, array_append(acc.hits, hit) as hits)",
+        )
+        in_block = (
+            f"aggregate(slice(gis, c, {_BLOCK}), struct(whole.used as used, {hits} as hits),"
+            f" (acc, gi) -> {step})"
         )
-        indices = (
-            f"if(size({gold}) > 0, sequence(0, size({gold}) - 1), cast(array() as array<int>))"
+        block = sql_let("b", in_block, "struct(b.used as used, array_append(whole.blocks, b.hits) as blocks)")
+        folded = (
+            f"aggregate(if(size(gis) > 0, sequence(1, size(gis), {_BLOCK}), {hits}),"
+            f" struct({used} as used, cast(array() as array<array<int>>) as blocks), (whole, c) -> {block},"
+            " whole -> struct(whole.used as used, flatten(whole.blocks) as hits))"
         )
-        return f"aggregate({indices}, {start}, (acc, gi) -> {step})"
+        return sql_let("gis", indices, folded)
 
-    none = "cast(array() as array<int>)"
-    first = walk(f"struct({none} as used, {none} as hits)", f"{pred}[pi].category = {gold}[gi].label and ", "true")
-    second = walk(f"struct(m1.used as used, {none} as hits)", "", "m1.hits[gi] < 0")
+    first = walk(free_bits, f"{pred}[pi].category = {gold}[gi].label and ", "true")
+    second = walk("m1.used", "", "m1.hits[gi] < 0")
     outcome = (
         f"transform({gold}, (g, gi) -> case"
         f" when m1.hits[gi] >= 0 then named_struct('gold', g.label, 'pred', g.label,"
@@ -63,7 +89,7 @@ def match_outcomes(gold: str, pred: str, iou: float = 0.5) -> Column:
         " end)"
     )
     spurious = (
-        f"transform(filter({pred}, (p, pi) -> not array_contains(m2.used, pi)),"
+        f"transform(filter({pred}, (p, pi) -> {is_free.format(u='m2.used')}),"
         " p -> named_struct('gold', 'NONE', 'pred', p.category, 'pred_type', cast(null as string)))"
     )
     matched = sql_let("near", near, sql_let("m1", first, sql_let("m2", second, f"concat({outcome}, {spurious})")))

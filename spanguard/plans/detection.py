@@ -7,7 +7,13 @@ import re
 from pyspark.sql import functions as F
 
 from spanguard.functions import bio
-from spanguard.functions.spans import merge_overlaps, needs_semantic, redact, redaction_marks
+from spanguard.functions.spans import (
+    merge_overlaps,
+    needs_semantic,
+    redact,
+    redaction_marks,
+    redaction_pieces,
+)
 from spanguard.functions.text import luhn_valid
 from spanguard.operators import models, rules, scan as S
 from spanguard.plans import derived as D
@@ -149,9 +155,9 @@ def contextual_label_map(spark, sf):
     return (
         D.table(spark, sf, "events")
         .select(picked.alias("label"))
-        .groupBy("label")
-        .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("entity_type", models.contextual_type(F.col("label")))
+        .groupBy("label", "entity_type")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
@@ -281,10 +287,10 @@ def semantic_label_map(spark, sf):
     return (
         D.table(spark, sf, "events")
         .select(F.get(labels, (F.col("event_id") % 3).cast("int")).alias("label"))
-        .groupBy("label")
-        .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("entity_type", bio.semantic_type("label"))
         .withColumn("category", category_of(F.col("entity_type")))
+        .groupBy("label", "entity_type", "category")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
@@ -600,6 +606,25 @@ def marks(spark, sf):
     )
 
 
+@query(
+    "redaction_pieces",
+    O.with_(
+        *O.SCAN,
+        O.redacted("docs", "acts"),
+        "cut as (select k, string_split(regexp_replace(text, '(\\[REDACTED_\\w*\\])', chr(1) || '\\1' || chr(1), 'g'), chr(1)) as ps"
+        " from red)",
+        "piece as (select k, unnest(ps) as text, generate_subscripts(ps, 1) as i from cut)",
+    )
+    + "select cast(k as bigint) as doc_id, row_number() over (partition by k order by i) - 1 as idx, text,"
+    " case when i % 2 = 1 then null when text = '[REDACTED_SECRET]' then 'SECRET' else 'PII' end as category"
+    " from piece where text <> ''",
+)
+def pieces(spark, sf):
+    """Redacted documents as plain pieces and tokens in reading order."""
+    cut = D.scanned(spark, sf).select("doc_id", F.posexplode(redaction_pieces("redacted_text")).alias("idx", "p"))
+    return cut.select("doc_id", *big("idx"), "p.text", "p.category")
+
+
 @query(
     "reported_confidence",
     O.with_(*_ALL_RAW, O.merged("both_raw"))

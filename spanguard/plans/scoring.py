@@ -164,18 +164,8 @@ def read_labeled(spark, sf):
 
 
 def labeled_documents(spark, sf):
-    """Documents on one line each, with their findings as entities."""
-    docs = D.planted(spark, sf).withColumn("text", F.regexp_replace("text", r"\s+", " "))
-    return with_entities(docs.withColumn("text", F.trim("text")))
-
-
-def whole_documents(spark, sf):
     """Documents as they are given, with their findings as entities."""
-    return with_entities(D.planted(spark, sf))
-
-
-def with_entities(docs):
-    found = D.scan(docs)
+    found = D.scan(D.planted(spark, sf))
     entities = F.transform(
         "findings",
         lambda f: F.struct(
@@ -185,43 +175,42 @@ def with_entities(docs):
     return found.select("doc_id", "text", entities.alias("entities"))
 
 
-_FLATDOCS = (
-    "docs as (select k, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text from"
-    f" (select doc_id as k, concat(text, {D.plant('doc_id')}) as text from documents))"
-)
+def materialized(*names: str) -> list[str]:
+    """Tables that are read more than once, or again in each step of a recursion."""
+    return [f"{n}_m as materialized (select * from {n})" for n in names]
+
+
+# A tag is that of the character reached by adding up token lengths and skipping blanks, so each
+# place follows from the one before; texts without findings need no places.
+_SKIP = "{p} + coalesce(blanks[{p} + 1], 0)"
 _BIO = [
-    _FLATDOCS,
+    O.DOCS,
     O.ENTITY_DIM,
     O.raw("docs"),
     O.merged("raw"),
-    "w as (select k, unnest(string_split(text, ' ')) as token, generate_subscripts(string_split(text, ' '), 1) as i from docs),"
-    " pos as (select *, sum(length(token) + 1) over (partition by k order by i rows unbounded preceding)"
-    " - length(token) - 1 as p from w where token <> ''),"
-    " hit as (select pos.k, pos.i, any_value(case when pos.p = m.s then 'B-' else 'I-' end || d.category) as tag"
-    " from pos join merged m on m.k = pos.k and m.s <= pos.p and pos.p < m.e"
-    " join entity d on d.entity_type = m.entity_type group by pos.k, pos.i),"
-    " bio as (select pos.k, pos.i, pos.token, coalesce(hit.tag, 'O') as tag from pos"
-    " left join hit on hit.k = pos.k and hit.i = pos.i)",
+    "spans as materialized (select * from merged)",
+    "toks as materialized (select k, text, list_filter(string_split_regex(text, '[\\x09-\\x0d\\x1c-\\x1f\\x{85}\\p{Z}]+'),"
+    " lambda t: t <> '') as t from docs)",
+    "found as materialized (select * from toks where k in (select k from spans) and len(t) > 0)",
+    "skips as materialized (select k, t, flatten(list_transform(regexp_extract_all(text, ' +|[^ ]+'), lambda r:"
+    " case when r[1] = ' ' then range(length(r), 0, -1) else list_resize([0::bigint], length(r), 0) end)) as blanks from found)",
+    f"walk as (select k, t, list_reduce(list_prepend([{_SKIP.format(p='0')}], list_transform(t[:-2], lambda x: [length(x)])),"
+    f" lambda ps, x: list_append(ps, {_SKIP.format(p='(ps[-1] + x[1])')})) as ps from skips)",
+    "place as (select k, unnest(range(1, len(t) + 1)) as i, unnest(ps) as p from walk)",
+    "hit as materialized (select w.k, w.i, any_value(case when w.p = m.s then 'B-' else 'I-' end || d.category) as tag"
+    " from place w join spans m on m.k = w.k and m.s <= w.p and w.p < m.e"
+    " join entity d on d.entity_type = m.entity_type group by w.k, w.i)",
+    "bio as materialized (select tag from hit union all select 'O' from (select unnest(range(n)) from"
+    " (select (select sum(len(t)) from toks)::bigint - (select count(*) from hit) as n)))",
 ]
 
 
 @query(
     "text_to_bio",
-    O.with_(*_BIO[:-1], _BIO[-1].replace("from docs)", "from docs where k in (select k from merged))"))
-    + "select cast(k as bigint) as doc_id, i - 1 as idx, token, tag from bio where tag <> 'O'",
+    O.with_(*_BIO) + "select cast(k as bigint) as doc_id, cast(i - 1 as bigint) as idx, t[i] as token, tag from hit join found using (k)",
 )
 def text_to_bio(spark, sf):
-    return tagged_tokens(labeled_documents(spark, sf))
-
-
-@query("text_to_bio_whole")
-def text_to_bio_whole(spark, sf):
-    """On the texts as they are given. SQL can't follow tags that shift behind other white space."""
-    return tagged_tokens(whole_documents(spark, sf))
-
-
-def tagged_tokens(docs):
-    rows = G.bio_rows(docs, "doc_id")
+    rows = G.bio_rows(labeled_documents(spark, sf), "doc_id")
     tagged = rows.select("doc_id", F.posexplode(F.arrays_zip("tokens", "tags")).alias("idx", "t"))
     return tagged.select("doc_id", *big("idx"), "t.tokens", "t.tags").toDF(
         "doc_id", "idx", "token", "tag"
@@ -235,16 +224,7 @@ def tagged_tokens(docs):
     " count(*) as n from bio group by all",
 )
 def encode_labels(spark, sf):
-    return label_counts(labeled_documents(spark, sf))
-
-
-@query("encode_labels_whole")
-def encode_labels_whole(spark, sf):
-    return label_counts(whole_documents(spark, sf))
-
-
-def label_counts(docs):
-    rows = G.bio_rows(docs, "doc_id")
+    rows = G.bio_rows(labeled_documents(spark, sf), "doc_id")
     return (
         rows.select(F.explode("labels").alias("label"))
         .groupBy(F.col("label").cast("bigint").alias("label"))
@@ -262,11 +242,6 @@ def label_distribution(spark, sf):
     return E.label_distribution(G.bio_rows(labeled_documents(spark, sf), "doc_id"))
 
 
-@query("label_distribution_whole")
-def label_distribution_whole(spark, sf):
-    return E.label_distribution(G.bio_rows(whole_documents(spark, sf), "doc_id"))
-
-
 def label_pairs(spark, sf):
     """Two label sequences per embedding: the second is the best label of each
     token, the first differs in a fifth of the places and ignores some.

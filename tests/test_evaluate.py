@@ -54,6 +54,22 @@ def test_match_random_cases(spark):
         assert [tuple(o) for o in r.o] == two_passes(*cases[r.i][1:]), cases[r.i]
 
 
+def test_match_many_spans(spark):
+    rng = random.Random(10)
+    cases = []
+    for i, spread in enumerate((100, 400, 3000)):
+        span = lambda: (s := rng.randint(0, spread), s + rng.randint(0, 30))  # noqa: B023, E731
+        gold = [(*span(), rng.choice(E.CATEGORIES)) for _ in range(200)]
+        cases.append((i, gold, [(*span(), rng.choice(E.CATEGORIES), rng.choice("xyz")) for _ in range(150)]))
+    df = spark.createDataFrame(
+        cases,
+        "i int, gold array<struct<start:int,end:int,label:string>>,"
+        " pred array<struct<start:int,end:int,category:string,entity_type:string>>",
+    )
+    for r in df.select("i", E.match_outcomes("gold", "pred").alias("o")).collect():
+        assert [tuple(o) for o in r.o] == two_passes(*cases[r.i][1:])
+
+
 def test_scores(spark):
     rows = [("PII", "PII", "EMAIL")] * 3 + [("PII", "NONE", None), ("SECRET", "PII", None)]
     rows += [("NONE", "NONE", None)]

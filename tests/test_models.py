@@ -175,9 +175,9 @@ def test_registered_bio_queries_on_given_texts(spark, sf):
 
     from spanguard.plans import catalog, scoring
 
-    got = {name: catalog.QUERIES[f"{name}_whole"](spark, sf).collect() for name in ("text_to_bio", "encode_labels", "label_distribution")}
+    got = {name: catalog.QUERIES[name](spark, sf).collect() for name in ("text_to_bio", "encode_labels", "label_distribution")}
     rows, counts, broken = [], Counter(), 0
-    for r in scoring.whole_documents(spark, sf).collect():
+    for r in scoring.labeled_documents(spark, sf).collect():
         tokens, tags = walk(r.text, [(e.start, e.end, e.label) for e in r.entities])
         rows += [(r.doc_id, i, *x) for i, x in enumerate(zip(tokens, tags)) if x[1] != "O"]
         counts.update(tags)

@@ -1,6 +1,7 @@
 """Merging and redaction."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import types as T
@@ -109,3 +110,29 @@ def test_marks(spark):
         ("[REDACTED_SECRET]", "SECRET"),
         ("[REDACTED_CC]", "PII"),
     ]
+
+
+def test_redaction_pieces_join_to_the_text(spark):
+    rng = random.Random(8)
+    parts = ["[REDACTED_EMAIL]", "[REDACTED_SECRET]", "[REDACTED_]", "[REDACTED_X", "plain", " ", "\x01", "\x02", "é😀", "$1", "\n"]
+    texts = ["", "x", None] + ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = {r.i: r.p for r in df.select("i", S.redaction_pieces("t").alias("p")).collect()}
+    for i, text in enumerate(texts):
+        if text is None:
+            assert rows[i] is None
+            continue
+        want = [(p, "SECRET" if p == "[REDACTED_SECRET]" else "PII" if k % 2 else None)
+                for k, p in enumerate(re.split(r"(\[REDACTED_\w*\])", text, flags=re.ASCII)) if p]
+        assert [(p.text, p.category) for p in rows[i]] == want
+
+
+def test_merge_of_many_findings(spark, finding):
+    rng = random.Random(6)
+    cases = []
+    for spread in (3, 12, 100):
+        starts = [rng.randint(0, spread * 700) for _ in range(700)]
+        found = [finding("EMAIL", s, s + rng.randint(1, 40), rng.choice([0.8, 0.9]), rng.choice(["regex", "semantic"])) for s in starts]
+        cases.append(found)
+    got = merged(spark, cases)
+    assert [got[i] for i in range(len(cases))] == [greedy(c) for c in cases]
