@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from spanguard.operators.requests import _joined, ordered_blocks
 from spanguard.operators.rules import Policy
@@ -56,19 +55,86 @@ _ASSEMBLED = (
     "request_id string, content string, finish_reason string, chunks array<string>,"
     " status string"
 )
-_NAMES = ["request_id", "content", "finish_reason", "chunks", "status"]
-# Line numbers so far, the lines of each batch as JSON, the number of the [DONE]
-# line, and whether the response has been emitted.
-_STATE = "seqs array<bigint>, blocks array<string>, done bigint, closed boolean"
+_LINE_FIELDS = ("kind", "payload", "content", "finish_reason")
+_LINE = "seq bigint, " + ", ".join(f"{c} string" for c in _LINE_FIELDS)
+# Line numbers so far as ranges (first, behind the last, first, …), the number of the [DONE]
+# line, whether the response has been emitted, and the timer that is set.
+_MARK = "ranges array<bigint>, done bigint, closed boolean, timer bigint"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _response(request_id: str, blocks: list[str], done: int | None, status: str) -> pd.DataFrame:
-    rows = sorted(r for b in blocks for r in json.loads(b))
-    chunks = [r for r in rows if r[1] == "chunk" and (done is None or r[0] < done)]
-    reasons = [r[4] for r in chunks if r[4]]
-    content = "".join(r[3] or "" for r in chunks)
-    row = request_id, content, reasons[-1] if reasons else None, [r[2] for r in chunks], status
-    return pd.DataFrame([row], columns=_NAMES)
+def add_to_ranges(ranges: list[int], numbers: list[int]) -> tuple[list[int], set[int]]:
+    """Ranges of line numbers with `numbers` added, and which of these are new."""
+    new = {n for n in numbers if bisect_right(ranges, n) % 2 == 0}
+    edges = sorted([*zip(ranges[::2], ranges[1::2]), *((n, n + 1) for n in new)])
+    out: list[int] = []
+    for low, high in edges:
+        if out and out[-1] == low:
+            out[-1] = high
+        else:
+            out += [low, high]
+    return out, new
+
+
+class Assembler(StatefulProcessor):
+    """Keeps the lines of open responses, one state value per batch's new line.
+
+    A batch appends its lines to a list and rewrites only the small mark; the lines of
+    earlier batches are read when the response ends, and at no other time.
+    """
+
+    def __init__(self, timeout_ms: int):
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.mark = handle.getValueState("mark", _MARK)
+        self.lines = handle.getListState("lines", _LINE)
+
+    def response(self, key: tuple, done: int | None, status: str) -> Row:
+        rows = sorted(((r[0], *r[1:]) for r in self.lines.get()), key=lambda r: r[0])
+        chunks = [r for r in rows if r[1] == "chunk" and (done is None or r[0] < done)]
+        reasons = [r[4] for r in chunks if r[4]]
+        return Row(
+            request_id=key[0],
+            content="".join(r[3] or "" for r in chunks),
+            finish_reason=reasons[-1] if reasons else None,
+            chunks=[r[2] for r in chunks],
+            status=status,
+        )
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803 - Spark's names
+        ranges, done, closed, timer = self.mark.get() if self.mark.exists() else ([], None, False, None)
+        latest, lines = timerValues.getCurrentWatermarkInMs(), {}
+        for r in rows:
+            latest = max(latest, r["_ms"])
+            lines.setdefault(r["seq"], (r["seq"], r["kind"], r["payload"], r["content"], r["finish_reason"]))
+        if not closed:
+            ranges, new = add_to_ranges(list(ranges), list(lines))
+            if new:
+                self.lines.appendList([lines[n] for n in sorted(new)])
+            ends = [n for n in new if lines[n][1] == "done"]
+            done = min([*ends, *([done] if done is not None else [])], default=None)
+            if done is not None and (done == 0 or ranges[:1] == [0] and ranges[1] >= done):
+                yield self.response(key, done, "done")
+                self.lines.clear()
+                ranges, closed = [], True
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = latest + self.timeout_ms
+        self.handle.registerTimer(timer)
+        self.mark.update((ranges, done, closed, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803 - Spark's names
+        if self.mark.exists():
+            _, done, closed, _ = self.mark.get()
+            if not closed:
+                yield self.response(key, done, "abandoned")
+        self.lines.clear()
+        self.mark.clear()
+
+    def close(self) -> None:
+        pass
 
 
 def assemble_stream(
@@ -77,47 +143,20 @@ def assemble_stream(
     """Whole responses from (request_id, seq, ts, ...) rows of `read_sse_lines`.
 
     A response is emitted once its [DONE] line and all lines before it have
-    arrived, in whatever order and over however many batches. Lines after it are
-    ignored, in later batches too: an emitted response leaves a mark behind until
-    `timeout_ms` of event time have passed. One that stays incomplete so long is
-    emitted with status `abandoned` and what there is of it.
+    arrived, in whatever order and over however many batches. Of lines with one number
+    the first one counts. Lines after [DONE] are ignored, in later batches too: an emitted
+    response leaves a mark behind until `timeout_ms` of event time have passed. One that
+    stays incomplete so long is emitted with status `abandoned` and what there is of it.
 
-    A batch adds its lines to the state as one block; earlier ones are not touched.
+    State is kept by Spark's RocksDB provider, which this sets for the session: lines live on
+    disk, and a checkpoint holds the changes of a batch only.
     """
-    columns = "kind", "payload", "content", "finish_reason"
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        seqs, blocks, done, closed = state.get if state.exists else ([], [], None, False)
-        if state.hasTimedOut:
-            state.remove()
-            if not closed:
-                yield _response(key[0], blocks, done, "abandoned")
-            return
-        seqs, latest, new = list(seqs), state.getCurrentWatermarkMs(), {}
-        known = set(seqs)
-        for pdf in batches:
-            latest = max(latest, *pdf["_ms"].tolist())
-            if not closed:
-                rows = zip(pdf["seq"].tolist(), *[pdf[c].tolist() for c in columns])
-                new |= {r[0]: r for r in rows if r[0] not in known}
-        seqs += new
-        ends = [r[0] for r in new.values() if r[1] == "done"]
-        done = min([*ends, *([done] if done is not None else [])], default=None)
-        if new:
-            blocks = [*blocks, json.dumps(list(new.values()))]
-        if not closed and done is not None and sum(s < done for s in seqs) == done:
-            yield _response(key[0], blocks, done, "done")
-            seqs, blocks, closed = [], [], True
-        state.update((seqs, list(blocks), done, closed))
-        state.setTimeoutTimestamp(latest + timeout_ms)
-
+    parsed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return (
         parsed.withWatermark(ts, watermark)
-        .select("request_id", "seq", ts, F.unix_millis(ts).alias("_ms"), *columns)
+        .select("request_id", "seq", ts, F.unix_millis(ts).alias("_ms"), *_LINE_FIELDS)
         .groupBy("request_id")
-        .applyInPandasWithState(
-            step, _ASSEMBLED, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .transformWithState(Assembler(timeout_ms), _ASSEMBLED, "append", "EventTime")
     )
 
 

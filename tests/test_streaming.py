@@ -158,3 +158,78 @@ def test_failures(spark):
     df = S.failed_streams(spark.createDataFrame(rows, "id string, status string"))
     got = {(r.id, r.error_type) for r in df.collect()}
     assert got == {("a", "timeout"), ("c", "connection_error")}
+
+
+class FakeHandle:
+    """State of one response, counting what is written."""
+
+    def __init__(self):
+        self.marks, self.rows, self.appended, self.timers = [], [], [], set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        marks = self.marks
+
+        class Value:
+            exists = staticmethod(lambda: bool(marks))
+            get = staticmethod(lambda: marks[0])
+            update = staticmethod(lambda v: marks.__setitem__(slice(None), [v]))
+            clear = staticmethod(marks.clear)
+
+        return Value
+
+    def getListState(self, name, schema):  # noqa: N802
+        handle = self
+
+        class Lines:
+            get = staticmethod(lambda: iter(handle.rows))
+            clear = staticmethod(handle.rows.clear)
+
+            @staticmethod
+            def appendList(values):  # noqa: N802
+                handle.appended.append(len(values))
+                handle.rows.extend(values)
+
+        return Lines
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+
+def test_a_batch_writes_only_its_own_lines():
+    import random
+
+    class Times:
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)  # noqa: N815
+
+    r = random.Random(2)
+    for _ in range(200):
+        n = r.randint(0, 30)
+        rows = [(i, "done" if i == n else "chunk", f"p{i}", f"c{i} ", "stop" if i == n - 1 else None) for i in range(n + 4)]
+        sent = [x for x in rows for _ in range(r.randint(0 if r.random() < 0.02 else 1, 2))]
+        r.shuffle(sent)
+        handle, out, fresh, seen = FakeHandle(), [], [], set()
+        assembler = S.Assembler(1000)
+        assembler.init(handle)
+        while sent:
+            size = r.randint(1, 8)
+            batch, sent = sent[:size], sent[size:]
+            names = ("seq", "kind", "payload", "content", "finish_reason", "_ms")
+            closed = bool(out)
+            out += assembler.handleInputRows(("a",), iter([dict(zip(names, (*x, 5))) for x in batch]), Times)
+            new = {x[0] for x in batch} - seen
+            if not closed and new:
+                fresh.append(len(new))
+                seen |= new
+            assert len(handle.timers) == 1
+        assert handle.appended == fresh
+        if set(range(n + 1)) <= seen:
+            assert len(out) == 1 and out[0].status == "done"
+            assert out[0].content == "".join(f"c{i} " for i in range(n)) and len(out[0].chunks) == n
+            assert handle.rows == []
+        else:
+            assert out == []
+            left = list(assembler.handleExpiredTimer(("a",), Times, None))
+            assert [x.status for x in left] == ["abandoned"] and handle.rows == [] and handle.marks == []
