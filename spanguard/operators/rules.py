@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanguard.functions.spans import category_of
 from spanguard.operators.paging import keyset_page
@@ -19,8 +20,14 @@ from spanguard.schema import (
     RULE_MAP,
     SEVERITY,
 )
+from spanguard.sources.versions import newest_version, read_version, write_version
 
 EPOCH = datetime(2024, 1, 1)
+RULE = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("id", "name", "description", "entity_type", "category", "action")]
+    + [T.StructField("min_confidence", T.DoubleType()), T.StructField("enabled", T.BooleanType())]
+    + [T.StructField(n, T.TimestampType()) for n in ("created_at", "updated_at")]
+)
 POLICY_BYTES = 1 << 20  # read on the driver
 
 
@@ -211,6 +218,25 @@ def upsert_rules(rules: DataFrame, changes: DataFrame, as_of: Column) -> DataFra
     )
 
 
+def write_rule_version(rules: DataFrame, path: str, base: int = 0) -> int:
+    """Write a rule table as the version after `base`; VersionConflict if there is one already."""
+    return write_version(rules.select(RULE.fieldNames()), path, base)
+
+
+def read_rule_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The rule table as of a version, by default the newest; empty if there is none."""
+    return read_version(spark, path, RULE, version)
+
+
+def commit_rules(spark: SparkSession, path: str, changes: DataFrame, as_of: Column, base: int | None = None) -> int:
+    """Apply changes (see `upsert_rules`) to the newest version, or to `base`, and write the next one.
+
+    If another writer was faster, VersionConflict is raised and nothing has changed.
+    """
+    base = newest_version(spark, path) if base is None else base
+    return write_rule_version(upsert_rules(read_rule_version(spark, path, base), changes, as_of), path, base)
+
+
 def list_rules(rules: DataFrame, enabled: bool | None = None, limit: int = 50, cursor=None):
     if enabled is not None:
         rules = rules.filter(F.col("enabled") == F.lit(enabled))

@@ -18,6 +18,7 @@ from spanguard.plans.registry import counts_text, query, stamp_col
 from spanguard.schema import AUDIT
 from spanguard.session import shared_dir
 from spanguard.sources import tables
+from spanguard.sources.versions import VersionConflict, newest_version
 from spanguard.streaming import jobs as J
 from spanguard.streaming import responses as S
 
@@ -269,30 +270,47 @@ def failed_streams(spark, sf):
 # --- streams of audit rows and texts -----------------------------------------------
 
 
-def audit_source(spark, sf, *columns):
-    """The derived audit table as a stream of three batches. Every row comes
-    twice, in the same batch or two batches later, and days come in any order.
+def in_batches(spark, rows, run):
+    """Call `run` with a stream of the rows that ends after each of their `part`s 0, 1, 2.
+
+    The runs share their checkpoint, so each part is one batch.
     """
-    path = shared_dir(spark, "audit-source")
-    rows = D.audit(spark, sf).select(*(columns or AUDIT.fieldNames()))
-    n = F.col("request_id").cast("bigint") % 3
-    part = F.explode(F.array(n, F.when(n == 1, n).otherwise(2 - n))).alias("part")
-    rows.select("*", part).repartition(3, "part").write.partitionBy("part").parquet(path)
-    schema = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType())])
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).drop("part")
+    parts, source = shared_dir(spark, "parts"), shared_dir(spark, "batches")
+    rows.write.partitionBy("part").parquet(parts)
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "part"])
+    for part in range(3):
+        spark.read.schema(schema).parquet(f"{parts}/part={part}").write.mode("append").parquet(source)
+        run(spark.readStream.schema(schema).parquet(source))
 
 
 @query(
     "audit_stream",
-    O.with_(*O.AUDIT)
+    O.with_(
+        *O.AUDIT,
+        "moved as (select * replace (case when cast(request_id as bigint) % 3 = 2 then created_at + interval 40 day"
+        " else created_at end as created_at) from audit)",
+    )
     + "select cast(created_at as date)::varchar as day, input_decision, count(*) as n,"
-    " count(distinct request_id) as n_requests from audit group by all",
+    " count(distinct request_id) as n_requests from moved group by all",
 )
 def audit_stream(spark, sf):
-    """Rows appended once each although the source repeats them."""
+    """Rows appended once each although every one comes twice, on two days: in the same batch,
+    where the earlier one counts, or two batches apart, where the first one to come does.
+    """
     columns = ("request_id", "created_at", "input_decision", "input_redactions", "total_latency_ms")
-    stream = audit_source(spark, sf, *columns)
-    rows = J.read_appended(spark, J.append_audit(stream), stream.schema)
+    n = F.col("request_id").cast("int") % 3
+    twice = F.explode(
+        F.array(
+            F.struct(n.alias("part"), F.lit(0).alias("days")),
+            F.struct(F.when(n == 1, n).otherwise(2 - n).alias("part"), F.lit(40).alias("days")),
+        )
+    ).alias("copy")
+    rows = D.audit(spark, sf).select(*columns, twice)
+    rows = rows.withColumn("created_at", F.expr("created_at + make_interval(0, 0, 0, copy.days)"))
+    path, checkpoint = shared_dir(spark, "audit-sink"), shared_dir(spark, "audit-checkpoint")
+    rows = rows.select(*columns, "copy.part")
+    in_batches(spark, rows, lambda stream: J.append_audit(stream, path, checkpoint))
+    rows = J.read_appended(spark, path, rows.drop("part").schema)
     return rows.groupBy(F.col("dt").cast("string").alias("day"), "input_decision").agg(
         F.count("*").alias("n"), F.countDistinct("request_id").alias("n_requests")
     )
@@ -316,6 +334,32 @@ def live_metrics(spark, sf):
     return found.select(stamp_col("window_start").alias("window_start"), "decision", "n")
 
 
+@query(
+    "late_metrics",
+    O.with_(
+        *O.AUDIT,
+        "w as (select time_bucket(interval 1 hour, created_at) as w, effective as decision, created_at,"
+        " cast(request_id as bigint) % 3 as part from audit)",
+        "reached as (select a.part, max(b.m) as m from (select distinct part from w) a"
+        " join (select part, max(created_at) as m from w group by part) b on b.part < a.part group by a.part)",
+        "l as (select w.*, coalesce(w.w + interval 1 hour <= r.m - interval 7 day, false) as late"
+        " from w left join reached r on r.part = w.part)",
+    )
+    + f"select strftime(w, {O.STAMP}) as window_start, decision, late, count(*) as n from l group by all",
+)
+def late_metrics(spark, sf):
+    """Three batches over all times: rows a week behind the batches before go to the table of late ones."""
+    rows = D.audit(spark, sf).select(
+        "created_at", "input_decision", "output_decision", (F.col("request_id").cast("int") % 3).alias("part")
+    )
+    counts, rejects, checkpoint = (shared_dir(spark, n) for n in ("counts", "rejects", "counts-checkpoint"))
+    in_batches(spark, rows, lambda stream: J.count_by_window(stream, counts, rejects, "1h", "7d", checkpoint))
+    both = [J.window_counts(spark, p).withColumn("late", F.lit(late)) for p, late in ((counts, False), (rejects, True))]
+    return both[0].unionByName(both[1]).select(
+        stamp_col("window_start").alias("window_start"), "decision", "late", "n"
+    )
+
+
 _LIVE_HALVES = [
     O.DOCS,
     O.ENTITY_DIM,
@@ -331,6 +375,44 @@ _LIVE_HALVES = [
 ]
 
 
+def block_emails(spark):
+    """A change of the rule on e-mail addresses."""
+    seed = rules.default_rules(spark).filter("entity_type = 'EMAIL'").select("id")
+    none = {c: F.lit(None) for c in ("name", "description", "entity_type", "min_confidence", "enabled")}
+    return seed.withColumns({"op": F.lit("patch"), "action": F.lit("block"), **none}).select(
+        "id", "op", *(F.col(c).cast(rules.RULE[c].dataType) for c in (*none, "action"))
+    )
+
+
+@query(
+    "rule_versions",
+    O.with_(*_LIVE_HALVES)
+    + "select version, decision, count(*) as n, cast(1 as bigint) as refused, cast(2 as bigint) as newest from"
+    " (select cast(1 as bigint) as version, decision from d1 union all select 2, decision from d2) group by all",
+)
+def rule_versions(spark, sf):
+    """Scans under both versions of a rule table. A second writer that started from the first
+    version is refused, and what it wanted to write is in neither.
+    """
+    store, as_of = shared_dir(spark, "rules"), F.lit("2024-02-01").cast("timestamp")
+    first = rules.write_rule_version(rules.default_rules(spark), store)
+    rules.commit_rules(spark, store, block_emails(spark), as_of, first)
+    refused = 0
+    try:
+        rules.commit_rules(spark, store, block_emails(spark).withColumn("action", F.lit("allow")), as_of, first)
+    except VersionConflict:
+        refused += 1
+    docs, newest = D.planted(spark, sf), newest_version(spark, store)
+    scans = [
+        scan(docs, rules.Policy(rules=rules.read_rule_version(spark, store, v)))
+        .groupBy("decision").agg(F.count("*").alias("n")).withColumn("version", F.lit(v).cast("long"))
+        for v in (1, newest)
+    ]
+    return scans[0].unionByName(scans[1]).withColumns(
+        {"refused": F.lit(refused).cast("long"), "newest": F.lit(newest).cast("long")}
+    )
+
+
 @query(
     "live_rules",
     O.with_(*_LIVE_HALVES)
@@ -343,16 +425,16 @@ def live_rules(spark, sf):
     source, sink, store, checkpoint = (
         shared_dir(spark, n) for n in ("texts", "live", "rules", "live-checkpoint")
     )
-    docs, default = D.planted(spark, sf), rules.default_rules(spark)
-    changed = default.withColumn(
-        "action", F.when(F.col("entity_type") == "EMAIL", "BLOCK").otherwise(F.col("action"))
-    )
-    for copy, table in (("before", default), ("after", changed)):
-        table.write.mode("overwrite").parquet(store)
+    docs = D.planted(spark, sf)
+    for copy in ("before", "after"):
+        if copy == "before":
+            rules.write_rule_version(rules.default_rules(spark), store)
+        else:
+            rules.commit_rules(spark, store, block_emails(spark), F.lit("2024-02-01").cast("timestamp"))
         docs.withColumn("copy", F.lit(copy)).write.mode("append").parquet(source)
         J.scan_with_live_rules(
             spark.readStream.schema("doc_id bigint, text string, copy string").parquet(source),
-            lambda session: session.read.parquet(store),
+            lambda session: rules.read_rule_version(session, store),
             sink,
             keep=("doc_id", "decision"),
             checkpoint=checkpoint,

@@ -14,6 +14,7 @@ from spanguard.operators.metrics import window_start
 from spanguard.operators.rules import Policy
 from spanguard.operators.scan import scan
 from spanguard.session import shared_dir
+from spanguard.sources.versions import BatchTable
 
 
 def run_to_parquet(
@@ -59,28 +60,50 @@ def _by_batch(
     )
 
 
+#: Hash buckets of the index of request ids.
+ID_BUCKETS = 256
+_IDS = T.StructType([T.StructField("request_id", T.StringType()), T.StructField("bucket", T.IntegerType())])
+
+
+def _id_index(spark: SparkSession, path: str) -> BatchTable:
+    return BatchTable(spark, f"{path}/_ids", _IDS, partition_by=("bucket",))
+
+
 def append_audit(
     audit: DataFrame, path: str | None = None, checkpoint: str | None = None, trigger: dict | None = None
 ) -> str:
     """Append a stream of audit rows to a table, one row per request id; its path.
 
-    There is no watermark, so no row is too late. A micro-batch leaves out the
-    requests that the table already has on the days it brings (a repeated row has
-    the same time), and writes a folder of its own, which a repeat of the batch
-    replaces. Pass `path` and `checkpoint` of an earlier run to go on.
+    A request id is there once in the whole table, whatever day its rows are of: the
+    first one to come counts, within a micro-batch the earliest (ties: by content).
+    Beside the table there is an index of its ids in hash buckets; a micro-batch looks
+    only into the buckets of its own ids and reads no row of the table. There is no
+    watermark, so no row is too late. A batch writes folders of its own, table before
+    index, which a repeat of the batch replaces. Pass `path` and `checkpoint` of an earlier
+    run to go on; an index that is missing is made from the table.
     """
     spark, schema = audit.sparkSession, audit.schema
     path = path or shared_dir(spark, "audit-sink")
+    bucket = F.pmod(F.xxhash64(F.col("request_id").cast("string")), F.lit(ID_BUCKETS)).cast("int").alias("bucket")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        rows = batch.dropDuplicates(["request_id"]).withColumn("dt", F.to_date("created_at"))
-        first, last = rows.agg(F.min("dt"), F.max("dt")).first()
-        if batch_id > 0:
+        index = _id_index(session, path)
+        if batch_id > 0 and not index.exists():
             there = read_appended(session, path, schema).filter(F.col("batch") < batch_id)
-            there = there.filter(F.col("dt").isNull() | F.col("dt").between(first, last))
-            rows = rows.join(there.select("request_id"), "request_id", "left_anti")
-        rows.write.mode("overwrite").partitionBy("dt").parquet(f"{path}/batch={batch_id}")
+            index.write(there.select(F.col("request_id").cast("string").alias("request_id"), bucket), batch_id - 1)
+        row = F.struct(*batch.columns)
+        first = F.min_by(row, F.struct("created_at", F.to_json(row))).alias("row")
+        rows = batch.groupBy("request_id").agg(first).select("row.*").withColumn("bucket", bucket).persist()
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # ID_BUCKETS at most
+        known = index.read(batch_id).filter(F.col("bucket").isin(touched)).select(F.col("request_id").alias("known"))
+        fresh = rows.join(known, F.col("request_id").cast("string").eqNullSafe(F.col("known")), "left_anti")
+        fresh = fresh.drop("bucket").withColumn("dt", F.to_date("created_at"))
+        fresh.write.mode("overwrite").partitionBy("dt").parquet(f"{path}/batch={batch_id}")
+        rows.unpersist()
+        written = read_appended(session, path, schema).filter(F.col("batch") == batch_id)
+        ids = written.select(F.col("request_id").cast("string").alias("request_id"), bucket)
+        index.write(ids.repartition("bucket"), batch_id)
 
     _by_batch(audit, write, checkpoint or shared_dir(spark, "audit-checkpoint"), "append", trigger)
     return path
@@ -105,15 +128,40 @@ def live_metrics(audit: DataFrame, window: str = "5m", watermark: str = "10 minu
     )
 
 
+_COUNTS = T.StructType(
+    [
+        T.StructField("window_start", T.TimestampType()),
+        T.StructField("decision", T.StringType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("batch", T.LongType()),
+    ]
+)
+
+
+def _newest_counts(rows: DataFrame) -> DataFrame:
+    newest = F.max_by(F.struct("n", "batch"), "batch").alias("r")
+    return rows.groupBy("window_start", "decision").agg(newest).select("window_start", "decision", "r.n", "r.batch")
+
+
+def _summed_counts(rows: DataFrame) -> DataFrame:
+    sums = F.sum("n").alias("n"), F.max("batch").alias("batch")
+    return rows.groupBy("window_start", "decision").agg(*sums)
+
+
 def run_live_metrics(
     metrics: DataFrame, path: str | None = None, checkpoint: str | None = None, trigger: dict | None = None
 ) -> str:
-    """Keep the counts of `live_metrics` up to date in a table, open windows too; its path."""
+    """Keep the counts of `live_metrics` up to date in a table, open windows too; its path.
+
+    Batches are merged into a snapshot of the newest counts every so often, so the number
+    of folders stays bounded.
+    """
     spark = metrics.sparkSession
     path = path or shared_dir(spark, "live-metrics")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        counts = batch.withColumn("batch", F.lit(batch_id).cast("long"))
+        BatchTable(batch.sparkSession, path, _COUNTS, _newest_counts).write(counts, batch_id)
 
     _by_batch(metrics, write, checkpoint or shared_dir(spark, "metrics-checkpoint"), "update", trigger)
     return path
@@ -121,8 +169,52 @@ def run_live_metrics(
 
 def latest_metrics(spark: SparkSession, path: str) -> DataFrame:
     """The newest count of every window and decision."""
-    rows = spark.read.schema("window_start timestamp, decision string, n bigint, batch bigint").parquet(path)
-    return rows.groupBy("window_start", "decision").agg(F.max_by("n", "batch").alias("n"))
+    return _newest_counts(BatchTable(spark, path, _COUNTS).read()).drop("batch")
+
+
+def count_by_window(
+    audit: DataFrame,
+    path: str,
+    rejects: str,
+    window: str = "5m",
+    watermark: str = "10m",
+    checkpoint: str | None = None,
+    trigger: dict | None = None,
+) -> None:
+    """Requests per window and effective decision in the table `path`, those that came too
+    late in `rejects`; both are read by `window_counts`.
+
+    A row is too late if its window ended `watermark` or more before the latest row of the
+    batches before. Nothing is kept in memory between batches: a batch adds its counts, and
+    a row without a decision marks how far the time has come.
+    """
+    size, delay = parse_duration(window), parse_duration(watermark)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        counts, late = (BatchTable(session, p, _COUNTS, _summed_counts) for p in (path, rejects))
+        reached = counts.read(batch_id).agg(F.max(F.when(F.col("decision").isNull(), F.col("window_start")))).first()[0]
+        start = window_start("created_at", window)
+        rows = batch.withColumn("decision", effective_decision()).withColumn("window_start", start)
+        ended = F.lit(False) if reached is None else F.col("window_start") + F.lit(size) <= F.lit(reached - delay)
+        found = rows.groupBy("window_start", "decision", ended.alias("late")).agg(
+            F.count("*").alias("n"), F.max("created_at").alias("at")
+        ).withColumn("batch", F.lit(batch_id).cast("long")).persist()
+        mark = found.agg(F.max("at").alias("window_start")).filter("window_start is not null")
+        mark = mark.selectExpr("window_start", "cast(null as string) decision", "0L n", f"{batch_id}L batch")
+        names = _COUNTS.fieldNames()
+        late.write(found.filter("late").select(names), batch_id)
+        counts.write(found.filter("not late").select(names).unionByName(mark), batch_id)
+        found.unpersist()
+
+    spark = audit.sparkSession
+    _by_batch(audit, write, checkpoint or shared_dir(spark, "counts-checkpoint"), "append", trigger)
+
+
+def window_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The counts of one of the tables of `count_by_window`."""
+    rows = BatchTable(spark, path, _COUNTS).read().filter("decision is not null")
+    return _summed_counts(rows).drop("batch")
 
 
 def _seconds(window: str) -> str:
@@ -136,9 +228,12 @@ def scan_with_live_rules(
     text_col: str = "text",
     keep: tuple[str, ...] = ("doc_id", "decision", "redacted_text"),
     checkpoint: str | None = None,
+    trigger: dict | None = None,
 ) -> None:
     """Scan a stream under rules read anew for every micro-batch, so a rule
-    change is seen by the next batch.
+    change is seen by the next batch. `rules.read_rule_version` reads the newest version
+    of a versioned rule table. With a `trigger` such as `{"processingTime": "10 seconds"}`
+    it goes on until it is stopped; by default it ends when the source is drained.
 
     A batch that is repeated after a failure overwrites its own folder. Pass
     the `checkpoint` of an earlier run to go on where it ended.
@@ -150,13 +245,7 @@ def scan_with_live_rules(
         out = scan(df, policy, text_col).select(*keep)
         out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    (
-        texts.writeStream.foreachBatch(batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+    _by_batch(texts, batch, checkpoint, "append", trigger)
 
 
 def failures_by_cause(failed: DataFrame, window: str, ts: str = "ts") -> DataFrame:

@@ -3,8 +3,10 @@
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from spanguard.sources import versions
 from spanguard.streaming import jobs as J
 from spanguard.streaming import responses as S
 
@@ -98,6 +100,66 @@ def test_audit_rows_are_appended_once_however_late(spark, tmp_path):
     assert sorted(r.request_id for r in found.collect()) == ["a", "b", "c", "d"]
 
 
+def test_a_request_id_is_unique_over_all_days_and_restarts(spark, tmp_path, monkeypatch):
+    schema = "request_id string, created_at timestamp, n int"
+    path, checkpoint, source = (str(tmp_path / n) for n in ("out", "cp", "in"))
+    day, want = timedelta(days=1), {}
+    monkeypatch.setattr(J, "_id_index", lambda s, p: versions.BatchTable(s, f"{p}/_ids", J._IDS, every=2, partition_by=("bucket",)))
+    for k in range(6):
+        rows = [(f"r{i}", T0 + (i * k % 5) * day, i + k) for i in range(3 * k, 3 * k + 9)] + [(f"r{3 * k}", T0 - day, 0), (None, T0, k)]
+        for r in sorted(rows, key=lambda r: (r[1], r[2])):
+            want.setdefault(r[0], r)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        J.append_audit(spark.readStream.schema(schema).parquet(source), path, checkpoint)
+    found = J.read_appended(spark, path, spark.createDataFrame([], schema).schema).collect()
+    assert sorted(map(str, [(r.request_id, r.created_at, r.n) for r in found])) == sorted(map(str, want.values()))
+    names = versions._names(spark, f"{path}/_ids")
+    assert len([n for n in names if n.startswith("upto")]) == 2 and len([n for n in names if n.startswith("batch")]) <= 4
+
+
+def test_folders_of_a_batch_table_stay_few(spark, tmp_path):
+    schema = spark.createDataFrame([], "k string, n bigint").schema
+    merge = lambda df: df.groupBy("k").agg(F.sum("n").alias("n"))
+    table = versions.BatchTable(spark, str(tmp_path / "t"), schema, merge, every=3)
+    assert not table.exists() and table.read().count() == 0
+    for number in range(14):
+        for _ in range(2 if number in (5, 7) else 1):  # repeated after a failure, with a snapshot and without
+            table.write(spark.createDataFrame([("a", number), (f"k{number}", 1)], schema), number)
+        assert merge(table.read()).filter("k = 'a'").first().n == sum(range(number + 1))
+        assert merge(table.read(number)).filter("k = 'a'").count() == (number > 0)
+        assert len(versions._names(spark, table.path)) <= 2 + 6
+    assert merge(table.read()).count() == 15
+
+
+def test_versions_and_conflicts(spark, tmp_path):
+    path = str(tmp_path / "rules")
+    schema = spark.createDataFrame([], "x int").schema
+    assert versions.newest_version(spark, path) == 0 and versions.read_version(spark, path, schema).count() == 0
+    for base, rows in ((0, [1]), (1, [1, 2])):
+        assert versions.write_version(spark.createDataFrame([(x,) for x in rows], schema), path, base) == base + 1
+    with pytest.raises(versions.VersionConflict):
+        versions.write_version(spark.createDataFrame([(9,)], schema), path, 1)
+    slow = versions.newest_version
+    try:  # another writer comes in between the check and the marker
+        versions.newest_version = lambda *_: 1
+        with pytest.raises(versions.VersionConflict):
+            versions.write_version(spark.createDataFrame([(9,)], schema), path, 1)
+    finally:
+        versions.newest_version = slow
+    assert [versions.read_version(spark, path, schema, v).count() for v in (1, 2, None)] == [1, 2, 2]
+
+
+def test_late_rows_are_counted_apart(spark, tmp_path):
+    schema = "created_at timestamp, input_decision string, output_decision string"
+    counts, rejects, checkpoint, source = (str(tmp_path / n) for n in ("out", "late", "cp", "in"))
+    for batch in ((1, 20), (2, 9, 10, 30), (8, 16, 31)):
+        rows = [(T0 + timedelta(minutes=m), "ALLOW", None) for m in batch]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        J.count_by_window(spark.readStream.schema(schema).parquet(source), counts, rejects, "5m", "10m", checkpoint)
+    got = lambda p: {(r.window_start.minute, r.n) for r in J.window_counts(spark, p).collect()}
+    assert got(counts) == {(0, 1), (20, 1), (10, 1), (30, 2)} and got(rejects) == {(0, 1), (5, 2), (15, 1)}
+
+
 def test_metrics_show_open_windows(spark, tmp_path):
     schema = "created_at timestamp, input_decision string, output_decision string"
     path, checkpoint, source = (str(tmp_path / n) for n in ("out", "cp", "in"))
