@@ -116,12 +116,14 @@ class Vocabulary:
     def split(self, text: str) -> list[str]:
         if text.isascii():
             return self.pieces.findall(text.lower())
-        if NEWER.search(text):
-            normal = self.library.normalizer.normalize_str(text)
-            cuts = self.library.pre_tokenizer.pre_tokenize_str(normal)
-            return [normal[a:b] for _, (a, b) in cuts]
-        # Case is mapped character by character, without the rule for a last sigma.
-        return self.pieces.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        if not NEWER.search(text):
+            # Case is mapped character by character, without the rule for a last sigma.
+            normal = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            if not NEWER.search(normal):  # composed letters and other cases may lie beyond
+                return self.pieces.findall(normal)
+        normal = self.library.normalizer.normalize_str(text)
+        cuts = self.library.pre_tokenizer.pre_tokenize_str(normal)
+        return [normal[a:b] for _, (a, b) in cuts]
 
 
 class MergeTrees:

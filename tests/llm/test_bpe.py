@@ -12,7 +12,7 @@ from spanguard.llm.queries import vocabulary
 SCHEMA = "doc_id long, text string, ids string, n_tokens string"
 ODD = [
     "", None, " \t\n", "Σας ΣΑΣ İstanbul ǅ", "don't I'LL 'S 've", "ſ K ẞ ß", "日本語 ١٢٣ a‍b 👍🏽 \U0001e900",
-    "<|endoftext|>x<|startoftext|>", "<|endoftext", "é é", "a\x00b\x85c\xa0d", "x" * 70_000, "ab" * 3000 + " ab",
+    "<|endoftext|>x<|startoftext|>", "<|endoftext", "é é", "a\x00b\x85c\xa0d", "Vie\u0302\u0323t Nam e\u0323\u0300ko\u0323\u0301 Ⱥb aȾ ȺȾ", "x" * 70_000, "ab" * 3000 + " ab",
 ]
 
 
@@ -34,6 +34,16 @@ def test_random_texts(text):
     assert e.decode(ids).decode() == LIBRARY.decode(want, skip_special_tokens=False)
 
 
+MARKED = st.text(st.one_of(st.characters(max_codepoint=0x6FF), st.characters(min_codepoint=0x300, max_codepoint=0x36F), st.sampled_from("aeiouAEIOU ȺȾ")))
+
+
+@settings(max_examples=3000, deadline=None)
+@given(MARKED)
+def test_marks_and_letters_that_compose(text):
+    (ids,) = encoder(vocabulary()).encode([text])
+    assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 def test_odd_texts_and_documents(spark, sf, library):
     rows = [(i if i % 3 else None, t, "x", None) for i, t in enumerate([*ODD, ODD[3]])]
     docs = spark.createDataFrame(rows, SCHEMA)
