@@ -61,7 +61,7 @@ def _by_batch(
 
 
 #: Hash buckets of the index of request ids.
-ID_BUCKETS = 256
+ID_BUCKETS = 64
 _IDS = T.StructType([T.StructField("request_id", T.StringType()), T.StructField("bucket", T.IntegerType())])
 
 
