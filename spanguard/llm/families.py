@@ -210,12 +210,16 @@ def common_differences(tested: DataFrame, groups: Groups, percent: int) -> DataF
     # Elements that no other set has come first: there are d less those left here.
     order = f"d - count(*) OVER (PARTITION BY hub, node) + row_number() OVER (PARTITION BY hub, node ORDER BY m, x)"
     ranked = items.withColumn("rank", F.expr(order)).withColumn("half", F.expr(f"rank <= d - {half} + 1"))
-    index = stored(
-        ranked.filter(f"half OR open AND rank <= d - {least} + 1").select("hub", "x", "node", "comp", "open", "half", "n", "d"), "index"
+    columns = "node", "comp", "open", "half", "rank", "n", "d"
+    index = stored(ranked.filter(f"half OR open AND rank <= d - {least} + 1").select("hub", "x", *columns), "index")
+    one, two = (
+        index.filter(side).select("hub", "x", *(F.col(c).alias(f"{c}{i}") for c in columns)) for i, side in ((1, "open"), (2, "half"))
+    )
+    # After the first difference that two sets share, they share no more than one of them has left.
+    meet = (
+        f"comp1 <> comp2 AND {more} * abs(d1 - d2) <= {less} * (n1 + n2) AND (NOT open2 OR half1 AND node1 < node2)"
+        f" AND {2 * more} * (1 + least(d1 - rank1, d2 - rank2)) >= {more} * (d1 + d2) - {less} * (n1 + n2)"
     )
-    one = index.filter("open").select("hub", "x", *(F.col(c).alias(f"{c}1") for c in ("node", "comp", "half", "n", "d")))
-    two = index.filter("half").select("hub", "x", *(F.col(c).alias(f"{c}2") for c in ("node", "comp", "open", "n", "d")))
-    meet = f"comp1 <> comp2 AND {more} * abs(d1 - d2) <= {less} * (n1 + n2) AND (NOT open2 OR half1 AND node1 < node2)"
     pairs = one.join(two, ["hub", "x"]).filter(meet).select("hub", F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
     pairs = stored(pairs, "meeting")
     for name in ("a", "b"):
