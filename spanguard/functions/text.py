@@ -190,6 +190,23 @@ def findings_sql(text: str, entity_types: list[str] | None = None) -> str:
     return found
 
 
+def pattern_findings(
+    text: str, pattern: str, entity_type: str, category: str, confidence: float, detector: str
+) -> Column:
+    """All non-overlapping matches of a Java pattern as findings of a detector of one's own.
+
+    `pattern` must not match the empty text and may hold no quotes.
+    """
+    safe = f"translate({text}, '{MARK}', ' ')"
+    found = (
+        "transform(if(size(ps) > 1, sequence(1, size(ps) - 1, 2), cast(array() as array<int>)), i -> named_struct("
+        f"'entity_type', '{entity_type}', 'category', '{category}', 'start', es[i - 1], 'end', es[i],"
+        f" 'matched_text', ps[i], 'confidence', {confidence}D, 'detector', '{detector}'))"
+    )
+    split = f"split(regexp_replace({safe}, r'{pattern}', '{MARK}$0{MARK}'), '{MARK}', -1)"
+    return F.expr(sql_let("ps", split, sql_let("es", running_sum_sql("transform(ps, p -> length(p))"), found)))
+
+
 def regex_findings(text: str, entity_types: list[str] | None = None) -> Column:
     return F.expr(findings_sql(text, entity_types))
 

@@ -12,7 +12,7 @@ from spanguard.operators import metrics as M
 from spanguard.operators import requests as R
 from spanguard.operators import rules
 from spanguard.operators import scan as S
-from spanguard.operators.paging import keyset_page, page_cursor
+from spanguard.operators.paging import day_page, page_cursor
 from spanguard.plans import derived as D
 from spanguard.plans import oracle as O
 from spanguard.plans.registry import big, counts_text, query, stamp_col
@@ -651,13 +651,16 @@ def order_recent(spark, sf):
     " order by audit.created_at desc, id desc limit 51 offset 100",
 )
 def keyset(spark, sf):
-    """Third page of fifty of a stored audit table, reached by two cursors."""
+    """Third page of fifty of an audit table stored by day, reached by two cursors."""
     path, cursor = shared_dir(spark, "pages"), None
-    D.audit(spark, sf).select("id", "created_at", "input_decision").write.parquet(path)
-    rows = spark.read.schema("id string, created_at timestamp, input_decision string").parquet(path)
+    rows = D.audit(spark, sf).select("id", "created_at", "input_decision")
+    tables.write_audit(rows, path, "pages")
+    rows = spark.read.schema(
+        "id string, created_at timestamp, input_decision string, job string, dt date"
+    ).parquet(path)
     for _ in range(2):
-        cursor = page_cursor(keyset_page(rows, 50, cursor), 50)
-    page = keyset_page(rows, 50, cursor)
+        cursor = page_cursor(day_page(rows, 50, cursor), 50)
+    page = day_page(rows, 50, cursor)
     return page.select("id", stamp_col("created_at").alias("created_at"), "input_decision")
 
 

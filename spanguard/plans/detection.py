@@ -14,7 +14,7 @@ from spanguard.functions.spans import (
     redaction_marks,
     redaction_pieces,
 )
-from spanguard.functions.text import luhn_valid
+from spanguard.functions.text import luhn_valid, pattern_findings
 from spanguard.operators import models, rules, scan as S
 from spanguard.plans import derived as D
 from spanguard.plans import oracle as O
@@ -625,6 +625,39 @@ def pieces(spark, sf):
     return cut.select("doc_id", *big("idx"), "p.text", "p.category")
 
 
+_TICKET = "[a-z]{3,}ing [0-9a-z]{2,}"
+
+
+@query(
+    "own_detector",
+    O.with_(
+        O.DOCS,
+        O.ENTITY_DIM,
+        O.raw("docs"),
+        "own_p as (select k, unnest(ps) as piece, generate_subscripts(ps, 1) as i from (select k,"
+        f" string_split(regexp_replace(text, '({_TICKET})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) as ps from docs)),"
+        " own_o as (select *, sum(length(piece)) over (partition by k order by i rows unbounded preceding) as e from own_p),"
+        " own as (select k, 40 as pno, 'GENERIC_SECRET' as entity_type, 0.85::double as confidence,"
+        " cast(e - length(piece) as bigint) as s, cast(e as bigint) as e, piece as txt, 'tickets' as detector"
+        " from own_o where i % 2 = 0)",
+        "all_raw as (select * from raw union all select * from own)",
+        O.merged("all_raw").replace("else 1 end", "when 'tickets' then 5 else 1 end"),
+    )
+    + f"select {FLAT}, detector from merged",
+)
+def own_detector(spark, sf):
+    """A pass of the user's own, registered with a priority above all others."""
+
+    def tickets(text):
+        return pattern_findings(text, _TICKET, "GENERIC_SECRET", "SECRET", 0.85, "tickets")
+
+    found = S.scan(D.planted(spark, sf), detectors=[models.column_detector("tickets", 5, tickets)])
+    flat = S.long_findings(found, "doc_id")
+    return flat.select(
+        "doc_id", "entity_type", *big("start", "end"), "matched_text", "confidence", "detector"
+    )
+
+
 @query(
     "reported_confidence",
     O.with_(*_ALL_RAW, O.merged("both_raw"))

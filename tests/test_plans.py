@@ -8,7 +8,7 @@ from spanguard.operators import requests as R
 from spanguard.operators import scan as S
 from spanguard.plans import derived as D
 from spanguard.plans.detection import stub_recognizer, stub_scorer
-from spanguard.operators.paging import keyset_page
+from spanguard.operators.paging import day_page, keyset_page
 from spanguard.operators.rules import Policy, default_rules
 from spanguard.schema import AUDIT, PATTERNS
 from spanguard.sources import tables
@@ -113,6 +113,18 @@ def test_day_filters_prune_partitions(spark, tmp_path):
         assert rows.count() == n
 
 
+def test_a_page_reads_only_the_newest_days_it_needs(spark, tmp_path):
+    table = stored_audit(spark, str(tmp_path / "audit"))
+    page = day_page(table, 1)
+    assert [r.id for r in page.collect()] == ["5", "4"]
+    filters = plan(page).split("PartitionFilters:")[1].split("\n")[0]
+    assert "2024-01-04" in filters or "19726" in filters  # the newest day, then two more
+    for cursor in (None, ("2024-01-04 12:00:00", "3"), ("2023-01-01", "")):
+        for limit in (1, 2, 5, 50):
+            whole = keyset_page(table, limit, cursor).collect()
+            assert [r.id for r in day_page(table, limit, cursor).collect()] == [r.id for r in whole]
+
+
 def test_audit_jobs_replace_their_own_rows(spark, tmp_path):
     path = str(tmp_path / "audit")
     stored_audit(spark, path)
