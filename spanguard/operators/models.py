@@ -5,6 +5,7 @@ to what it finds in each, so that a real model can work in batches.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,6 +30,73 @@ def each(fn: Callable[[str], list]) -> Callable[[list[str]], list[list]]:
     return lambda texts: [fn(t) for t in texts]
 
 
+#: Characters of a call to a model, if all its texts were as long as its longest.
+PADDED = 1 << 18
+
+
+def by_length(texts: list[str], most: int = PADDED) -> list[list[int]]:
+    """Places of the texts in calls of similar length, so that padding costs little."""
+    calls: list[list[int]] = []
+    for i in sorted(range(len(texts)), key=lambda i: len(texts[i])):
+        if calls and (len(calls[-1]) + 1) * len(texts[i]) <= most:
+            calls[-1].append(i)
+        else:
+            calls.append([i])
+    return calls
+
+
+def windowed(scorer: Scorer, most: int = 128, overlap: int = 32) -> Scorer:
+    """A scorer of texts of any length from one that takes at most `most` words at a time.
+
+    A longer text is cut into windows of `most` words that share `overlap` words with the next
+    one, each scored on its own; of the shared words the first half counts as the earlier
+    window sees them, the second half as the later one does. Special tokens, with offsets
+    (0, 0), stay at both ends of the text only.
+    """
+    if not 0 <= overlap < most:
+        raise ValueError("the overlap must be shorter than a window")
+
+    def make():
+        fn, word = scorer(), re.compile(r"\S+")
+
+        def pieces(text: str) -> list[tuple[int, int, int, int]]:
+            """(first, last, kept from, kept before) of each window, in characters."""
+            spans = [m.span() for m in word.finditer(text)]
+            if len(spans) <= most:
+                return [(0, len(text), 0, len(text) + 1)]
+            out, at = [], 0
+            while True:
+                end = min(at + most, len(spans))
+                low = spans[at + overlap // 2][0] if at else 0
+                if end == len(spans):
+                    return [*out, (spans[at][0], len(text), low, len(text) + 1)]
+                following = at + most - overlap
+                out.append((spans[at][0] if at else 0, spans[end - 1][1], low, spans[following + overlap // 2][0]))
+                at = following
+
+        def score(texts: list[str]) -> list[list[Score]]:
+            cut = [(i, *p) for i, t in enumerate(texts) for p in pieces(t)]
+            parts = [texts[i][a:b] for i, a, b, _, _ in cut]
+            found: list = [None] * len(parts)
+            for call in by_length(parts):
+                for i, scores in zip(call, fn([parts[i] for i in call])):
+                    found[i] = scores
+            out: list[list[Score]] = [[] for _ in texts]
+            for (i, a, b, low, high), scores in zip(cut, found):
+                ends = low == 0, high > len(texts[i])  # the first and the last window
+                for k, (start, end, logits) in enumerate(scores):
+                    if (start, end) == (0, 0):
+                        if ends[0] and k == 0 or ends[1] and k == len(scores) - 1:
+                            out[i].append((0, 0, logits))
+                    elif low <= start + a < high:
+                        out[i].append((start + a, end + a, logits))
+            return out
+
+        return score
+
+    return make
+
+
 _SPAN = pa.struct(
     [
         ("label", pa.string()),
@@ -46,12 +114,20 @@ def _with_model(
     df: DataFrame, text_col: str, out: str, factory, field: str, item: pa.StructType, ddl
 ) -> DataFrame:
     """Adds `out`: struct<`field`, error> from a function of many texts. Only the
-    text crosses to Python, in Arrow batches. A null text isn't handed on. If the
+    text crosses to Python, in Arrow batches, which are handed on in calls of texts of similar
+    length. A null text isn't handed on. If the
     function fails on a batch, its texts are tried one by one, and one that it
     fails on yields only the error.
     """
     keys = [item.field(i).name for i in range(item.num_fields)]
 
+    def found_by_length(fn, texts: list[str]) -> list[tuple[list, str | None]]:
+        out: list = [None] * len(texts)
+        for call in by_length(texts):
+            for i, found in zip(call, found_in(fn, [texts[i] for i in call])):
+                out[i] = found
+        return out
+
     def found_in(fn, texts: list[str]) -> list[tuple[list, str | None]]:
         try:
             return [([dict(zip(keys, x)) for x in found], None) for found in fn(texts)]
@@ -65,7 +141,7 @@ def _with_model(
         for batch in batches:
             texts = batch.to_pylist()
             given = [t for t in texts if t is not None]
-            got = iter(found_in(fn, given) if given else ())
+            got = iter(found_by_length(fn, given))
             values, errors = zip(*[next(got) if t is not None else ([], None) for t in texts]) if texts else ((), ())
             yield pa.StructArray.from_arrays(
                 [pa.array(values, pa.list_(item)), pa.array(errors, pa.string())], names=[field, "error"]

@@ -181,6 +181,18 @@ def stub_scorer():
     return models.each(score)
 
 
+def short_scorer():
+    """The same, but unable to read more than 128 words."""
+    inner = stub_scorer()
+
+    def score(texts):
+        if any(len(t.split()) > 128 for t in texts):
+            raise ValueError("a text has more than 128 words")
+        return inner(texts)
+
+    return score
+
+
 def semantic_raw(src: str, name: str = "sraw") -> str:
     """Findings of the stand-in classifier over `src`(k, text) as SQL."""
     kind = "case when regexp_matches(piece, '[0-9]') then 1 when length(piece) > 14 then 3 else 0 end"
@@ -206,7 +218,8 @@ def semantic_raw(src: str, name: str = "sraw") -> str:
     O.with_(O.DOCS, semantic_raw("docs")) + f"select {FLAT} from sraw",
 )
 def semantic_findings(spark, sf):
-    scored = models.score_tokens(D.planted(spark, sf), stub_scorer)
+    """With a classifier that takes at most 128 words at a time."""
+    scored = models.score_tokens(D.planted(spark, sf), models.windowed(short_scorer, 128, 32))
     found = scored.withColumn("findings", models.semantic_findings("text", "scored.scores"))
     return _flat(S.long_findings(found, "doc_id"), "doc_id")
 

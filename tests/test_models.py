@@ -186,3 +186,24 @@ def test_registered_bio_queries_on_given_texts(spark, sf):
     ids = ["O", "B-PII", "I-PII", "B-SECRET", "I-SECRET"]
     assert {r.label: r.n for r in got["encode_labels"]} == {ids.index(t): n for t, n in counts.items()}
     assert {r.label: r.n for r in got["label_distribution"]} == dict(counts)
+
+
+def test_windows_are_stitched_to_the_scores_of_the_whole():
+    from spanguard.plans.detection import short_scorer, stub_scorer
+
+    rng = random.Random(3)
+    words = ["a", "b1", "22", "averyverylongword", "xyz", "extraordinarilylong"]
+    texts = ["", " ", "one"] + [
+        rng.choice(["", " "]) + rng.choice([" ", "\n", "  "]).join(rng.choices(words, k=rng.choice([3, 127, 128, 129, 224, 225, 700]))) for _ in range(60)
+    ]
+    want = stub_scorer()(texts)
+    assert M.windowed(short_scorer, 128, 32)()(texts) == want
+    assert M.windowed(short_scorer, 9, 4)()(texts) == want
+
+
+def test_calls_hold_texts_of_similar_length():
+    rng = random.Random(4)
+    texts = ["x" * rng.randint(0, 500) for _ in range(300)] + ["y" * 5000]
+    calls = M.by_length(texts, 4000)
+    assert sorted(i for c in calls for i in c) == list(range(301))
+    assert all(len(c) == 1 or len(c) * max(len(texts[i]) for i in c) <= 4000 for c in calls)
