@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanguard.operators import requests as R
 from spanguard.operators import rules
 from spanguard.operators.scan import scan
 from spanguard.plans import derived as D
