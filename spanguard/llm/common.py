@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanguard.session import shared_dir
 
@@ -72,3 +73,16 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = [press.compress(b) for b in as_bytes(batch.column(batch.num_columns - 1))]
         columns = batch.columns[:-1] + [pa.array(data, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1] + ["packed"])
+
+
+@F.arrow_udf(returnType=T.BinaryType())
+def packed_text(texts: pa.Array) -> pa.Array:
+    """A text column compressed as by `pack`, for rows that keep their other columns; null stays null."""
+    press = zstandard.ZstdCompressor(level=1).compress
+    return pa.array([None if b is None else press(b) for b in texts.cast(pa.large_binary()).to_pylist()], pa.binary())
+
+
+@F.arrow_udf(returnType=T.StringType())
+def unpacked_text(frames: pa.Array) -> pa.Array:
+    open_ = zstandard.ZstdDecompressor().decompress
+    return pa.array([None if b is None else open_(b).decode() for b in frames.to_pylist()], pa.string())

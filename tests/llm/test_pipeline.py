@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_decontamination import brute as contained
 from test_near_dedup import brute as near
 
@@ -73,3 +74,18 @@ def test_no_documents(spark, tmp_path, name):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     stage = dict(corpus_pipeline.STAGES)[name]
     assert stage(spark, spark.createDataFrame([], SCHEMA), str(tmp_path)).count() == 0
+
+
+def test_rows_pass_with_columns_of_any_name(spark, tmp_path):
+    names = ["packed", "document", "lang_pred", "score", "row_no", "digit"]
+    schema = SCHEMA + "".join(f", {n} array<string>" for n in names)
+    texts = [None, "", "abc", "ABC", "é ab " * 400, "12"]
+    rows = [(i, t, "x", "s", None, i, *[[str(i), None]] * len(names)) for i, t in enumerate(texts)]
+    docs = stored(spark.createDataFrame(rows, schema).repartition(2), "any-names")
+    left = corpus_pipeline.language_id(spark, docs, str(tmp_path))
+    assert left.schema == docs.schema and {r.doc_id for r in left.collect()} == {2, 3, 4}
+    assert {tuple(r) for r in map(str, left.collect())} <= {tuple(r) for r in map(str, docs.collect())}
+    once = corpus_pipeline.exact_dedup(spark, docs, str(tmp_path))
+    assert once.columns == docs.columns and {r.doc_id: r.text for r in once.collect()} == {i: texts[i] for i in (1, 3, 4, 5)}
+    none = corpus_pipeline.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), str(tmp_path))
+    assert {r.doc_id for r in none.collect()} == {2, 3, 4}
