@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanguard.llm.bpe import round_trip
-from spanguard.llm.common import read, stored
+from spanguard.llm.common import packed_text, read, stored, unpacked_text
 from spanguard.llm.decontamination import contained_items
 from spanguard.llm.exact_dedup import exact_groups
-from spanguard.llm.language_id import UNKNOWN, predict_language, remainder, train_language
+from spanguard.llm.language_id import UNKNOWN, language_column, remainder, train_language
 from spanguard.llm.near_dedup import near_groups
 from spanguard.llm.queries import vocabulary
 
@@ -27,21 +27,26 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of `docs` (numbered) whose number is, or with left_anti isn't, in `rows`."""
-    return docs.join(rows.select(F.col("row_no").alias(NUMBER)), NUMBER, how).drop(NUMBER)
+    """The rows of `docs` (numbered) whose number is, or with left_anti isn't, in `rows`.
+
+    Texts are compressed on their way through the join.
+    """
+    packed = docs.withColumn("text", packed_text("text"))
+    kept = packed.join(rows.select(F.col("row_no").alias(NUMBER)), NUMBER, how).drop(NUMBER)
+    return kept.withColumn("text", unpacked_text("text"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: texts that are null or have no letter are rejected.
 
-    The model is learned from labelled documents as in the query of its own; without
-    any it knows no language, and then no document is rejected.
+    The model is learned from labelled documents as in the query of its own. It names
+    the language of each text that has a letter; which one decides nothing here, so
+    without labelled documents the same texts are rejected.
     """
-    docs = numbered(docs)
     model = train_language(docs.filter(remainder("doc_id", 3) != 1))
     if model.net is None:
-        return docs.drop(NUMBER)
-    return keep(docs, predict_language(docs, model, row_col=NUMBER).filter(F.col("lang_pred") != UNKNOWN))
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return docs.filter(language_column(model, F.col("text")) != UNKNOWN)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
