@@ -38,7 +38,9 @@ def remainder(id_col: str, by: int) -> Column:
 
 def sampled(key: Column, share: Column) -> Column:
     """True for about `share` of the keys, always the same ones."""
-    return F.pmod(F.xxhash64(key), F.lit(TENTHS)) < share * TENTHS
+    h = F.xxhash64(key)
+    finer = F.pmod(F.floor(h / TENTHS), F.lit(TENTHS)) / TENTHS
+    return F.pmod(h, F.lit(TENTHS)) + finer < share * TENTHS
 
 
 def collect_windows(labelled: DataFrame, n: int, shape: Shape) -> tuple[np.ndarray, list]:

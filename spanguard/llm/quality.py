@@ -9,6 +9,7 @@ chunks of each, the combination on all chunks, as they are scored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,7 +74,10 @@ def train_quality(
     chunks: int = CHUNKS,
     epochs: int = EPOCHS,
 ) -> QualityModel:
-    """Learn from the rows that `labels` marks 0 or 1; null ids and labels are ignored."""
+    """Learn from the rows that `labels` marks 0 or 1; null ids and labels are ignored.
+
+    An id drawn with both labels counts as 1.
+    """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     counts = {r.label: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
@@ -81,7 +85,8 @@ def train_quality(
     if len(counts) < 2:
         return QualityModel(None, None, share)
     part = F.when(F.col("label") == 1, min(1.0, per_label / counts[1])).otherwise(min(1.0, per_label / counts[0]))
-    chosen = {r.id: r.label for r in marked.filter(sampled(F.col("id"), part)).collect()}
+    drawn = marked.filter(sampled(F.col("id"), part)).collect()
+    chosen = {r.id: r.label for r in sorted(drawn, key=lambda r: r.label)}
     texts = docs.filter(F.col(id_col).isin(list(chosen))).select(F.col(id_col).alias("label"), F.col(text_col).alias("text"))
     windows, ids = collect_windows(texts, chunks, SHAPE)
     target = np.array([chosen[i] for i in ids], int)
@@ -115,7 +120,7 @@ def whole_features(texts: DataFrame, net: ByteConv) -> tuple[list, np.ndarray]:
 
 def hash_bit(key) -> bool:
     """A fixed quarter of all ids."""
-    return (int(key) * 2654435761 >> 7) % 4 == 0 if isinstance(key, int) else len(str(key)) % 4 == 0
+    return (int(key) * 2654435761 >> 7) % 4 == 0 if isinstance(key, int) else zlib.crc32(str(key).encode()) % 4 == 0
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

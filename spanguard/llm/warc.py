@@ -187,7 +187,7 @@ def write_archives(
 
 
 def record_name(key, row: int) -> str:
-    return f"urn:x-page:{'null' if key is None else quote(str(key), safe='-')}:{row}"
+    return f"urn:x-page:{'*' if key is None else quote(str(key), safe='-')}:{row}"
 
 
 def manifest_batch(places: list[tuple]) -> pa.RecordBatch:
@@ -245,8 +245,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
 def page_of(name: str, kind: str = "long"):
     """The page id inside a record identifier, null for a null id."""
-    part = F.url_decode(F.split(F.col(name), ":")[2])
-    return F.when(part != "null", part).cast(kind)
+    part = F.split(F.col(name), ":")[2]
+    return F.when(part != "*", F.url_decode(part)).cast(kind)
 
 
 def page_records(pages: DataFrame, id_col: str = "page_id", **options) -> DataFrame:

@@ -3,8 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from spanguard.llm import quality
 from spanguard.llm.bytecnn import ByteConv, Shape, log_softmax, spread_windows, windows_of
-from spanguard.llm.language_id import language_of_documents, predict_language, train_language
+from spanguard.llm.language_id import language_of_documents, predict_language, sampled, train_language
 from spanguard.llm.quality import quality_of_documents
 
 SCHEMA = "doc_id long, text string, lang string, score string, label int"
@@ -109,3 +110,11 @@ def test_every_language_is_learned(spark, monkeypatch):
     assert model.languages == sorted({r[2] for r in rows}) and len(model.languages) == 71
     ((_, labels),) = seen
     assert set(labels) == set(model.languages) and len(labels) < 1.3 * 71 * 20
+
+
+def test_split_and_sample_of_ids(spark):
+    names = [f"doc-{i:05d}" for i in range(2000)]
+    assert 400 < sum(map(quality.hash_bit, names)) < 600
+    ids = spark.range(2_000_000)
+    drawn = {s: ids.filter(sampled(F.col("id"), F.lit(s))).count() for s in (1.0, 0.25, 1e-9)}
+    assert drawn[1.0] == 2_000_000 and 495_000 < drawn[0.25] < 505_000 and drawn[1e-9] == 0

@@ -95,3 +95,10 @@ def test_a_damaged_bundle_fails(spark):
         f.write(bytes(data))
     with pytest.raises(Exception):  # noqa: B017, PT011 - whichever layer sees it first
         warc.read_archives(manifest).collect()
+
+
+def test_page_ids_of_any_text(spark):
+    ids = ["null", None, "*", "a:b c+%2A", "", "é"]
+    rows = [(i, "u", f"page {n}" * 200, "f") for n, i in enumerate(ids)]
+    got = warc.page_records(spark.createDataFrame(rows, PAGES.replace("page_id long", "page_id string"))).collect()
+    assert sorted(r.page_id or str(r.page_id) for r in got) == sorted(i or str(i) for i in ids)
