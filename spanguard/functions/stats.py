@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 _UNITS = {"s": "seconds", "m": "minutes", "h": "hours", "d": "days"}
 _COARSE = 1024
+#: Bits of a level of ranges, and levels above the finest: 10 + 3 * 18 bits hold any long.
+_FAN_BITS, _LEVELS = 18, 2
 
 
 def parse_duration(value: str) -> timedelta:
@@ -44,8 +46,9 @@ def nearest_rank(
     they don't matter at all.
 
     Rows are counted per distinct value before any shuffle. Ranks are found in
-    two levels, so no window holds more than a 1024-value range or the list of
-    ranges of a key. Both levels need the same columns of the counted rows, so
+    levels, so no window holds more than a 1024-value range or the list of
+    ranges of a key; without keys, no more than 2**18 ranges of one level, however
+    many there are. All levels need the same columns of the counted rows, so
     that Spark computes them once and reuses the exchange.
     """
     keys, count = list(keys), {"_n": F.lit(True)}
@@ -60,13 +63,9 @@ def nearest_rank(
         "_run", F.sum(n).over(W.partitionBy(*keys, "_range").orderBy("_v"))
     ).withColumn("_size", n)
     ranges = hist.groupBy(*keys, "_range").agg(F.sum(n).alias("_in_range"))
-    by_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    ranges = _bases(ranges, keys) if keys else _bases_in_levels(ranges, _LEVELS)
     names = {c: f"_of_{c}" for c in [*keys, "_range"]}
-    ranges = ranges.select(
-        *[F.col(c).alias(n) for c, n in names.items()],
-        (F.sum("_in_range").over(by_key.orderBy("_range")) - F.col("_in_range")).alias("_base"),
-        F.sum("_in_range").over(by_key).alias("_total"),
-    )
+    ranges = ranges.select(*[F.col(c).alias(n) for c, n in names.items()], "_base", "_total")
     # Null-safe: keeps null keys, and puts no filter on one side only.
     same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
     joined = fine.join(ranges, reduce(and_, same))
@@ -82,6 +81,36 @@ def nearest_rank(
     return joined.groupBy(*keys).agg(*aggs) if keys else joined.agg(*aggs)
 
 
+def _bases(ranges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds the rows in smaller ranges (`_base`) and in all of the key (`_total`)."""
+    by_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    return ranges.select(
+        *keys,
+        "_range",
+        (F.sum("_in_range").over(by_key.orderBy("_range")) - F.col("_in_range")).alias("_base"),
+        F.sum("_in_range").over(by_key).alias("_total"),
+    )
+
+
+def _bases_in_levels(ranges: DataFrame, levels: int) -> DataFrame:
+    """`_bases` without keys: the ranges are summed inside wider ranges, whose own
+    bases are found first. Only the widest ones, 2**18 at most, are in one window.
+    """
+    if not levels:
+        return _bases(ranges)
+    wide = ranges.withColumn("_wide", F.shiftright("_range", _FAN_BITS))
+    sums = wide.groupBy(F.col("_wide").alias("_range")).agg(F.sum("_in_range").alias("_in_range"))
+    above = _bases_in_levels(sums, levels - 1).select(
+        F.col("_range").alias("_of_wide"), F.col("_base").alias("_below"), "_total"
+    )
+    inside = F.sum("_in_range").over(W.partitionBy("_wide").orderBy("_range"))
+    return (
+        wide.withColumn("_inside", inside - F.col("_in_range"))
+        .join(above, F.col("_wide").eqNullSafe(F.col("_of_wide")))
+        .select("_range", (F.col("_below") + F.col("_inside")).alias("_base"), "_total")
+    )
+
+
 def histogram_counts(value: Column, bounds: Sequence[float]) -> list[Column]:
     """Cumulative bucket counts, one aggregate per bound and one for +Inf."""
     names = [bound_name(b) for b in bounds]

@@ -75,18 +75,40 @@ def parse_requests(df: DataFrame, body: str) -> DataFrame:
     return parsed.withColumn("reason", reason)
 
 
-def write_audit(audit: DataFrame, path: str, job: str | None = None) -> None:
+#: Bytes of a row group of the audit table: what a lookup by id reads at least.
+ROW_GROUP = 16 << 20
+
+
+def lookup_options(*columns: str, row_group: int = ROW_GROUP) -> dict[str, str]:
+    """Parquet options by which readers skip row groups without a looked-up value.
+
+    Each row group gets a Bloom filter per column, sized by its number of values
+    (1 % false positives). A dictionary of unique ids would only cost space.
+    """
+    options = {"parquet.block.size": str(row_group), "parquet.bloom.filter.adaptive.enabled": "true"}
+    for name in columns:
+        options[f"parquet.bloom.filter.enabled#{name}"] = "true"
+        options[f"parquet.enable.dictionary#{name}"] = "false"
+    return options
+
+
+def write_audit(
+    audit: DataFrame, path: str, job: str | None = None, row_group: int = ROW_GROUP
+) -> None:
     """Add audit rows, a folder per job and day.
 
     Rows are gathered by day first, large days in several tasks, so a job leaves
     few files; they are sorted by time in each. A job that is repeated under its
-    name replaces what it wrote before.
+    name replaces what it wrote before. A lookup by `id` or `request_id` skips the
+    row groups whose Bloom filter doesn't hold it.
     """
     rows = audit.withColumn("dt", F.to_date("created_at"))
+    looked_up = [c for c in ("id", "request_id") if c in audit.columns]
     (
         rows.hint("rebalance", F.col("dt"))
         .sortWithinPartitions("dt", "created_at")
         .write.mode("overwrite")
+        .options(**lookup_options(*looked_up, row_group=row_group))
         .partitionBy("dt")
         .parquet(f"{path}/job={job or uuid.uuid4().hex}")
     )

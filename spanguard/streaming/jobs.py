@@ -14,6 +14,7 @@ from spanguard.operators.metrics import window_start
 from spanguard.operators.rules import Policy
 from spanguard.operators.scan import scan
 from spanguard.session import shared_dir
+from spanguard.sources.tables import lookup_options
 from spanguard.sources.versions import BatchTable
 
 
@@ -99,7 +100,8 @@ def append_audit(
         known = index.read(batch_id).filter(F.col("bucket").isin(touched)).select(F.col("request_id").alias("known"))
         fresh = rows.join(known, F.col("request_id").cast("string").eqNullSafe(F.col("known")), "left_anti")
         fresh = fresh.drop("bucket").withColumn("dt", F.to_date("created_at"))
-        fresh.write.mode("overwrite").partitionBy("dt").parquet(f"{path}/batch={batch_id}")
+        options = lookup_options("request_id")
+        fresh.write.mode("overwrite").options(**options).partitionBy("dt").parquet(f"{path}/batch={batch_id}")
         rows.unpersist()
         written = read_appended(session, path, schema).filter(F.col("batch") == batch_id)
         ids = written.select(F.col("request_id").cast("string").alias("request_id"), bucket)

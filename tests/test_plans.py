@@ -1,5 +1,7 @@
 """What the physical plans must and must not hold."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from spanguard.operators import audit as A
@@ -86,6 +88,20 @@ def test_percentiles_read_their_rows_once(spark, sf):
     assert "ReusedExchange" in plan(df)
 
 
+def test_percentiles_without_keys_have_no_window_over_all_ranges(spark):
+    from spanguard.functions.stats import nearest_rank
+
+    values = [(i * 2654435761) % (1 << 62) * (-1) ** i for i in range(3000)] + [2**63 - 1, -(2**63), None]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    ranks = nearest_rank(df, "v", {"low": 0.0, "mid": 0.5, "high": 1.0})
+    ordered = sorted(v for v in values if v is not None)
+    assert tuple(ranks.first()) == (ordered[0], ordered[round(0.5 * (len(ordered) - 1))], ordered[-1])
+    text = plan(ranks)
+    (widest,) = set(re.findall(r"windowspecdefinition\((_range#\d+L) ASC", text))  # the only one without parts
+    (made,) = {x for x in re.findall(r"HashAggregate\(keys=\[(\w+)#\d+L\].*output=\[" + widest, text)}
+    assert made == "_wide" and len(set(re.findall(r"windowspecdefinition\(_wide#\d+L, _range", text))) == 2
+
+
 def stored_audit(spark, path):
     days = F.expr("timestamp '2024-01-01 12:00:00' + make_interval(0, 0, 0, cast(id as int))")
     values = {
@@ -125,6 +141,33 @@ def test_a_page_reads_only_the_newest_days_it_needs(spark, tmp_path):
             assert [r.id for r in day_page(table, limit, cursor).collect()] == [r.id for r in whole]
 
 
+def scanned_rows(df):
+    """Rows that the scan of a collected query without exchanges handed on."""
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def test_a_lookup_skips_row_groups(spark, tmp_path):
+    path, n = str(tmp_path / "audit"), 40000
+    values = {
+        "id": F.sha2(F.col("id").cast("string"), 256),
+        "request_id": F.concat(F.lit("r"), F.sha2(F.concat(F.lit("q"), "id"), 256)),
+        "created_at": F.lit("2024-01-01 12:00:00"),
+    }
+    columns = [values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in AUDIT.fields]
+    tables.write_audit(spark.range(n).select(columns), path, "one", row_group=256 << 10)
+    table = tables.read_audit(spark, path)
+    every = table.select("id", "request_id")
+    wanted = every.collect()[n // 3]
+    assert scanned_rows(every) == n
+    for column in ("id", "request_id"):
+        found = A.audit_detail(table, wanted[column], column)
+        assert [r.id for r in found.collect()] == [wanted.id]
+        assert 0 < scanned_rows(found) <= n // 4
+        missing = A.audit_detail(table, "f" * 64, column)
+        assert missing.collect() == [] and scanned_rows(missing) <= n // 4
+
+
 def test_audit_jobs_replace_their_own_rows(spark, tmp_path):
     path = str(tmp_path / "audit")
     stored_audit(spark, path)
