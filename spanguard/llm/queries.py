@@ -149,10 +149,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
     ), i AS (
         SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark
+    ), k AS (SELECT DISTINCT len(w) AS k FROM i WHERE len(w) BETWEEN 1 AND 4
     ), ds AS (
-        SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        SELECT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
             ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS s
         FROM d WHERE len(w) > 0
+        UNION
+        SELECT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS s
+        FROM d JOIN k ON len(w) >= k
     ), si AS (
         SELECT DISTINCT item_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
             ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS s

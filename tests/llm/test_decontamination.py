@@ -16,25 +16,26 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def brute(docs, items, k=5, percent=80):
+def brute(docs, items, k=5, percent=80, short=False):
     out = []
     for d, text in docs:
-        x = shingles(text, k)
         for i, item in items:
             q = shingles(item, k)
+            inside = short and q and len(min(q)) < k
+            x = shingles(text, len(min(q))) if inside else shingles(text, k)
             if q and 100 * len(q & x) >= percent * len(q):
                 out.append((d, i, len(q & x), len(q)))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, short", [(1, False), (2, True)])
+def test_against_brute_force(spark, seed, short):
     r = random.Random(seed)
 
     def words(n):
         return [r.choice("abcdefgé") + str(r.randint(0, 90)) for _ in range(n)]
 
-    items = [words(r.choice([3, 5, 6, 12, 30, 70, 200])) for _ in range(20)]
+    items = [words(r.choice([1, 3, 5, 6, 12, 30, 70, 200])) for _ in range(20)]
     docs = []
     for _ in range(60):
         text = words(r.randint(0, 400))
@@ -51,9 +52,24 @@ def test_against_brute_force(spark, seed):
     found = contained_items(
         spark.createDataFrame([(d, t, 5, "x", None) for d, t in doc_rows], DOCS).coalesce(1),
         spark.createDataFrame([(i, t, 0) for i, t in item_rows], ITEMS).coalesce(1),
+        short_items=short,
     )
     got = [(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in found.collect()]
-    assert sorted(got, key=str) == brute(doc_rows, item_rows)
+    assert sorted(got, key=str) == brute(doc_rows, item_rows, short=short)
+
+
+def test_an_item_inside_a_very_long_text(spark):
+    r = random.Random(3)
+    text = [f"w{r.randint(0, 5000)}" for _ in range(60000)]
+    items = [(1, " ".join(text[41000:41030])), (2, " ".join(text[59996:])), (3, "not in there at all"), (4, text[7])]
+    docs = [(1, " ".join(text)), (2, " ".join(text[:41020]))]
+    found = contained_items(
+        spark.createDataFrame([(d, t, 0, "x", None) for d, t in docs], DOCS).coalesce(1),
+        spark.createDataFrame([(i, t, 0) for i, t in items], ITEMS).coalesce(1),
+        short_items=True,
+    )
+    got = sorted((r.doc_id, r.item_id, r.n_shared, r.n_item) for r in found.collect())
+    assert got == [(1, 1, 26, 26), (1, 2, 1, 1), (1, 4, 1, 1), (2, 4, 1, 1)]
 
 
 def test_without_rows(spark):

@@ -1,5 +1,6 @@
 """Secret spans against plain patterns and recomputed entropy; chat folding."""
 
+import hashlib
 import math
 import random
 import re
@@ -56,6 +57,28 @@ def test_base_spans(spark):
         assert spans == base(texts[row.doc_id]), texts[row.doc_id]
 
 
+def test_digest_against_the_plain_definition(spark):
+    key = "AKIA" + "ABCDEFGH12345678"
+    texts = [
+        f"é password: hunter2-long {key} deadbeef" + "0123456789abcdef" * 2, "token=abcdef token='abcde'", "", None, "no secrets",
+        f"日本 secret = {'f9K2xQ7vLp0ZtB4nWc8RyD3m'}", f"{key}{key}\npasswd:\tx api_key=zzzzzz",
+    ]
+    rows = [(i, t, "x", 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    every = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secret_scan.scan_secrets(docs).collect()}
+    found = secret_scan.secret_digest(secret_scan.scan_secrets(docs)).collect()
+    assert sorted(r.doc_id for r in found) == list(range(len(texts)))
+    for r in found:
+        want = base(texts[r.doc_id] or "")
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        kinds = Counter(k for k, _, _ in want)
+        assert (r.n_assign, r.n_access, r.n_hex) == (kinds["assign"], kinds["access"], kinds["hex"])
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        order = ["assign", "access", "hex", "entropy"]
+        by_start = sorted(every[r.doc_id], key=lambda s: (s[1], order.index(s[0])))
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in by_start)
+
+
 def test_entropy_spans_and_allow_list(spark):
     secret = "f9K2xQ7vLp0ZtB4nWc8RyD3m"
     texts = [
