@@ -207,3 +207,20 @@ def test_calls_hold_texts_of_similar_length():
     calls = M.by_length(texts, 4000)
     assert sorted(i for c in calls for i in c) == list(range(301))
     assert all(len(c) == 1 or len(c) * max(len(texts[i]) for i in c) <= 4000 for c in calls)
+
+
+def test_texts_are_taken_in_steps():
+    import pyarrow as pa
+
+    batches = [["a" * 30, None, "é" * 80, "b"] * 5, [], [None], ["c" * 500, "d"]]
+    got = list(M.steps(iter([pa.array(b, pa.string()) for b in batches]), 100))
+    assert [t for step in got for t in step] == [t for b in batches for t in b]
+    assert all(sum(len(t or "") for t in step[:-1]) < 100 for step in got)
+
+
+def test_passes_over_several_steps_keep_the_order(spark):
+    texts = [None if i % 7 == 3 else f"hunter2 {i} " + "x " * (40_000 if i % 5 == 0 else 3) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    for r in M.score_tokens(df, secrets).collect():
+        words = [(m.start(), m.end()) for m in re.finditer(r"\S+", texts[r.id] or "")]
+        assert [(s.start, s.end) for s in r.scored.scores] == ([(0, 0), *words] if texts[r.id] else [])
