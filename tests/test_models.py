@@ -224,3 +224,26 @@ def test_passes_over_several_steps_keep_the_order(spark):
     for r in M.score_tokens(df, secrets).collect():
         words = [(m.start(), m.end()) for m in re.finditer(r"\S+", texts[r.id] or "")]
         assert [(s.start, s.end) for s in r.scored.scores] == ([(0, 0), *words] if texts[r.id] else [])
+
+
+def test_tags_are_built_once_per_text(spark, sf):
+    from spanguard.plans import catalog
+
+    for name in ("encode_labels", "label_distribution"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("_tag_batches(") == 1
+
+
+def test_tags_of_incomplete_spans(spark):
+    cases = [
+        ("one two three", [(4, None, "PII"), None, (None, 3, "SECRET"), (8, 9, None)], ["I-SECRET", "B-PII", None]),
+        ("one two", None, ["O", "O"]),
+        ("one two", [(3, 5, "PII"), (3, 7, "SECRET")], ["O", "I-SECRET"]),
+        ("", [(0, 1, "PII")], []),
+        (None, [(0, 1, "PII")], None),
+    ]
+    df = spark.createDataFrame(
+        [(i, *c[:2]) for i, c in enumerate(cases)], "i int, text string, entities array<struct<start:int,end:int,label:string>>"
+    )
+    rows = df.select("i", B.text_to_bio("text", "entities").alias("g")).collect()
+    assert {r.i: r.g for r in rows} == {i: c[2] for i, c in enumerate(cases)}
