@@ -193,9 +193,8 @@ def jaccard_groups(
     alike = F.count("*").over(Window.partitionBy("key"))
     shared = stored(signatures(rows, words, percent).withColumn("m", alike).filter("m > 1").drop("m"), "shared")
     # Copies of several tasks are one node; then signatures are counted anew.
-    entries = stored(shared.join(members.select(ROW, "node"), ROW).drop(ROW).distinct(), "entries")
-    counts = stored(entries.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "counts")
-    entries = stored(entries.join(counts, "key"), "counted")
+    nodes = shared.join(members.select(ROW, "node"), ROW).drop(ROW).repartition("key").distinct()
+    entries = stored(nodes.withColumn("m", alike).filter("m > 1"), "counted")
     weights = entries.groupBy("node").agg(F.sum("m").alias("weight"))
     kept = stored(rarest(entries), "kept")
     counts = stored(kept.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "counts")
