@@ -58,7 +58,7 @@ _ASSEMBLED = (
 _LINE_FIELDS = ("kind", "payload", "content", "finish_reason")
 _LINE = "seq bigint, " + ", ".join(f"{c} string" for c in _LINE_FIELDS)
 # Line numbers so far as ranges (first, behind the last, first, …), the number of the [DONE]
-# line, whether the response has been emitted, and the timer that is set.
+# line, whether the response has been emitted, and when it times out.
 _MARK = "ranges array<bigint>, done bigint, closed boolean, timer bigint"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -80,7 +80,8 @@ class Assembler(StatefulProcessor):
     """Keeps the lines of open responses, one state value per batch's new line.
 
     A batch appends its lines to a list and rewrites only the small mark; the lines of
-    earlier batches are read when the response ends, and at no other time.
+    earlier batches are read when the response ends, and at no other time. One timer is set
+    per response: later lines move the time in the mark, to which an early timer is set again.
     """
 
     def __init__(self, timeout_ms: int):
@@ -104,7 +105,7 @@ class Assembler(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803 - Spark's names
-        ranges, done, closed, timer = self.mark.get() if self.mark.exists() else ([], None, False, None)
+        ranges, done, closed, deadline = self.mark.get() or ([], None, False, None)
         latest, lines = timerValues.getCurrentWatermarkInMs(), {}
         for r in rows:
             latest = max(latest, r["_ms"])
@@ -119,15 +120,17 @@ class Assembler(StatefulProcessor):
                 yield self.response(key, done, "done")
                 self.lines.clear()
                 ranges, closed = [], True
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-        timer = latest + self.timeout_ms
-        self.handle.registerTimer(timer)
-        self.mark.update((ranges, done, closed, timer))
+        if deadline is None:
+            self.handle.registerTimer(latest + self.timeout_ms)
+        self.mark.update((ranges, done, closed, latest + self.timeout_ms))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803 - Spark's names
-        if self.mark.exists():
-            _, done, closed, _ = self.mark.get()
+        mark = self.mark.get()
+        if mark is not None:
+            _, done, closed, deadline = mark
+            if deadline > expiredTimerInfo.getExpiryTimeInMs():  # lines have come since the timer was set
+                self.handle.registerTimer(deadline)
+                return
             if not closed:
                 yield self.response(key, done, "abandoned")
         self.lines.clear()

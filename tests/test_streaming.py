@@ -295,3 +295,30 @@ def test_a_batch_writes_only_its_own_lines():
             assert out == []
             left = list(assembler.handleExpiredTimer(("a",), Times, None))
             assert [x.status for x in left] == ["abandoned"] and handle.rows == [] and handle.marks == []
+
+
+def test_batches_of_event_lines_hold_many_files(spark, sf, tmp_path):
+    from spanguard.plans import streams
+
+    seen = []
+
+    def look(batch, _):
+        rows = batch.select((F.col("seq") % 3).alias("rest"), F.input_file_name().alias("file")).distinct().collect()
+        seen.append(({r.rest for r in rows}, len({r.file for r in rows})))
+
+    writer = streams.line_stream(spark, sf).writeStream.foreachBatch(look).option("checkpointLocation", str(tmp_path))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    assert [rest for rest, _ in seen] == [{2}, {1}, {0}]
+    assert all(files > 1 for _, files in seen)
+
+
+def test_lines_after_the_timer_was_set_put_the_timeout_off(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    batches = [
+        [("r", 0, at, "data: {}")],
+        [("r", 1, at + timedelta(minutes=8), "data: {}")],
+        [("x", 0, at + timedelta(minutes=25), "data: {}")],  # the timer has gone off, the response goes on
+        [("r", 2, at + timedelta(minutes=16), "data: [DONE]")],
+    ]
+    out = drain(S.assemble_stream(S.read_sse_lines(stream(spark, tmp_path, batches))), "t").collect()
+    assert [(r.request_id, r.status, len(r.chunks)) for r in out if r.request_id == "r"] == [("r", "done", 2)]
