@@ -454,7 +454,8 @@ def stream_equals_batch(spark, sf):
     source = shared_dir(spark, "docs")
     docs = D.planted(spark, sf)
     docs.write.parquet(source)
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    files = max(2, spark.sparkContext.defaultParallelism)  # a batch keeps all cores busy
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files).parquet(source)
     keep = ["doc_id", "decision", "redacted_text", "redaction_counts"]
     path = J.run_to_parquet(scan(stream).select(*keep), "scan")
     flat = lambda df, n: df.select(

@@ -312,6 +312,19 @@ def test_batches_of_event_lines_hold_many_files(spark, sf, tmp_path):
     assert all(files > 1 for _, files in seen)
 
 
+def test_a_batch_of_documents_has_a_file_per_core(spark, sf, tmp_path, monkeypatch):
+    from spanguard.plans import derived, streams
+
+    run, checkpoint = J.run_to_parquet, tmp_path / "checkpoint"
+    monkeypatch.setattr(J, "run_to_parquet", lambda df, name: run(df, name, checkpoint=str(checkpoint)))
+    spark.conf.set(derived.INPUT_PARTITIONS, spark.sparkContext.defaultParallelism)
+    try:
+        assert all(r.differing == 0 for r in streams.stream_equals_batch(spark, sf).collect())
+    finally:
+        spark.conf.unset(derived.INPUT_PARTITIONS)
+    assert len([f for f in (checkpoint / "commits").iterdir() if f.name.isdigit()]) == 1
+
+
 def test_lines_after_the_timer_was_set_put_the_timeout_off(spark, tmp_path):
     at = datetime(2024, 1, 1)
     batches = [
