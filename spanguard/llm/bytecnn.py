@@ -86,9 +86,13 @@ class ByteConv:
         return np.concatenate(most, 1), places
 
     def logits(self, windows: np.ndarray, block: int = 8) -> np.ndarray:
-        """Few windows at a time, so that their responses stay in the processor's cache."""
+        """Few windows at a time, so that their responses stay in the processor's cache.
+
+        The last sums are in doubles: a window's don't depend on those it is taken with.
+        """
+        dense = self.dense.astype(np.float64)
         out = [
-            np.maximum(self.pooled(windows[i : i + block])[0] + self.bias, 0) @ self.dense + self.offset
+            np.maximum(self.pooled(windows[i : i + block])[0] + self.bias, 0) @ dense + self.offset
             for i in range(0, len(windows), block)
         ]
         return np.concatenate(out) if out else np.zeros((0, len(self.offset)), np.float32)
