@@ -169,17 +169,17 @@ def assemble_batch(spark, sf):
 
 def line_stream(spark, sf):
     """The event lines as a stream of three batches that split every response
-    and deliver its later lines first; a batch is as many files as Spark has tasks after
-    a shuffle.
+    and deliver its later lines first.
     """
-    path, tasks = shared_dir(spark, "lines"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines = event_lines(spark, sf)
-    for part in range(3):  # one after the other: files are streamed by the time of writing
-        third = lines.filter(F.lit(2) - F.col("seq") % 3 == part)
-        third.repartition(tasks, "request_id").write.parquet(f"{path}/part={part}")
-    schema = "request_id string, seq bigint, ts timestamp, line string, part int"
-    files = len(spark.read.schema(schema).parquet(path).inputFiles())
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, files // 3)).parquet(path).drop("part")
+    path = shared_dir(spark, "lines")
+    lines = event_lines(spark, sf).withColumn("part", F.lit(2) - F.col("seq") % 3)
+    lines.repartition(3, "part").write.partitionBy("part").parquet(path)
+    return (
+        spark.readStream.schema("request_id string, seq bigint, ts timestamp, line string, part int")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(path)
+        .drop("part")
+    )
 
 
 def assembled(spark, sf):

@@ -105,7 +105,7 @@ class Assembler(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803 - Spark's names
-        ranges, done, closed, deadline = self.mark.get() or ([], None, False, None)
+        ranges, done, closed, deadline = self.mark.get() if self.mark.exists() else ([], None, False, None)
         latest, lines = timerValues.getCurrentWatermarkInMs(), {}
         for r in rows:
             latest = max(latest, r["_ms"])
@@ -125,10 +125,10 @@ class Assembler(StatefulProcessor):
         self.mark.update((ranges, done, closed, latest + self.timeout_ms))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803 - Spark's names
-        mark = self.mark.get()
-        if mark is not None:
-            _, done, closed, deadline = mark
-            if deadline > expiredTimerInfo.getExpiryTimeInMs():  # lines have come since the timer was set
+        if self.mark.exists():
+            _, done, closed, deadline = self.mark.get()
+            # Lines may have come since the timer was set.
+            if expiredTimerInfo is not None and deadline > expiredTimerInfo.getExpiryTimeInMs():
                 self.handle.registerTimer(deadline)
                 return
             if not closed:
