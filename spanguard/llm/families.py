@@ -18,8 +18,10 @@ besides, its differences from the hub, stand for it from then on:
 * 1 - similarity is a metric. A set close to the hub is linked to none that is far from it.
 
 A bucket is done when all of it is one group or one family. Of other buckets the sets
-close to a hub leave, and the rest gets more hubs in each round, one of its own at
-least, which leaves too. Everything is exact; nothing is sampled or capped.
+close to a hub leave. The rest, unlike its hubs, isn't compared bucket by bucket: it meets
+anew by a prefix filter on the sets' own elements. An element's sets are a bucket with a
+hub again; those that are left of it are compared if sizes and places let them be linked.
+Everything is exact; nothing is sampled or capped.
 """
 
 from __future__ import annotations
@@ -99,9 +101,9 @@ class Groups:
         return stored(members.join(stored(keys, "open"), "key").select("key", "node", "weight"), "members")
 
 
-def heaviest(members: DataFrame, *by) -> DataFrame:
-    """(key, top): the heaviest member of each bucket, or of each part of one."""
-    return members.groupBy("key", *by).agg(F.max(F.struct("weight", "node")).alias("top")).select("key", "top")
+def heaviest(members: DataFrame) -> DataFrame:
+    """(key, top): the heaviest member of each bucket."""
+    return members.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", "top")
 
 
 def settle(entries: DataFrame, weights: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
@@ -172,22 +174,57 @@ def settle(entries: DataFrame, weights: DataFrame, rows: DataFrame, words: int,
             break
     harvested, first = tested[relied:], len(tested)
     groups.link(links(tested))
-    level = 0
-    while True:
-        members = groups.open(live)
-        if members.isEmpty():
-            break
-        part = F.expr(f"pmod(xxhash64(node, {level}), {16**level})")
-        pivots = stored(heaviest(members, part).select("key", F.col("top.node").alias("hub")), "pivots")
+    members, found = groups.open(live), []
+    if not members.isEmpty():
+        lists = stored(prefixes(members.select("node").distinct(), texts, words, percent), "lists")
+        members = groups.open(lists.select("key", "node"))
+        pivots = stored(heaviest(members).select("key", F.col("top.node").alias("hub")), "pivots")
         test(members.join(pivots, "key").select("node", "hub").distinct())
-        live = stored(rest(members.select("key", "node"), pivots), "live")
-        level += 1
+        left = rest(members.select("key", "node"), pivots).join(lists, ["key", "node"])
+        left = stored(left.join(groups.of("node", "comp"), "node"), "left")
+        found = [test(meetings(left, percent))]
+    families = union([t for t in tested if not any(t is h for h in [*harvested, *found])])
     families = union([t for t in tested if not any(t is h for h in harvested)])
     late = common_differences(families, groups, percent)
     groups.link(stored(late.unionByName(links(tested[first:])) if tested[first:] else late, "late"))
     return groups.labels.select("node", "comp")
 
 
+def prefixes(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, node, n, rank): each set's rarest elements, as many as can be missing of a linked set and one.
+
+    Two linked sets share one of these at least. Elements that no other set has come first.
+    """
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+        for batch in slices(batches, 1, CHUNK):
+            sets = shingle_sets([open_.decompress(p) for p in batch.column(1).to_pylist()], words)
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            kept = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, kept], ["node", "n", "elements"])
+
+    sets = texts.join(nodes, "node").select("node", "packed").mapInArrow(sets_of, "node long, n long, elements array<long>")
+    items = sets.select("node", "n", F.explode("elements").alias("key"))
+    counts = stored(items.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "counts")
+    order = "n - count(*) OVER (PARTITION BY node) + row_number() OVER (PARTITION BY node ORDER BY m, key)"
+    ranked = items.join(counts, "key").withColumn("rank", F.expr(order))
+    return ranked.filter(f"rank <= n - ceil({percent} * n / 100.0D) + 1").select("key", "node", "n", "rank")
+
+
+def meetings(left: DataFrame, percent: int) -> DataFrame:
+    """(node, hub) of different groups that may be linked, by sizes and by the places of an element both have."""
+    columns = "node", "n", "rank", "comp"
+    one, two = (left.select("key", *(F.col(c).alias(f"{c}{i}") for c in columns)) for i in (1, 2))
+    # After the first element that two sets share, they share no more than one of them has left.
+    meet = (
+        f"node1 < node2 AND comp1 <> comp2 AND 100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
+        f" AND {100 + percent} * (1 + least(n1 - rank1, n2 - rank2)) >= {percent} * (n1 + n2)"
+    )
+    pairs = one.join(two, "key").filter(meet)
+    return pairs.select(F.col("node1").alias("node"), F.col("node2").alias("hub")).distinct()
+
+
 def common_differences(tested: DataFrame, groups: Groups, percent: int) -> DataFrame:
     """Linked pairs (a, b) of families' sets in different groups, from their differences from the hub.
 

@@ -77,6 +77,23 @@ def test_edges(spark):
     assert near_groups(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_unlike_sets_of_a_bucket_are_not_compared_in_pairs(spark, monkeypatch):
+    """A common passage brings unlike texts into one bucket; some are linked, but not to its hub."""
+    from spanguard.llm import families
+
+    r, words, texts = random.Random(4), 3, []
+    for _ in range(100):
+        own = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join(["the common passage", *own]), " ".join(["the common passage", *own[:-2], "end"])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_no long, text string")
+    entries = families.stored(rows.selectExpr("7L as key", "row_no as node"), "one_bucket")
+    pairs, compare = [], families.compare
+    monkeypatch.setattr(families, "compare", lambda found, *rest: pairs.append(found.count()) or compare(found, *rest))
+    got = families.settle(entries, entries.selectExpr("node", "1L as weight"), rows, words, 85).collect()
+    assert {(x.node, x.comp) for x in got} == {(i, i - i % 2) for i in range(200)}
+    assert sum(pairs) <= 5 * len(texts)
+
+
 def test_banding():
     for percent in (50, 80, 85, 95, 100):
         rows, bands = banding(percent)
