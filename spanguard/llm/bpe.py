@@ -29,13 +29,13 @@ from tokenizers import Tokenizer
 from spanguard.llm.common import as_bytes, id_type, slices
 
 NO_RANK = np.int64(1) << 62
-#: Distinct words a worker keeps; the cache starts anew when it is full.
-CACHE_WORDS = 600_000
+#: Distinct words a worker keeps (some 300 bytes each); the cache starts anew when it is full.
+CACHE_WORDS = 300_000
 #: Words of more symbols are merged alone.
 LONG = 512
 #: Leaves of the trees that are worked on at a time.
 LEAVES = 1 << 16
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Below, Unicode's letters and case are the same in every library in use.
 SETTLED = 0x590
 NEWER = re.compile(f"[^\\x00-{chr(SETTLED - 1)}]")
@@ -89,7 +89,9 @@ class Vocabulary:
         rule = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = settled_pattern(rule["pattern"]["Regex"])
         self.cut = re.compile("|".join(f"({re.escape(t)})" for t in special) or r"(?!)")
-        self.library = Tokenizer.from_file(path)
+        # Only the text rules are the library's work: it needs no copy of the vocabulary.
+        rules = spec | {"added_tokens": [], "post_processor": None, "decoder": None, "model": model | {"vocab": {}, "merges": []}}
+        self.library = Tokenizer.from_str(json.dumps(rules))
         self.table: dict[int, int] = {}
 
     def rank_of(self) -> dict[int, int]:

@@ -68,3 +68,17 @@ def test_query_on_whole_documents(spark, sf, library):
         assert row.n_tokens == len(ids)
         assert row.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_workers_hold_little_at_a_time():
+    """The library gets no second copy of the vocabulary; packed texts become Python objects in steps."""
+    import pyarrow as pa
+
+    from spanguard.llm import common
+
+    assert encoder(vocabulary()).v.library.get_vocab_size() == 0
+    column, parts = pa.array(["é" * 500, None, ""] * 1000), []
+    found = common.in_steps(column, pa.string(), lambda part: parts.append(part.to_pylist()) or parts[-1])
+    assert found.equals(column) and max(sum(len(t or "") for t in p) for p in parts) <= common.PACKED
+    for texts in (column, column[:0]):
+        assert common.unpacked_text.func(common.packed_text.func(texts)).equals(texts)
