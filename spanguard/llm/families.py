@@ -18,9 +18,11 @@ besides, its differences from the hub, stand for it from then on:
 * 1 - similarity is a metric. A set close to the hub is linked to none that is far from it.
 
 A bucket is done when all of it is one group or one family. Of other buckets the sets
-close to a hub leave. The rest, unlike its hubs, isn't compared bucket by bucket: it meets
-anew by a prefix filter on the sets' own elements. An element's sets are a bucket with a
-hub again; those that are left of it are compared if sizes and places let them be linked.
+close to a hub leave. The rest, unlike its hub, isn't compared bucket by bucket: it meets
+anew by a prefix filter on the sets' own elements, those that the hub hasn't first, as a
+bucket's common elements are in its hub. Sets that share one of these are a bucket with a hub
+again; those that are left of it meet once more by elements that this hub hasn't, and are
+compared if sizes and places let them be linked.
 Everything is exact; nothing is sampled or capped.
 """
 
@@ -43,14 +45,24 @@ CHUNK = 1 << 18
 FAMILY = 0.5
 #: Rounds in which unlinked sets look for hubs among themselves, while one in HARVEST of them links.
 HARVESTS, HARVEST = 4, 10
+#: Sets that share an element, beyond which it is one of the last to be looked up.
+CROWD = 8
 #: Against rounding of similarities.
 EPS = 1e-9
 
 
-def compare(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """For each (node, hub) the sizes, the number of differences, the similarity and,
-    in families, the differences."""
-    schema = "node long, hub long, n long, hub_n long, d long, sim double, diff array<long>"
+def near_hub(percent: int) -> float:
+    """A set this similar to a hub is linked to none outside of the hub's family."""
+    return min(1.0, FAMILY + (100 - percent) / 100) - EPS
+
+
+def compare(pairs: DataFrame, texts: DataFrame, words: int, percent: int, whole: bool = False) -> DataFrame:
+    """For each (node, hub) the sizes, the number of differences, the similarity,
+    in families the differences, and of sets not close to the hub the head: elements that the
+    hub hasn't, then others, twice as many as can be missing of a linked set and one, or all.
+    """
+    schema = "node long, hub long, n long, hub_n long, d long, sim double, diff array<long>, head array<long>"
+    near = near_hub(percent)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
@@ -64,10 +76,15 @@ def compare(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 diff = np.setxor1d(x, y, assume_unique=True)
                 both = (len(x) + len(y) - len(diff)) // 2
                 sim = both / max(1, len(x) + len(y) - both)
-                out.append((len(x), len(y), len(diff), sim, diff.view(np.int64) if sim >= FAMILY else None))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
+                head = None
+                if sim < near:
+                    inside = np.isin(x, y, assume_unique=True)
+                    head = np.concatenate([x[~inside], x[inside]]).view(np.int64)
+                    head = head if whole else head[: 2 * (len(x) + 1 - -(-percent * len(x) // 100))]
+                out.append((len(x), len(y), len(diff), sim, diff.view(np.int64) if sim >= FAMILY else None, head))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             arrays = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *arrays], ["node", "hub", "n", "hub_n", "d", "sim", "diff"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *arrays], ["node", "hub", "n", "hub_n", "d", "sim", "diff", "head"])
 
     first = texts.select("node", F.col("packed").alias("p"))
     second = texts.select(F.col("node").alias("hub"), F.col("packed").alias("q"))
@@ -113,7 +130,7 @@ def settle(entries: DataFrame, weights: DataFrame, rows: DataFrame, words: int,
     with a weight, heavier ones first becoming hubs; `rows` has the texts by row number,
     which the nodes are.
     """
-    near = min(1.0, FAMILY + (100 - percent) / 100) - EPS
+    near = near_hub(percent)
     groups = Groups(weights)
     nodes = groups.labels.select(F.col("node").alias(ROW))
     packed = rows.select(ROW, "text").mapInArrow(pack, f"{ROW} long, packed binary").join(nodes, ROW)
@@ -132,7 +149,7 @@ def settle(entries: DataFrame, weights: DataFrame, rows: DataFrame, words: int,
         pairs = pairs.filter("node <> hub")
         if tested:
             pairs = pairs.join(union(tested).select("node", "hub"), ["node", "hub"], "left_anti")
-        found = compare(stored(pairs, "pairs"), texts, words)
+        found = compare(stored(pairs, "pairs"), texts, words, percent)
         tested.append(found)
         return found
 
@@ -154,6 +171,39 @@ def settle(entries: DataFrame, weights: DataFrame, rows: DataFrame, words: int,
         left = seen.groupBy("key", "node").agg(F.max("sim").alias("sim")).filter(F.col("sim") < near).select("key", "node")
         return left.join(open_, "key")
 
+    def heads(left: DataFrame, pivots: DataFrame) -> DataFrame:
+        """(key, node, n, rank): elements by which what is left of buckets meets, a key being a hub's element.
+
+        Each set is looked up by as many elements as can be missing of a linked set and one.
+        First come those that are neither in the hub nor in more than `CROWD` heads.
+        """
+        need = f"n - ({percent} * n + 99) div 100 + 1"
+        pairs = stored(groups.open(left).join(pivots, "key").select("node", "hub").distinct(), "unlike")
+
+        def elements(compared: DataFrame) -> DataFrame:
+            own = F.expr("(n + d - hub_n) div 2").alias("own")
+            items = compared.select("node", "hub", "n", own, F.posexplode("head").alias("at", "x"))
+            return items.withColumn("key", F.xxhash64("hub", "x"))
+
+        def ranked(items: DataFrame) -> DataFrame:
+            late = F.expr("coalesce(m, 0) + int(at >= own)")
+            return items.join(crowded, "key", "left").withColumn("late", late).selectExpr(
+                "key", "node", "hub", "n",
+                "row_number() OVER (PARTITION BY node, hub ORDER BY late, at) AS rank",
+                "sum(int(late = 0)) OVER (PARTITION BY node, hub) AS first",
+                "count(*) OVER (PARTITION BY node, hub) AS held",
+            ).filter(f"rank <= {need}")
+
+        items = stored(elements(union(tested).join(pairs, ["node", "hub"])), "items")
+        crowded = stored(items.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > CROWD), "crowded")
+        some = stored(ranked(items).withColumn("whole", F.expr(f"held = n OR first >= {need}")), "heads")
+        short = stored(some.filter("NOT whole").select("node", "hub").distinct(), "short")
+        others = ranked(elements(compare(short, texts, words, percent, True)))
+        columns = "key", "node", "n", "rank"
+        lists = stored(some.filter("whole").select(*columns).unionByName(others.select(*columns)), "looked_up")
+        shared = stored(lists.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "counts")
+        return stored(lists.join(shared, "key"), "lists")
+
     members = groups.open(entries)
     if members.isEmpty():
         return groups.labels.select("node", "comp")
@@ -174,44 +224,20 @@ def settle(entries: DataFrame, weights: DataFrame, rows: DataFrame, words: int,
             break
     harvested, first = tested[relied:], len(tested)
     groups.link(links(tested))
-    members, found = groups.open(live), []
+    lists = heads(live, pivots)
+    members = groups.open(lists.select("key", "node"))
     if not members.isEmpty():
-        lists = stored(prefixes(members.select("node").distinct(), texts, words, percent), "lists")
-        members = groups.open(lists.select("key", "node"))
         pivots = stored(heaviest(members).select("key", F.col("top.node").alias("hub")), "pivots")
         test(members.join(pivots, "key").select("node", "hub").distinct())
         left = rest(members.select("key", "node"), pivots).join(lists, ["key", "node"])
         left = stored(left.join(groups.of("node", "comp"), "node"), "left")
-        found = [test(meetings(left, percent))]
-    families = union([t for t in tested if not any(t is h for h in [*harvested, *found])])
+        test(meetings(left, percent))
     families = union([t for t in tested if not any(t is h for h in harvested)])
     late = common_differences(families, groups, percent)
     groups.link(stored(late.unionByName(links(tested[first:])) if tested[first:] else late, "late"))
     return groups.labels.select("node", "comp")
 
 
-def prefixes(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, node, n, rank): each set's rarest elements, as many as can be missing of a linked set and one.
-
-    Two linked sets share one of these at least. Elements that no other set has come first.
-    """
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor()
-        for batch in slices(batches, 1, CHUNK):
-            sets = shingle_sets([open_.decompress(p) for p in batch.column(1).to_pylist()], words)
-            sizes = pa.array([len(s) for s in sets], pa.int64())
-            kept = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, kept], ["node", "n", "elements"])
-
-    sets = texts.join(nodes, "node").select("node", "packed").mapInArrow(sets_of, "node long, n long, elements array<long>")
-    items = sets.select("node", "n", F.explode("elements").alias("key"))
-    counts = stored(items.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "counts")
-    order = "n - count(*) OVER (PARTITION BY node) + row_number() OVER (PARTITION BY node ORDER BY m, key)"
-    ranked = items.join(counts, "key").withColumn("rank", F.expr(order))
-    return ranked.filter(f"rank <= n - ceil({percent} * n / 100.0D) + 1").select("key", "node", "n", "rank")
-
-
 def meetings(left: DataFrame, percent: int) -> DataFrame:
     """(node, hub) of different groups that may be linked, by sizes and by the places of an element both have."""
     columns = "node", "n", "rank", "comp"

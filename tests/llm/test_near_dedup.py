@@ -98,3 +98,22 @@ def test_banding():
     for percent in (50, 80, 85, 95, 100):
         rows, bands = banding(percent)
         assert (1 - (percent / 100) ** rows) ** bands <= 1e-6
+
+
+def test_unlike_sets_are_looked_up_by_few_of_their_elements(spark, monkeypatch):
+    """Half of each text is a common passage, and a second one is not in the hub of the bucket."""
+    from spanguard.llm import families
+
+    r, words, texts = random.Random(5), 3, []
+    passages = [[f"{c}{i}" for i in range(30)] for c in "pq"]
+    for i in range(60):
+        own = [f"w{r.randrange(10**6)}" for _ in range(30)]
+        texts += [" ".join([*passages[0], *own, *passages[1][: i % 2 * 30]]), " ".join([*passages[0], *own[:-2], "end", *passages[1][: i % 2 * 30]])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_no long, text string")
+    entries = families.stored(rows.selectExpr("7L as key", "row_no as node"), "one_bucket")
+    counts, stored = {}, families.stored
+    monkeypatch.setattr(families, "stored", lambda df, name: (out := stored(df, name), counts.update({name: out.count()}))[0])
+    got = families.settle(entries, entries.selectExpr("node", "1L as weight"), rows, words, 85).collect()
+    want = brute(list(enumerate(texts)), words, 85)
+    assert {(x.node, x.comp) for x in got} == {(i, c) for i, _, c in want}
+    assert 0 < counts["items"] <= 0.4 * sum(n for _, n, _ in want)
