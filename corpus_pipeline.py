@@ -26,13 +26,13 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn(NUMBER, F.monotonically_increasing_id())
 
 
-def keep(docs: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of `docs` (numbered) whose number is, or with left_anti isn't, in `rows`.
+def keep(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of `docs` (numbered) whose number is in `rows`.
 
     Texts are compressed on their way through the join.
     """
     packed = docs.withColumn("text", packed_text("text"))
-    kept = packed.join(rows.select(F.col("row_no").alias(NUMBER)), NUMBER, how).drop(NUMBER)
+    kept = packed.join(rows.select(F.col("row_no").alias(NUMBER)), NUMBER, "left_semi").drop(NUMBER)
     return kept.withColumn("text", unpacked_text("text"))
 
 
@@ -62,10 +62,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item; with DataFrame functions only, texts in the join too."""
     docs = numbered(docs)
     found = contained_items(docs, read(spark, sf_dir, "benchmark"), row_col=NUMBER, short_items=True)
-    return keep(docs, found, "left_anti")
+    return docs.join(found.select(F.col("row_no").alias(NUMBER)), NUMBER, "left_anti").drop(NUMBER)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

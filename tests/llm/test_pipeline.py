@@ -89,3 +89,13 @@ def test_rows_pass_with_columns_of_any_name(spark, tmp_path):
     assert once.columns == docs.columns and {r.doc_id: r.text for r in once.collect()} == {i: texts[i] for i in (1, 3, 4, 5)}
     none = corpus_pipeline.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), str(tmp_path))
     assert {r.doc_id for r in none.collect()} == {2, 3, 4}
+
+
+def test_decontamination_runs_no_python(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "x one two three four five six y", "x", "s", 1, 1), (2, None, "x", "s", 1, 1), (3, "other words here", "x", "s", 1, 1)]
+    docs = stored(spark.createDataFrame(rows, SCHEMA), "to-clean")
+    left = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert {tuple(r) for r in left.collect()} == {tuple(rows[1]), tuple(rows[2])}
