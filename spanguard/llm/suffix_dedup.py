@@ -10,7 +10,8 @@ every byte of it. Instead, strings are dealt to shards by their content:
    a row with it (the segment owns these starts), and the bytes they cover.
 2. Only segments whose anchor occurs at two or more places can hold a repeat.
    Equal segments are counted as one (pre-aggregation by anchor and a second
-   64-bit hash), so a group of copies costs as much as one of them.
+   64-bit hash), and the bytes of one of them are cut from its document, so a
+   group of copies costs as much as one of them.
 3. All segments of an anchor go to one shard. Each shard is sorted by induced
    sorting; permuted common prefixes tell which suffixes share `span` bytes; an
    owned start is repeated if its run of such suffixes has two owned starts or more.
@@ -180,16 +181,21 @@ def remove_repeats(
         all_places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "common"
     )
     places = stored(all_places.join(common, "anchor"), "anchors")
-    full = stored(
-        places.groupBy("anchor", "content").agg(F.count("*").alias("n"))
-        .groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > crowded)
-        .select("anchor", F.lit(True).alias("crowded")),
-        "crowded",
+    owned = F.col("place").bitwiseAND(F.lit((1 << 20) - 1)).alias("owned")
+    kinds = stored(
+        places.groupBy("anchor", "content", owned)
+        .agg(F.count("*").alias("copies"), F.first(ROW).alias(ROW), F.first("place").alias("place")),
+        "kinds",
     )
+    full = stored(
+        kinds.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select("anchor"), "crowded"
+    )
+    usual = kinds.join(full, "anchor", "left_anti").select(ROW, "anchor", "content", "place", "copies")
+    alone = places.join(full, "anchor").select(ROW, "anchor", "content", "place", F.lit(0).cast("long").alias("copies"))
     wanted = (
-        places.join(full, "anchor", "left")
+        usual.unionByName(alone)
         .groupBy(ROW)
-        .agg(F.collect_list(F.struct("anchor", "content", "place", "crowded")).alias("places"))
+        .agg(F.collect_list(F.struct("anchor", "content", "place", "copies")).alias("places"))
     )
 
     kind = id_type(docs, id_col)
@@ -197,60 +203,56 @@ def remove_repeats(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
-        names = ["anchor", "content", ROW, "start", "owned", "single", "bytes"]
+        names = ["anchor", "content", ROW, "start", "owned", "copies", "bytes"]
 
-        def batch_of(columns, single):
-            kinds = [pa.int64()] * 5
-            arrays = [pa.array(np.concatenate(c), k) for c, k in zip(zip(*(x[:5] for x in columns)), kinds)]
-            parts = [p for x in columns for p in x[5]]
-            arrays += [pa.array(np.full(len(parts), single)), pa.array(parts, pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, names)
+        def batch_of(columns):
+            arrays = [pa.array(np.concatenate(c), pa.int64()) for c in zip(*(x[:6] for x in columns))]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([p for x in columns for p in x[6]], pa.binary())], names)
 
         for batch in batches:
             rows, packed, lists = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2)
             bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            anchor, content, places, full = (lists.flatten().field(i) for i in range(4))
-            anchor, content, places = anchor.to_numpy(), content.to_numpy(), places.to_numpy()
-            full = full.fill_null(False).to_numpy(zero_copy_only=False)
+            anchor, content, places, copies = (lists.flatten().field(i).to_numpy() for i in range(4))
+            full = copies == 0
             starts, owned = places >> 20, places & 0xFFFFF
-            whole, alone, size = [], [], 0
+            found, size = [], 0
             for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
                 data = open_.decompress(packed[i])
                 usual = np.flatnonzero(~full[a:b]) + a
                 s, o = starts[usual], owned[usual]
                 ends = s + o + (span - 1)
                 parts = [data[x:y] for x, y in zip(s.tolist(), ends.tolist())]
-                whole.append((anchor[usual], content[usual], np.full(len(s), rows[i]), s, o, parts))
+                found.append((anchor[usual], content[usual], np.full(len(s), rows[i]), s, o, copies[usual], parts))
                 size += int((ends - s).sum())
                 for j in (np.flatnonzero(full[a:b]) + a).tolist():
                     at = starts[j] + np.arange(owned[j])
                     part = data[at[0] : at[-1] + span]
                     own = Hashes(np.frombuffer(part, np.uint8)).of(at - at[0], at - at[0] + span).view(np.int64)
                     strings = [part[k : k + span] for k in range(len(at))]
-                    alone.append((own, own, np.full(len(at), rows[i]), at, np.ones(len(at), np.int64), strings))
+                    one = np.ones(len(at), np.int64)
+                    found.append((own, own, np.full(len(at), rows[i]), at, one, one - 1, strings))
                     size += len(at) * span
                 if size > 1 << 22:
-                    yield batch_of(whole, False)
-                    if alone:
-                        yield batch_of(alone, True)
-                    whole, alone, size = [], [], 0
-            if whole:
-                yield batch_of(whole, False)
-            if alone:
-                yield batch_of(alone, True)
+                    yield batch_of(found)
+                    found, size = [], 0
+            if found:
+                yield batch_of(found)
 
     cuts = stored(
         texts.join(wanted, ROW).select(ROW, "packed", "places").mapInArrow(
-            cut, f"anchor long, content long, {ROW} long, start long, owned long, single boolean, bytes binary"
+            cut, f"anchor long, content long, {ROW} long, start long, owned long, copies long, bytes binary"
         ),
         "segments",
     )
-    distinct = (
-        cuts.groupBy("anchor", "content", "owned", "single")
+    # Strings dealt one by one have no count yet.
+    singles = cuts.filter("copies = 0")
+    repeated = (
+        singles.groupBy("anchor", "content", "owned")
         .agg(F.count("*").alias("copies"), F.min("bytes").alias("bytes"))
-        .filter("not single or copies > 1")
-        .select("anchor", "content", "copies", "owned", "bytes")
+        .filter("copies > 1")
     )
+    columns = "anchor", "content", "copies", "owned", "bytes"
+    distinct = cuts.filter("copies > 0").select(*columns).unionByName(repeated.select(*columns))
 
     def sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, group, size = [], [], 0
@@ -282,7 +284,9 @@ def remove_repeats(
         "repeats",
     )
     per_row = (
-        cuts.select("anchor", "content", ROW, "start").join(verdicts, ["anchor", "content"])
+        places.select("anchor", "content", ROW, F.shiftright("place", 20).alias("start"))
+        .unionByName(singles.select("anchor", "content", ROW, "start"))
+        .join(verdicts, ["anchor", "content"])
         .groupBy(ROW).agg(F.collect_list(F.struct("start", "found")).alias("found"))
     )
 

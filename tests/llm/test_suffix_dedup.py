@@ -79,3 +79,16 @@ def test_edges(spark):
     kept = remove_repeats(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
     assert {r.doc_id: bytes(r.kept) for r in kept} == {5: b"", 7: b"", 8: b"kurz"}
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_segment_of_copies_is_cut_once(spark, monkeypatch):
+    from spanguard.llm import suffix_dedup
+
+    r = random.Random(6)
+    text, counts, stored = "".join(r.choice("abcdefg ") for _ in range(900)), {}, suffix_dedup.stored
+    rows = [(i, text, 1, "x") for i in range(30)] + [(50, text[300:600], 1, "x")]
+    docs = stored(spark.createDataFrame(rows, SCHEMA).repartition(4), "copies")
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, name: (out := stored(df, name), counts.update({name: out.count()}))[0])
+    got = removal_digest(remove_repeats(docs, span=40, digest=True)).collect()
+    assert {x.doc_id: tuple(x)[1:] for x in got} == dict(zip([x[0] for x in rows], brute([x[1] for x in rows], 40)))
+    assert counts["segments"] < counts["anchors"] / 20
