@@ -597,7 +597,7 @@ def audit_record(spark, sf):
 def audit_detail(spark, sf):
     """A lookup on the stored table, which skips row groups by their Bloom filters."""
     path = shared_dir(spark, "audit")
-    tables.write_audit(D.audit(spark, sf), path)
+    tables.write_audit(D.audit_events(spark, sf), path, texts=D.audit_texts(spark, sf))
     row = A.audit_detail(tables.read_audit(spark, path), "17", "request_id")
     return row.select(
         "id",
